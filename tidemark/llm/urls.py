@@ -17,7 +17,6 @@ and fits no rule; a rule with a null part fits nothing; of two equal rules
 
 from __future__ import annotations
 
-import functools
 import os
 import tempfile
 import uuid
@@ -52,11 +51,14 @@ def possible_keys(host: Column, path: Column, path_lengths: list[int]) -> Column
     return F.flatten(F.transform(parents, lambda h: F.transform(prefixes, lambda p: F.concat(h, F.lit("\n"), p))))
 
 
-@functools.lru_cache(maxsize=4)
-def _open(name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The sorted digests, where each key starts in the bytes of all keys, those bytes, and the verdicts."""
-    at = functools.partial(np.load, mmap_mode="r")
-    return tuple(at(SparkFiles.get(f"{name}-{part}.npy")) for part in ("digests", "starts", "keys", "blocks"))
+_OPEN: dict[str, tuple[np.ndarray, ...]] = {}
+
+
+def _open(name: str) -> tuple[np.ndarray, ...]:
+    """The sorted digests, where each key starts in the bytes of all keys, those bytes, and the verdicts; mapped once a process."""
+    if name not in _OPEN:
+        _OPEN[name] = tuple(np.load(SparkFiles.get(f"{name}-{part}.npy"), mmap_mode="r") for part in ("digests", "starts", "keys", "blocks"))
+    return _OPEN[name]
 
 
 def _share(spark, rows: list) -> str:
