@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, language, mixing, sharding, simhash, token_counts, toxicity, urls
+from . import decontamination, fingerprints, language, mixing, sharding, simhash, suffixes, token_counts, toxicity, urls
 from .shared import read, shared_dir, stash
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +97,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 200-byte strings that repeat."""
+    return suffixes.without_repeats(read(spark, sf_dir, "documents"), keep_bytes=False)
+
+
 WORDS_SQL = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
 
 OP1_SQL = rf"""
@@ -154,7 +159,7 @@ FROM shingled d JOIN items USING (s) WHERE d.kind = 'd' GROUP BY d.id, item_id H
 """
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_mixing, op2_url_filter, op3_fingerprints, op4_token_counts, op5_decontamination, op6_sharding, op7_language, op8_simhash, op9_toxicity)
+    f.__name__: f for f in (op1_mixing, op2_url_filter, op3_fingerprints, op4_token_counts, op5_decontamination, op6_sharding, op7_language, op8_simhash, op9_toxicity, op10_suffix_dedup)
 }
 #: The others give digests, learned predictions or groups that SQL can't express; tests hold them against brute force.
 ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op2_url_filter": OP2_SQL, "op4_token_counts": OP4_SQL, "op5_decontamination": OP5_SQL, "op6_sharding": OP6_SQL}
