@@ -1 +1 @@
-
+"""Column functions on text, times, intervals and vectors."""
