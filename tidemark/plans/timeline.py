@@ -258,7 +258,7 @@ ORACLES = {
     "gap_sessions": f"WITH {_E}, f AS (SELECT *, coalesce((us - lag(us) OVER {_W} > 7200000000)::INT, 0) AS new FROM e), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM f) SELECT user_id, session, count(*) AS n, min(us) AS first, max(us) AS last, round(sum(value), 4) AS value FROM s GROUP BY 1, 2",
     "runner_up_sep": f"WITH {_E}, b AS (SELECT user_id, us AS at, value AS best FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) = 1) SELECT user_id, best, (SELECT max(value) FROM e WHERE e.user_id = b.user_id AND abs(e.us - b.at) >= 86400000000) AS second FROM b",
     "phase_stats": f"WITH {_E}, p AS (SELECT event_type, (us % 86400000000) / 86400000000 AS ph FROM e), a AS (SELECT event_type, count(*) AS n, sqrt(pow(avg(cos(2 * pi() * ph)), 2) + pow(avg(sin(2 * pi() * ph)), 2)) AS r, {', '.join(f'count(*) FILTER (least(7, floor(ph * 8)) = {i}) AS part_{i}' for i in range(8))} FROM p GROUP BY 1) SELECT event_type, round(r, 6) AS r, round(greatest(0, least(1, exp(-n * r * r) * (1 + (2 * n * r * r - pow(n * r * r, 2)) / (4 * n)))), 6) AS p, {', '.join(f'part_{i}' for i in range(8))} FROM a",
-    "nearest_cue": f"WITH {_NEAR} SELECT event_id, b0 AS "before", a0 AS "after", near FROM r",
+    "nearest_cue": f'WITH {_NEAR} SELECT event_id, b0 AS "before", a0 AS "after", near FROM r',
     "asof_click": f"WITH {_E} SELECT p.event_id, c.us AS click_us_before, c.value AS click_value FROM (SELECT * FROM e WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM e WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.us >= c.us",
     "grid_snap": f"WITH {_NEAR} SELECT event_id, CASE WHEN abs(near - t0) <= 36000000000 THEN near ELSE t0 END AS snapped FROM r",
     "interval_overlap": f"WITH {_SPANS} SELECT x.event_id AS a, y.event_id AS b, round(least(x.hi, y.hi) - greatest(x.lo, y.lo), 3) AS overlap FROM s x JOIN s y ON x.user_id = y.user_id AND x.lo < y.hi AND y.lo < x.hi WHERE x.event_type = 'click' AND y.event_type = 'purchase'",
