@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 def artists(name: Column) -> Column:
     """'A & B ft. C - Title' -> [A, B]: left of ' - ', without ' ft. ', split at '&'."""
     left = F.substring_index(F.substring_index(name, " - ", 1), " ft. ", 1)
-    return F.filter(F.transform(F.split(left, "&"), F.trim), lambda a: a != "")
+    return F.filter(F.transform(F.split(left, "&"), lambda a: F.trim(a)), lambda a: a != "")
 
 
 def performers(name: Column) -> Column:
     """Names split at B2B, & and vs, lower-cased, each once, of two letters at least."""
     parts = F.split(F.lower(name), r"\s+(?:b2b|&|vs\.?)\s+")
-    return F.array_distinct(F.filter(F.transform(parts, F.trim), lambda p: F.length(p) >= 2))
+    return F.array_distinct(F.filter(F.transform(parts, lambda a: F.trim(a)), lambda p: F.length(p) >= 2))
 
 
 def first_match(text: Column, rules: Sequence[tuple[str, str]], default: str | None = None) -> Column:
@@ -64,4 +64,4 @@ def canonical_hash(**values: Column) -> Column:
 
 def trimmed_list(text: Column) -> Column:
     """A comma list as an array of trimmed entries that aren't empty."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda a: F.trim(a)), lambda x: x != "")
