@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stash
+from .shared import stash, unstash
 
 LENGTH = 200
 GRAM = 32
@@ -193,6 +193,7 @@ def covered(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     every = stash(named.filter(F.octet_length("text") >= length).mapInArrow(find, "key long, digest long, anchor long, snippet long, at long"), "anchors")
     again = every.groupBy("anchor").count().filter(F.col("count") > 1).select("anchor")
     shared = stash(every.join(again, "anchor"), "shared")
+    unstash(every)  # nothing reads it any more
     _collect_garbage(shared)
 
     row = F.struct("key", "digest", "at")
