@@ -1,7 +1,7 @@
 """Language identification by nearest centroid.
 
 A text is the vector of its hashed character n-grams (2 and 3 bytes of its
-lower-cased UTF-8 form), each counted as 1 + ln(count), weighted by inverse
+lower-cased UTF-8 form, with all between letters taken as one space), each counted as 1 + ln(count), weighted by inverse
 document frequency and scaled to length one. Each language has several
 centroids, found by spherical k-means over its own training texts, so that a
 language of many styles isn't squeezed into one mean. A text is of the language
@@ -31,24 +31,29 @@ from pyspark.sql.window import Window
 
 from .shared import stash
 
-DIMENSIONS = 4096
+DIMENSIONS = 8192
 CENTROIDS = 4
 SAMPLE = 400
 """Documents a language that the centroids are fitted on."""
 
 MAX_LANGUAGES = 1000
-REJECT_SHARE = 0.5
+REJECT_SHARE = 0.4
 """A text is rejected if its cosine is below this share of the least of its language's sampled texts."""
 
+MIN_GRAMS = 64
+"""A text of fewer different n-grams can't be far from anything for sure, and is rejected only if it shares none."""
+
 UNKNOWN = "und"
 _MULTIPLIER = np.uint32(2654435761)
 _SHIFT = np.uint32(32 - DIMENSIONS.bit_length() + 1)
 CHUNK = 128
+_SPACES = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 
 
 def counts(text: str) -> np.ndarray:
     """How often each hashed bucket of 2- and 3-byte n-grams occurs in one text."""
-    raw = np.frombuffer(f" {text.lower()} ".encode(), dtype=np.uint8)
+    letters = b" ".join(text.lower().encode().translate(_SPACES).split())
+    raw = np.frombuffer(b" %b " % letters, dtype=np.uint8)
     total = np.zeros(DIMENSIONS, dtype=np.int64)
     for at in range(0, max(1, len(raw) - 2), 1 << 20):
         part = raw[at : at + (1 << 20) + 2].astype(np.uint32)
@@ -141,10 +146,11 @@ def identify(docs: DataFrame, model: Model, text: str = "text", prefix: str = "l
             real = np.flatnonzero(batch.notna().to_numpy()) if len(names) else np.zeros(0, dtype=int)
             for at in range(0, len(real), CHUNK):
                 some = real[at : at + CHUNK]
-                cosine = vectors(list(batch.iloc[some]), idf) @ centroids.T
+                own = vectors(list(batch.iloc[some]), idf)
+                cosine = own @ centroids.T
                 best = cosine.argmax(axis=1)
                 pred[some], score[some] = names[best], np.clip(cosine.max(axis=1), 0, 1)
-                rejected[some] = score[some] < floors[best]
+                rejected[some] = score[some] < np.where((own > 0).sum(axis=1) >= MIN_GRAMS, floors[best], 1e-9)
             yield pd.DataFrame({f"{prefix}pred": pred, f"{prefix}score": score, f"{prefix}rejected": rejected})
 
     has_letter: Column = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
