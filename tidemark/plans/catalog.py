@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import evidence, relational, timeline
+from . import evidence, relational, structure, timeline
 
-PARTS = (relational, timeline, evidence)
+PARTS = (relational, timeline, evidence, structure)
 QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
 ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
