@@ -22,7 +22,7 @@ def duck(sf_dir):
 def plain(x):
     if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and math.isnan(x)):
         return ""
-    if isinstance(x, (int, float)) or getattr(getattr(x, "dtype", None), "kind", "") in "iuf":
+    if isinstance(x, (int, float)) or getattr(getattr(x, "dtype", None), "kind", "-") in "iuf":
         return repr(float(x))
     return str(x)
 
