@@ -6,7 +6,9 @@ document frequency and scaled to length one. Each language has several
 centroids, found by spherical k-means over its own training texts, so that a
 language of many styles isn't squeezed into one mean. A text is of the language
 of the nearest centroid by cosine, and is rejected if even that is farther than
-its language's own texts ever are.
+hardly any text of its language with about as many n-grams is: whole texts and
+excerpts of the training texts, short ones too, give a floor for each band of
+counts.
 
 Document frequencies come from all training documents. The centroids are fitted
 on at most SAMPLE documents a language, those with the least hash of their id.
@@ -37,11 +39,14 @@ SAMPLE = 400
 """Documents a language that the centroids are fitted on."""
 
 MAX_LANGUAGES = 1000
-REJECT_SHARE = 0.4
-"""A text is rejected if its cosine is below this share of the least of its language's sampled texts."""
+REJECT_QUANTILE, REJECT_SHARE = 0.01, 0.75
+"""A text is rejected if its cosine is below this share of this quantile of its language's sampled texts and excerpts with about as many n-grams."""
 
-MIN_GRAMS = 64
-"""A text of fewer different n-grams can't be far from anything for sure, and is rejected only if it shares none."""
+EXCERPTS = (6, 12, 24, 48, 96, 192, 384)
+"""Letters and other characters of the excerpts."""
+
+MIN_GRAMS, MIN_SAMPLES, BANDS = 4, 20, 40
+"""A text of fewer different n-grams is rejected only if it shares none; a band of fewer samples has the floor of the next lower one."""
 
 UNKNOWN = "und"
 _MULTIPLIER = np.uint32(2654435761)
@@ -71,6 +76,27 @@ def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
     return own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
 
 
+def band(grams: np.ndarray) -> np.ndarray:
+    """The band of each number of different n-grams: two for each doubling."""
+    return np.minimum(np.floor(2 * np.log2(np.maximum(grams, 1))), BANDS - 1).astype(int)
+
+
+def excerpts(text: str, draw: int) -> list[str]:
+    """A piece of each length that the text has, at a place told by draw."""
+    return [text[at : at + n] for n in EXCERPTS if n < len(text) for at in [draw % (len(text) - n)]]
+
+
+def floors(grams: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+    """The least cosine of each band that isn't rejected."""
+    out, now, bands = np.full(BANDS, 1e-9), 1e-9, band(grams)
+    for i in range(int(band(np.array([MIN_GRAMS]))[0]), BANDS):
+        own = cosines[(bands == i) & (grams >= MIN_GRAMS)]
+        if len(own) >= MIN_SAMPLES:
+            now = max(1e-9, float(np.quantile(own, REJECT_QUANTILE)) * REJECT_SHARE)
+        out[i] = now
+    return out
+
+
 def cluster(points: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means, started at points far from each other; at most k unit centroids."""
     chosen = [0]
@@ -93,7 +119,7 @@ class Model:
     """The language of each centroid."""
     centroids: np.ndarray
     floors: np.ndarray
-    """The cosine below which a text nearest to the centroid is rejected."""
+    """The cosine below which a text nearest to the centroid is rejected, by band of its number of different n-grams."""
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", k: int = CENTROIDS, sample: int = SAMPLE) -> Model:
@@ -125,17 +151,23 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         own = own.sort_values("draw").head(sample)  # repeated rows could be more
         points = np.concatenate([vectors(list(own["text"].iloc[i : i + CHUNK]), idf) for i in range(0, len(own), CHUNK)])
         middle = cluster(points, k)
-        floor = (points @ middle.T).max(axis=1).min()
-        return pd.DataFrame({"lang": own["lang"].iloc[0], "floor": float(floor) * REJECT_SHARE, "centroid": [m.astype(float).tolist() for m in middle]})
+        grams, cosines = [(points > 0).sum(axis=1)], [(points @ middle.T).max(axis=1)]
+        short = [x for t, draw in zip(own["text"], own["draw"], strict=True) for x in excerpts(t, int(draw)) if any(map(str.isalpha, x))]
+        for i in range(0, len(short), CHUNK):
+            some = vectors(short[i : i + CHUNK], idf)
+            grams.append((some > 0).sum(axis=1))
+            cosines.append((some @ middle.T).max(axis=1))
+        floor = floors(np.concatenate(grams), np.concatenate(cosines)).tolist()
+        return pd.DataFrame({"lang": own["lang"].iloc[0], "floor": [floor] * len(middle), "centroid": [m.astype(float).tolist() for m in middle]})
 
-    fitted = training.groupBy("lang").applyInPandas(middles, "lang string, floor double, centroid array<double>").orderBy("lang", F.xxhash64("centroid")).collect()
-    return Model(idf, [r["lang"] for r in fitted], np.array([r["centroid"] for r in fitted], dtype=np.float32).reshape(-1, DIMENSIONS), np.array([r["floor"] for r in fitted]))
+    fitted = training.groupBy("lang").applyInPandas(middles, "lang string, floor array<double>, centroid array<double>").orderBy("lang", F.xxhash64("centroid")).collect()
+    return Model(idf, [r["lang"] for r in fitted], np.array([r["centroid"] for r in fitted], dtype=np.float32).reshape(-1, DIMENSIONS), np.array([r["floor"] for r in fitted]).reshape(-1, BANDS))
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", prefix: str = "lang_") -> DataFrame:
     """docs with <prefix>pred, <prefix>score (cosine of the nearest centroid) and <prefix>rejected."""
     own = f"struct<{prefix}pred: string, {prefix}score: double, {prefix}rejected: boolean>"
-    names, floors = np.array(model.names, dtype=object), model.floors
+    names, least = np.array(model.names, dtype=object), model.floors
     shared = docs.sparkSession.sparkContext.broadcast((model.idf, model.centroids))
 
     @F.pandas_udf(own)
@@ -150,7 +182,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", prefix: str = "l
                 cosine = own @ centroids.T
                 best = cosine.argmax(axis=1)
                 pred[some], score[some] = names[best], np.clip(cosine.max(axis=1), 0, 1)
-                rejected[some] = score[some] < np.where((own > 0).sum(axis=1) >= MIN_GRAMS, floors[best], 1e-9)
+                grams = (own > 0).sum(axis=1)
+                rejected[some] = score[some] < np.where(grams >= MIN_GRAMS, least[best, band(grams)], 1e-9)
             yield pd.DataFrame({f"{prefix}pred": pred, f"{prefix}score": score, f"{prefix}rejected": rejected})
 
     has_letter: Column = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
