@@ -6,8 +6,8 @@ much more often as its weight. It is kept as a trie. A
 word of a text that is no entry itself is turned into the Levenshtein automaton
 of all strings within EDITS edits of it, which walks the trie along with it;
 an entry both accept is a misspelled hit. (With one edit, one half of an entry
-is untouched; words that share no such half with any entry skip the walk,
-which loses nothing.)
+is untouched; a word walks only the tries of the entries that share a half with
+it, which loses nothing.)
 
 Each hit is judged in its context window: quotation marks that open before it
 and close after it, or a word of reporting right before the quote, make it
@@ -55,9 +55,6 @@ SAME_SHARE = 0.95
 EDITS, EDIT_LENGTH = 1, 5
 """Entries of EDIT_LENGTH letters or more are also looked for with so many edits."""
 
-FUZZY_ENTRIES = 64
-"""The entries that are also looked for misspelled: those that tell most."""
-
 WORD_SHARE = 0.02
 """Whole words that no stem covers stand in this share of toxic training documents at least."""
 
@@ -129,10 +126,15 @@ class Lexicon:
         self.words, self.stems = words, stems
         self.stem_lengths = sorted({len(s) for s in stems})
         fuzzy = [w for w in ({*words, *stems} if fuzzy is None else fuzzy) if len(w) >= EDIT_LENGTH]
-        self.root = trie(fuzzy)
-        self.heads = frozenset(w[: len(w) // 2] for w in fuzzy)
-        self.tails = frozenset(w[len(w) // 2 :] for w in fuzzy)
-        self.sizes = sorted({n for w in fuzzy for n in (len(w) // 2, len(w) - len(w) // 2)})
+        # The entries that share a head, or a tail and where it begins, are a trie of their own.
+        heads: dict[str, list[str]] = {}
+        tails: dict[tuple[int, str], list[str]] = {}
+        for w in fuzzy:
+            heads.setdefault(w[: len(w) // 2], []).append(w)
+            tails.setdefault((len(w) // 2, w[len(w) // 2 :]), []).append(w)
+        self.heads = {h: trie(own) for h, own in heads.items()}
+        self.tails = {t: trie(own) for t, own in tails.items()}
+        self.head_sizes, self.tail_sizes = sorted({len(h) for h in heads}), sorted({(at, len(t)) for at, t in tails})
         self.least, self.most = min(map(len, fuzzy), default=1) - EDITS, max(map(len, fuzzy), default=0) + EDITS
         self.match = functools.lru_cache(CACHE)(self._match)
 
@@ -144,10 +146,11 @@ class Lexicon:
             return "exact", max(weights)
         if not self.least <= len(word) <= self.most:
             return None
-        if not any(word[:n] in self.heads or word[-n:] in self.tails for n in self.sizes):
-            return None
-        entry = intersect(Automaton(word, EDITS), self.root)
-        return ("fuzzy", max(self.words.get(entry, 0.0), self.stems.get(entry, 0.0))) if entry else None
+        roots = [self.heads.get(word[:n]) for n in self.head_sizes]
+        roots += [self.tails.get((at, word[at + k : at + k + n])) for at, n in self.tail_sizes for k in range(-EDITS, EDITS + 1)]
+        automaton = Automaton(word, EDITS)
+        found = [entry for root in roots if root for entry in [intersect(automaton, root)] if entry]
+        return ("fuzzy", max(max(self.words.get(e, 0.0), self.stems.get(e, 0.0)) for e in found)) if found else None
 
 
 FEATURES = ("exact", "exact_quoted", "fuzzy", "fuzzy_quoted", "dense")
@@ -217,7 +220,7 @@ def _chosen(found: dict[str, tuple[int, float]], word_need: float) -> tuple[dict
             weight = found[longer[0]][1]
         (stems if entry.endswith("*") else words)[name] = weight
         blocked.update(name[:n] for n in range(1, len(name) + 1))
-        if len(name) >= EDIT_LENGTH and len(fuzzy) < FUZZY_ENTRIES:
+        if len(name) >= EDIT_LENGTH:
             fuzzy.append(name)
     return words, stems, fuzzy
 
