@@ -9,9 +9,10 @@ an entry both accept is a misspelled hit. (With one edit, one half of an entry
 is untouched; a word walks only the tries of the entries that share a half with
 it, which loses nothing.)
 
-Each hit is judged in its context window: quotation marks that open before it
-and close after it, or a word of reporting right before the quote, make it
-quoted rather than abusive. The weights of abusive and quoted, exact and misspelled
+A stem is accepted where the automaton reaches it with some beginning of the word.
+
+Each hit is judged in its context window: a quotation mark that opens before it
+and whose partner closes after it make it quoted rather than abusive. The weights of abusive and quoted, exact and misspelled
 hits are put together by a logistic regression.
 
 Lexicon and weights are fitted on at most SAMPLE labelled documents a class,
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -61,7 +62,8 @@ WORD_SHARE = 0.02
 WINDOW = 8
 """Words on either side of a hit that are its context."""
 
-OPENING, CLOSING = "\"'“„«‘»", "\"'”“»’«"
+CLOSING = {'"': '"', "'": "'", "“": "”", "„": "“”", "«": "»", "‘": "’", "»": "«"}
+"""The marks that close a quotation, by the one that opens it."""
 PUNCTUATION = ".,;:!?()[]{}<>\"'“”„«»‘’…-–—*_/\\|"
 CACHE = 200_000
 
@@ -104,13 +106,13 @@ class Automaton:
         return state[-1] <= self.edits
 
 
-def intersect(automaton: Automaton, root: Node) -> str | None:
-    """The least entry that the automaton accepts."""
+def intersect(automaton: Automaton, root: Node, stems: Container[str] = ()) -> str | None:
+    """The least entry that the automaton accepts; of stems, that it accepts with some beginning of its word."""
     found: list[str] = []
     todo = [(root, automaton.start())]
     while todo:
         node, state = todo.pop()
-        if node.entry is not None and automaton.accepts(state):
+        if node.entry is not None and (automaton.accepts(state) or node.entry in stems and automaton.alive(state)):
             found.append(node.entry)
         for c, child in node.children.items():
             after = automaton.step(state, c)
@@ -135,7 +137,9 @@ class Lexicon:
         self.heads = {h: trie(own) for h, own in heads.items()}
         self.tails = {t: trie(own) for t, own in tails.items()}
         self.head_sizes, self.tail_sizes = sorted({len(h) for h in heads}), sorted({(at, len(t)) for at, t in tails})
-        self.least, self.most = min(map(len, fuzzy), default=1) - EDITS, max(map(len, fuzzy), default=0) + EDITS
+        # What comes later than any entry and one more edit decides nothing but that the word is longer.
+        self.longest = max(map(len, fuzzy), default=0) + EDITS + 1
+        self.least, self.most = min(map(len, fuzzy), default=1) - EDITS, (math.inf if any(w in stems for w in fuzzy) else max(map(len, fuzzy), default=0) + EDITS)
         self.match = functools.lru_cache(CACHE)(self._match)
 
     def _match(self, word: str) -> tuple[str, float] | None:
@@ -148,8 +152,8 @@ class Lexicon:
             return None
         roots = [self.heads.get(word[:n]) for n in self.head_sizes]
         roots += [self.tails.get((at, word[at + k : at + k + n])) for at, n in self.tail_sizes for k in range(-EDITS, EDITS + 1)]
-        automaton = Automaton(word, EDITS)
-        found = [entry for root in roots if root for entry in [intersect(automaton, root)] if entry]
+        automaton = Automaton(word[: self.longest], EDITS)
+        found = [entry for root in roots if root for entry in [intersect(automaton, root, self.stems)] if entry]
         return ("fuzzy", max(max(self.words.get(e, 0.0), self.stems.get(e, 0.0)) for e in found)) if found else None
 
 
@@ -157,11 +161,22 @@ FEATURES = ("exact", "exact_quoted", "fuzzy", "fuzzy_quoted", "dense")
 
 
 def quoted(parts: list[str], i: int) -> bool:
-    """Whether word i stands between an opening and a closing mark of its context window."""
-    before, after = parts[max(0, i - WINDOW) : i + 1], parts[i : i + WINDOW + 1]
-    opens = any(p[0] in OPENING for p in before)
-    closes = any(p.rstrip(".,;:!?")[-1:] in CLOSING and p.rstrip(".,;:!?") for p in after)
-    return opens and closes
+    """Whether word i stands between an opening mark of its context window and that mark's partner."""
+    closes = lambda p, mark: (bare := p.rstrip(".,;:!?"))[-1:] in tuple(CLOSING[mark]) and len(bare) > 1
+    mark = None
+    for k in range(max(0, i - WINDOW), i + 1):
+        if mark is None and parts[k][0] in CLOSING:
+            mark = parts[k][0]
+        if mark is not None and k < i and closes(parts[k], mark):
+            mark = None
+    if mark is None:
+        return False
+    for k in range(i, min(len(parts), i + WINDOW + 1)):
+        if closes(parts[k], mark):
+            return True
+        if k > i and parts[k][0] == mark:
+            return False
+    return False
 
 
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
