@@ -46,6 +46,24 @@ def unstash(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+HOT_ROWS, HOT_KEYS = 20_000, 100_000
+"""A key with more rows is hot; if there are at most so many hot keys, they are broadcast."""
+
+
+def of_keys(df: DataFrame, keys: DataFrame, on: list[str], rows: str, hot: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose key is in `keys`: those of keys with more than `hot` rows, and the others.
+
+    keys: distinct keys and, in the column `rows`, how many rows each has. Rows of hot keys are found with a broadcast,
+    so no task gets all rows of one key. Each hot key stands for `hot` rows, so there are few; their number is checked.
+    """
+    often = keys.filter(F.col(rows) > hot).select(*on)
+    rest = keys.filter(F.col(rows) <= hot).select(*on)
+    if often.count() > HOT_KEYS:
+        return df.join(often, on, "left_semi"), df.join(rest, on, "left_semi")
+    often = F.broadcast(often)
+    return df.join(often, on, "left_semi"), df.join(often, on, "left_anti").join(rest, on, "left_semi")
+
+
 def word_count(text: Column) -> Column:
     """The number of words, counted in the JVM: each word, with the space after it, becomes one character."""
     bare = F.regexp_replace(text, r"^[\x20\x09-\x0D]+", "")

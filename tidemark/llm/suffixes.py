@@ -15,22 +15,30 @@ other in a text make one snippet. Three steps keep the work small:
 
 1. Anchors whose hash occurs once in all texts are dropped: nothing in their
    snippets repeats.
-2. A snippet that occurs whole again (by its hash) repeats whole. Copies and the
-   inner parts of long passages end here, with no text moved.
+2. A snippet that occurs whole again (the hashes of its anchor and of itself)
+   repeats whole. Copies and the inner parts of long passages end here, with no
+   text moved.
 3. Where an anchor has several different snippets (the edges of passages), each
    different one is fetched once, and blocks of such groups are suffix-sorted.
+   Common prefixes are compared byte by byte.
    An anchor with more than `crowd` snippets, a passage that a large part of all
-   documents share, is split further: its strings are dealt by their own hashes
+   documents share, is split further: its strings are dealt by 128-bit hashes
    and counted, which combines before the shuffle and needs no group in one place.
 
+What is settled by hash alone is wrong only if two different snippets of one
+anchor have one 64-bit hash (odds of 5e-20 a pair of the same anchor), or two
+strings of crowded anchors one of 128 bits.
+
 Defined results: a null text is empty; texts shorter than LENGTH keep all;
 repeated rows of that length or more lose all, each being the other's repeat; a
-null id is a row like any other; an empty table gives no rows.
+null id is a row like any other, and ids may be of any type; very long texts are
+gone through in pieces of a megabyte that overlap, so nothing is lost between
+them; ties of anchors go to the first place; an empty table gives no rows. Other
+columns of docs, whatever their names, are not looked at and not returned.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -40,11 +48,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stash, unstash
+from .shared import of_keys, stash, unstash
 
 LENGTH = 200
 GRAM = 32
-CROWD = 50_000
+CROWD = 2000
+"""Different snippets of one anchor that are suffix-sorted together; what has more is counted string by string."""
+
 BLOCK = 1 << 19
 """Bytes of snippets that are suffix-sorted at once, or one group where that is larger."""
 
@@ -98,6 +108,34 @@ def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
     return join(0, np.uint64).view(np.int64), join(1, np.uint64).view(np.int64), join(2, np.int64)
 
 
+def string_hashes(raw: np.ndarray, length: int) -> np.ndarray:
+    """The hash of the `length` bytes at every place, put together from those of its binary parts."""
+    powers, span = {1: _TABLE[raw]}, 1
+    while 2 * span <= length:
+        h = powers[span]
+        powers[2 * span] = h[:-span] * np.uint64(pow(_BASE, span, 1 << 64)) + h[span:]
+        span *= 2
+    n = len(raw) - length + 1
+    out, at = np.zeros(n, dtype=np.uint64), 0
+    for span in sorted(powers, reverse=True):
+        if at + span <= length and length & span:
+            out = out * np.uint64(pow(_BASE, span, 1 << 64)) + powers[span][at : at + n]
+            at += span
+    return out
+
+
+def _directly_sorted(text: bytes, some: np.ndarray, depth: int) -> np.ndarray:
+    """Some suffixes in the order of their first `depth` bytes. Of strings with one hash only one is compared with others."""
+    if not len(some):
+        return some
+    hashes = string_hashes(np.frombuffer(text + bytes(depth), dtype=np.uint8), depth)[some]
+    _, first, kind = np.unique(hashes, return_index=True, return_inverse=True)
+    strings = [text[i : i + depth] for i in some[first].tolist()]
+    place = np.empty(len(first), dtype=np.int64)
+    place[sorted(range(len(strings)), key=strings.__getitem__)] = np.arange(len(first))
+    return some[np.argsort(place[kind], kind="stable")]
+
+
 def suffix_array(text: bytes, depth: int = LENGTH) -> np.ndarray:
     """All suffixes in the order of their first `depth` bytes, by two-stage sorting."""
     n = len(text)
@@ -110,29 +148,35 @@ def suffix_array(text: bytes, depth: int = LENGTH) -> np.ndarray:
     after = np.r_[raw, 0].astype(np.int16)
     after[n] = -1
     small = after[following] > raw
-    direct = sorted(np.flatnonzero(small).tolist(), key=lambda i: text[i : i + depth])
-    sizes = np.bincount(raw, minlength=256)
-    ends = np.cumsum(sizes)
-    heads = (ends - sizes).tolist()
-    order = [-1] * n
-    # In a bucket of one first byte the larger suffixes come first, the directly sorted ones last.
-    places = ends[raw[direct]] - np.bincount(raw[direct], minlength=256)[raw[direct]] if direct else []
-    seen = [0] * 256
-    for i, place in zip(direct, np.asarray(places).tolist(), strict=True):
-        c = text[i]
-        order[place + seen[c]] = i
-        seen[c] += 1
-    larger = (~small).tolist()
-    c = text[n - 1]
-    order[heads[c]] = n - 1  # the empty suffix is least of all and comes before this one
-    heads[c] += 1
-    for k in range(n):
-        i = order[k] - 1
-        if i >= 0 and larger[i]:
-            c = text[i]
-            order[heads[c]] = i
-            heads[c] += 1
-    return np.array(order, dtype=np.int64)
+    direct = _directly_sorted(text, np.flatnonzero(small), depth)
+    bounds = np.searchsorted(raw[direct], np.arange(257))
+    waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
+    waiting[raw[n - 1]].append(np.array([n - 1]))  # the empty suffix is least of all and comes before this one
+
+    def induce(now: np.ndarray, c: int) -> np.ndarray:
+        """Hands the larger predecessors of suffixes of bucket c, in order, to their own buckets; returns those of c itself."""
+        before = now[now > 0] - 1
+        before = before[~small[before]]
+        own = raw[before]
+        same = before[own == c]
+        before, own = before[own != c], own[own != c]
+        by = np.argsort(own, kind="stable")
+        before, own = before[by], own[by]
+        cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else []
+        for i, part in zip(cuts, np.split(before, cuts[1:]), strict=True) if len(own) else ():
+            waiting[own[i]].append(part)
+        return same
+
+    order: list[np.ndarray] = []
+    for c in np.flatnonzero(np.bincount(raw, minlength=256)).tolist():
+        # In a bucket of one first byte the larger suffixes come first, the directly sorted ones last.
+        now = np.concatenate([np.zeros(0, np.int64), *waiting[c]])
+        while len(now):
+            order.append(now)
+            now = induce(now, c)
+        order.append(direct[bounds[c] : bounds[c + 1]])
+        induce(order[-1], c)
+    return np.concatenate(order)
 
 
 def repeats(text: bytes, length: int = LENGTH) -> np.ndarray:
@@ -158,24 +202,46 @@ def repeats(text: bytes, length: int = LENGTH) -> np.ndarray:
     return out
 
 
-def _spans(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """Runs of starts as (first start, how many more)."""
-    if not len(starts):
-        return []
-    cuts = np.flatnonzero(np.diff(starts) > 1)
-    return list(zip(starts[np.r_[0, cuts + 1]].tolist(), (starts[np.r_[cuts, len(starts) - 1]] - starts[np.r_[0, cuts + 1]]).tolist(), strict=True))
-
+def repeating_parts(snippets: list[bytes], length: int = LENGTH) -> Iterator[tuple[int, int, int]]:
+    """(snippet, first start, how many more) of each run of `length`-byte strings that also start elsewhere in these snippets.
 
-def _collect_garbage(df: DataFrame) -> None:
-    """Lets Spark delete the shuffle files of finished steps, which it does when the driver's handles on them are collected."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    Equal strings have equal hashes, so what has no string with a hash met twice is left out before suffixes are sorted.
+    """
+    text = bytes([SEPARATOR]).join(snippets)
+    if len(text) <= length:
+        return
+    raw = np.frombuffer(text, dtype=np.uint8)
+    stops = np.r_[0, np.cumsum(raw == SEPARATOR)]
+    valid = np.flatnonzero(stops[:-length] == stops[length:])
+    hashes = string_hashes(raw, length)[valid]
+    by = np.argsort(hashes)
+    same = hashes[by[1:]] == hashes[by[:-1]]
+    again = np.zeros(len(valid), dtype=bool)
+    again[by[1:][same]] = True
+    again[by[:-1][same]] = True
+    at = valid[again]
+    if not len(at):
+        return
+    own = stops[at]
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    last = np.r_[first[1:], len(at)] - 1
+    begins = np.r_[0, np.flatnonzero(raw == SEPARATOR) + 1]
+    parts = [text[i : j + length] for i, j in zip(at[first].tolist(), at[last].tolist(), strict=True)]
+    starts = np.flatnonzero(repeats(bytes([SEPARATOR]).join(parts), length))
+    if not len(starts):
+        return
+    runs = np.flatnonzero(np.r_[True, np.diff(starts) > 1])
+    more = np.r_[runs[1:], len(starts)] - runs - 1
+    places = np.r_[0, np.cumsum([len(part) + 1 for part in parts])]
+    of = np.searchsorted(places, starts[runs], side="right") - 1
+    who, shift = own[first], at[first] - begins[own[first]]
+    yield from zip(who[of].tolist(), (shift[of] + starts[runs] - places[of]).tolist(), more.tolist(), strict=True)
 
 
 def _named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """key and digest name a row (equal rows alike); text without nulls."""
     filled = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("key"), F.xxhash64(filled).alias("digest"), filled.alias("text"))
+    return docs.select(F.xxhash64(F.col(doc_id).cast("string")).alias("key"), F.xxhash64(filled).alias("digest"), filled.alias("text"))
 
 
 def covered(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
@@ -191,16 +257,18 @@ def covered(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
             yield pa.RecordBatch.from_arrays(arrays, ["key", "digest", "anchor", "snippet", "at"])
 
     every = stash(named.filter(F.octet_length("text") >= length).mapInArrow(find, "key long, digest long, anchor long, snippet long, at long"), "anchors")
-    again = every.groupBy("anchor").count().filter(F.col("count") > 1).select("anchor")
-    shared = stash(every.join(again, "anchor"), "shared")
+    again = stash(every.groupBy("anchor").count().filter(F.col("count") > 1), "again")
+    hot, rest = of_keys(every, again, ["anchor"], "count")
+    shared = stash(hot.unionByName(rest), "shared")
     unstash(every)  # nothing reads it any more
-    _collect_garbage(shared)
 
     row = F.struct("key", "digest", "at")
     kinds = stash(shared.groupBy("anchor", "snippet").agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("row")), "kinds")
-    whole = shared.join(kinds.filter("n > 1").select("anchor", "snippet"), ["anchor", "snippet"], "left_semi").select("key", "digest", "at")
-    groups = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    wanted = kinds.join(groups, "anchor").select("anchor", "n", "row.*", (F.col("kinds") > crowd).alias("crowded"))
+    hot, rest = of_keys(shared, kinds.filter("n > 1"), ["anchor", "snippet"], "n")
+    whole = hot.unionByName(rest).select("key", "digest", "at")
+    groups = stash(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "groups")
+    crowded, calm = of_keys(kinds, groups, ["anchor"], "kinds", crowd)
+    wanted = calm.withColumn("crowded", F.lit(False)).unionByName(crowded.withColumn("crowded", F.lit(True))).select("anchor", "n", "row.*", "crowded")
     lists = wanted.groupBy("key", "digest").agg(F.collect_list(F.struct("anchor", "n", "at", "crowded")).alias("wanted"))
     fetched = named.join(lists, ["key", "digest"])
 
@@ -215,22 +283,14 @@ def covered(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
 
     fetched = fetched.select("key", "digest", "text", "wanted").mapInArrow(cut, "key long, digest long, anchor long, n long, at long, crowded boolean, bytes binary")
     fetched = stash(fetched, "snippets")
-    _collect_garbage(fetched)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, last = 0, None
 
         def emit() -> pa.RecordBatch:
-            found = repeats(bytes([SEPARATOR]).join(h[3] for h in held), length)
-            keys, digests, ats, place = [], [], [], 0
-            for key, digest, at, data in held:
-                for first, more in _spans(np.flatnonzero(found[place : place + len(data)]), length):
-                    keys.append(key)
-                    digests.append(digest)
-                    ats.append((at >> 16) + first << 16 | more)
-                place += len(data) + 1
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, digests, ats)], ["key", "digest", "at"])
+            out = [(*held[i][:2], (held[i][2] >> 16) + first << 16 | more) for i, first, more in repeating_parts([h[3] for h in held], length)]
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else ([], [], []))], ["key", "digest", "at"])
 
         for batch in batches:
             for anchor, key, digest, at, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
@@ -248,13 +308,13 @@ def covered(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, digest, at, data, n in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                hashes = [xxhash.xxh64_intdigest(data[i : i + length], 2) for i in range(len(data) - length + 1)]
-                starts = [(at >> 16) + i << 16 for i in range(len(hashes))]
-                arrays = [pa.array([x] * len(hashes), pa.int64()) for x in (key, digest, n)]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(starts, pa.int64()), pa.array(np.array(hashes, dtype=np.uint64).view(np.int64))], ["key", "digest", "n", "at", "string"])
+                names = [xxhash.xxh3_128_digest(data[i : i + length]) for i in range(len(data) - length + 1)]
+                starts = [(at >> 16) + i << 16 for i in range(len(names))]
+                arrays = [pa.array([x] * len(names), pa.int64()) for x in (key, digest, n)]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(starts, pa.int64()), pa.array(names, pa.binary())], ["key", "digest", "n", "at", "string"])
 
-    crowded = fetched.filter("crowded").select("anchor", "key", "digest", "at", "bytes", "n")
-    dealt = crowded.select("key", "digest", "at", "bytes", "n").mapInArrow(strings, "key long, digest long, n long, at long, string long")
+    crowded = fetched.filter("crowded").select("key", "digest", "at", "bytes", "n")
+    dealt = crowded.mapInArrow(strings, "key long, digest long, n long, at long, string binary")
     common = dealt.groupBy("string").agg(F.sum("n").alias("times")).filter("times > 1").select("string")
     crowds = dealt.join(common, "string", "left_semi").select("key", "digest", "at")
     return whole.unionByName(edges).unionByName(crowds)
@@ -283,7 +343,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     runs = covered(docs, doc_id, text, length, gram, crowd).groupBy("key", "digest").agg(F.collect_list("at").alias("ats"))
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumns({"key": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "digest": F.xxhash64("text")})
+    rows = rows.withColumns({"key": F.xxhash64(F.col("doc_id").cast("string")), "digest": F.xxhash64("text")})
     joined = rows.join(runs, ["key", "digest"], "left").select("doc_id", "text", "ats")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_bytes]
 
