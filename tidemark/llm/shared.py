@@ -46,22 +46,17 @@ def unstash(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-HOT_ROWS, HOT_KEYS = 20_000, 100_000
-"""A key with more rows is hot; if there are at most so many hot keys, they are broadcast."""
+HOT_KEYS = 5000
 
 
-def of_keys(df: DataFrame, keys: DataFrame, on: list[str], rows: str, hot: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """The rows of df whose key is in `keys`: those of keys with more than `hot` rows, and the others.
+def is_hot(keys: DataFrame, name: Column, rows: str, total: int) -> Column:
+    """Whether `name` is that of a key with more than a HOT_KEYS-th of all rows.
 
-    keys: distinct keys and, in the column `rows`, how many rows each has. Rows of hot keys are found with a broadcast,
-    so no task gets all rows of one key. Each hot key stands for `hot` rows, so there are few; their number is checked.
+    keys: distinct keys and, in the column `rows`, how many of the `total` rows each has, so that at most HOT_KEYS names
+    come to the driver. Rows of hot keys can be told by this with no shuffle that brings them together.
     """
-    often = keys.filter(F.col(rows) > hot).select(*on)
-    rest = keys.filter(F.col(rows) <= hot).select(*on)
-    if often.count() > HOT_KEYS:
-        return df.join(often, on, "left_semi"), df.join(rest, on, "left_semi")
-    often = F.broadcast(often)
-    return df.join(often, on, "left_semi"), df.join(often, on, "left_anti").join(rest, on, "left_semi")
+    hot = [r[0] for r in keys.filter(F.col(rows) > max(100, total // HOT_KEYS)).select(name).collect()]
+    return name.isin(hot) if hot else F.lit(False)
 
 
 def word_count(text: Column) -> Column:

@@ -48,11 +48,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import of_keys, stash, unstash
+from .shared import is_hot, stash, unstash
 
 LENGTH = 200
 GRAM = 32
-CROWD = 2000
+CROWD = 10_000
 """Different snippets of one anchor that are suffix-sorted together; what has more is counted string by string."""
 
 BLOCK = 1 << 19
@@ -110,17 +110,15 @@ def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
 
 def string_hashes(raw: np.ndarray, length: int) -> np.ndarray:
     """The hash of the `length` bytes at every place, put together from those of its binary parts."""
-    powers, span = {1: _TABLE[raw]}, 1
-    while 2 * span <= length:
-        h = powers[span]
-        powers[2 * span] = h[:-span] * np.uint64(pow(_BASE, span, 1 << 64)) + h[span:]
-        span *= 2
-    n = len(raw) - length + 1
-    out, at = np.zeros(n, dtype=np.uint64), 0
-    for span in sorted(powers, reverse=True):
-        if at + span <= length and length & span:
-            out = out * np.uint64(pow(_BASE, span, 1 << 64)) + powers[span][at : at + n]
+    n, at, out, h, span = len(raw) - length + 1, 0, None, _TABLE[raw], 1
+    while span <= length:
+        if length & span:
+            part = h[at : at + n]
+            out = part.copy() if out is None else out * np.uint64(pow(_BASE, span, 1 << 64)) + part
             at += span
+        if 2 * span <= length:
+            h = h[:-span] * np.uint64(pow(_BASE, span, 1 << 64)) + h[span:]
+        span *= 2
     return out
 
 
@@ -130,9 +128,17 @@ def _directly_sorted(text: bytes, some: np.ndarray, depth: int) -> np.ndarray:
         return some
     hashes = string_hashes(np.frombuffer(text + bytes(depth), dtype=np.uint8), depth)[some]
     _, first, kind = np.unique(hashes, return_index=True, return_inverse=True)
-    strings = [text[i : i + depth] for i in some[first].tolist()]
-    place = np.empty(len(first), dtype=np.int64)
-    place[sorted(range(len(strings)), key=strings.__getitem__)] = np.arange(len(first))
+    some_of = some[first]
+    heads = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text + bytes(16), dtype=np.uint8), 16)[some_of].view(">u8")
+    by = np.lexsort((heads[:, 1], heads[:, 0]))
+    tied = (heads[by[1:]] == heads[by[:-1]]).all(axis=1)
+    # Only strings whose first 16 bytes are equal are compared further, one such run after the other.
+    starts = np.flatnonzero(np.r_[True, ~tied])
+    ends = np.r_[starts[1:], len(by)]
+    for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
+        by[a:b] = sorted(by[a:b].tolist(), key=lambda i: text[some_of[i] : some_of[i] + depth])
+    place = np.empty(len(by), dtype=np.int64)
+    place[by] = np.arange(len(by))
     return some[np.argsort(place[kind], kind="stable")]
 
 
@@ -258,17 +264,20 @@ def covered(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
 
     every = stash(named.filter(F.octet_length("text") >= length).mapInArrow(find, "key long, digest long, anchor long, snippet long, at long"), "anchors")
     again = stash(every.groupBy("anchor").count().filter(F.col("count") > 1), "again")
-    hot, rest = of_keys(every, again, ["anchor"], "count")
-    shared = stash(hot.unionByName(rest), "shared")
+    hot = is_hot(again, F.col("anchor"), "count", every.count())
+    shared = stash(every.filter(hot).unionByName(every.filter(~hot).join(again.filter(~hot), "anchor", "left_semi")), "shared")
     unstash(every)  # nothing reads it any more
 
-    row = F.struct("key", "digest", "at")
+    row, pair = F.struct("key", "digest", "at"), F.xxhash64("anchor", "snippet")
     kinds = stash(shared.groupBy("anchor", "snippet").agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("row")), "kinds")
-    hot, rest = of_keys(shared, kinds.filter("n > 1"), ["anchor", "snippet"], "n")
-    whole = hot.unionByName(rest).select("key", "digest", "at")
+    copies = kinds.filter("n > 1").select("anchor", "snippet", "n")
+    hot = is_hot(copies, pair, "n", shared.count())
+    whole = shared.filter(hot).unionByName(shared.filter(~hot).join(copies.filter(~hot), ["anchor", "snippet"], "left_semi")).select("key", "digest", "at")
     groups = stash(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "groups")
-    crowded, calm = of_keys(kinds, groups, ["anchor"], "kinds", crowd)
-    wanted = calm.withColumn("crowded", F.lit(False)).unionByName(crowded.withColumn("crowded", F.lit(True))).select("anchor", "n", "row.*", "crowded")
+    hot, n = F.col("anchor"), kinds.count()
+    hot, crowded = is_hot(groups, hot, "kinds", n), is_hot(groups.filter(F.col("kinds") > crowd), hot, "kinds", n)
+    others = kinds.filter(~hot).join(groups.filter(~hot), "anchor").withColumn("crowded", F.col("kinds") > crowd).drop("kinds")
+    wanted = kinds.filter(hot).withColumn("crowded", crowded).unionByName(others).select("anchor", "n", "row.*", "crowded")
     lists = wanted.groupBy("key", "digest").agg(F.collect_list(F.struct("anchor", "n", "at", "crowded")).alias("wanted"))
     fetched = named.join(lists, ["key", "digest"])
 
