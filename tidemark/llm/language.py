@@ -15,8 +15,10 @@ on at most SAMPLE documents a language, those with the least hash of their id.
 
 Defined results: a null text, or one without a letter, is `und` with score 0
 and rejected; documents with a null language teach nothing; without training
-documents every text is `und`; repeated rows get equal results; an empty table
-gives no rows.
+documents every text is `und`; of centroids that are equally near the first by
+language and hash decides; very long texts are counted whole, in pieces of a
+megabyte; repeated rows get equal results; an empty table gives no rows. A
+column of docs that has the name of a new one is replaced by it; others stay.
 """
 
 from __future__ import annotations
@@ -31,14 +33,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import stash
+from .shared import fresh, stash
 
 DIMENSIONS = 8192
 CENTROIDS = 4
 SAMPLE = 400
 """Documents a language that the centroids are fitted on."""
 
-MAX_LANGUAGES = 1000
+MAX_LANGUAGES = 10_000
+"""More languages are an error: their centroids are held on the driver and in every task. None is dropped."""
+
 REJECT_QUANTILE, REJECT_SHARE = 0.01, 0.75
 """A text is rejected if its cosine is below this share of this quantile of its language's sampled texts and excerpts with about as many n-grams."""
 
@@ -144,7 +148,9 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
     least = Window.partitionBy("lang").orderBy("draw")
     drawn = rows.select("lang", "draw").withColumn("place", F.row_number().over(least)).filter(F.col("place") <= sample)
-    limits = stash(drawn.groupBy("lang").agg(F.max("draw").alias("upto")).orderBy("lang").limit(MAX_LANGUAGES), "draws")
+    limits = stash(drawn.groupBy("lang").agg(F.max("draw").alias("upto")), "draws")
+    if limits.count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     training = rows.join(F.broadcast(limits), "lang").filter(F.col("draw") <= F.col("upto"))
 
     def middles(own: pd.DataFrame) -> pd.DataFrame:
@@ -187,10 +193,11 @@ def identify(docs: DataFrame, model: Model, text: str = "text", prefix: str = "l
             yield pd.DataFrame({f"{prefix}pred": pred, f"{prefix}score": score, f"{prefix}rejected": rejected})
 
     has_letter: Column = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    judged = docs.withColumn("__nearest", nearest(F.when(has_letter, F.col(text))))
-    return judged.select(*docs.columns, "__nearest.*")
+    kept, found = [F.col(f"`{c}`") for c in docs.columns if c not in {f"{prefix}pred", f"{prefix}score", f"{prefix}rejected"}], fresh(docs.columns, "nearest")
+    return docs.withColumn(found, nearest(F.when(has_letter, F.col(text)))).select(*kept, f"{found}.*")
 
 
 def known(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs without those that the model rejects."""
-    return identify(docs, model, text, "__lang_").filter(~F.col("__lang_rejected")).select(*docs.columns)
+    prefix = fresh([c.removesuffix("rejected").removesuffix("score").removesuffix("pred") for c in docs.columns], "lang_")
+    return identify(docs, model, text, prefix).filter(~F.col(f"{prefix}rejected")).select(*(F.col(f"`{c}`") for c in docs.columns))

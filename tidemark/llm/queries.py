@@ -49,7 +49,8 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = slim.withColumns({"tokenizer": F.lit("words-1"), "tokens": F.col("one")})
     least = slim.groupBy("digest").agg(F.min("doc_id").alias("least"))
     judged = first.join(least, "digest")
-    copies, originals = judged.filter("doc_id != least"), judged.filter("doc_id = least")
+    original = F.coalesce(F.col("doc_id") == F.col("least"), F.lit(False))
+    copies, originals = judged.filter(~original), judged.filter(original)
     poor = read(spark, sf_dir, "labels").filter("quality = 0").select("doc_id").distinct()
     again = originals.join(poor, "doc_id", "left_semi").withColumns({"old_tokenizer": F.col("tokenizer"), "old_tokens": F.col("one"), "tokenizer": F.lit("words-2"), "tokens": F.col("two")})
     rollup = token_counts.Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")

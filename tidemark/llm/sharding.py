@@ -6,7 +6,9 @@ draws anew but changes no other draw, so records move only into it, and about
 its share of them.
 
 Defined results: a null key is a key like any other; repeated rows go to one
-shard; an empty table gives no rows; a null text is of no bytes.
+shard, in slots one after the other; an empty table gives no rows; a null text is
+of no bytes; texts of any length are hashed whole. A column of docs that has the
+name of a new one is replaced by it; others stay.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import running_total, shuffle_key
+from .shared import fresh, running_total, shuffle_key
 
 #: Hex digits of the MD5 that make a draw: 52 bits, as a double holds.
 DRAW_DIGITS = 13
@@ -45,9 +47,10 @@ def assign(docs: DataFrame, key: str, weights: Sequence[float], shard: str = "sh
 
 def with_slots(rows: DataFrame, key: str, shard: str = "shard", slot: str = "slot") -> DataFrame:
     """Add each row's place in its shard, gapless from 0, in shuffled order; rows should be slim, they are shuffled."""
-    keyed = rows.withColumn("__key", shuffle_key(F.col(key)))
-    out = running_total(keyed, [shard], "__key", [key], F.lit(1), slot)
-    return out.withColumn(slot, F.col(slot) - 1).drop("__key")
+    name = fresh(rows.columns, "key")
+    keyed = rows.withColumn(name, shuffle_key(F.col(key)))
+    out = running_total(keyed, [shard], name, [key], F.lit(1), slot)
+    return out.withColumn(slot, F.col(slot) - 1).drop(name)
 
 
 def write_shards(docs: DataFrame, key: str, weights: Sequence[float], path: str, files_per_shard: int = 1) -> None:

@@ -18,9 +18,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The folder that the cluster shares, from spark.checkpoint.dir; where that is unset, a folder of our own in local mode and an error on a cluster."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if not told:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         told = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", told)
     return told
@@ -46,6 +48,14 @@ def unstash(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(taken: list[str], name: str) -> str:
+    """A column name like `name` that isn't taken."""
+    name = f"__{name}"
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 HOT_KEYS = 5000
 
 
@@ -78,13 +88,14 @@ def running_total(df: DataFrame, group: list[str], key: str, order: list[str], v
     are few; a window over those gives what lies before each bin, and the rows
     are only sorted within their bin. Nulls in group are a group of their own.
     """
-    binned = df.withColumns({"__bin": F.substring(key, 1, digits), "__value": value})
-    sums = binned.groupBy(*group, "__bin").agg(F.sum("__value").alias("__sum"))
-    earlier = Window.partitionBy(*group).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*(F.col(c).alias(f"__g{i}") for i, c in enumerate(group)), F.col("__bin").alias("__b"), F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"))
-    on = binned["__bin"] == sums["__b"]
+    at, own, before, of = (fresh(df.columns, c) for c in ("bin", "value", "before", "group"))
+    binned = df.withColumns({at: F.substring(key, 1, digits), own: value})
+    sums = binned.groupBy(*group, at).agg(F.sum(own).alias(before))
+    earlier = Window.partitionBy(*group).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*(F.col(c).alias(f"{of}{i}") for i, c in enumerate(group)), F.col(at).alias(f"{of}at"), F.coalesce(F.sum(before).over(earlier), F.lit(0)).alias(before))
+    on = binned[at] == sums[f"{of}at"]
     for i, c in enumerate(group):
-        on = on & binned[c].eqNullSafe(sums[f"__g{i}"])
-    within = Window.partitionBy(*group, "__bin").orderBy(key, *order).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.col("__before") + F.sum("__value").over(within)
-    return binned.join(sums, on).withColumn(name, total.cast("long")).drop("__bin", "__b", "__value", "__before", *(f"__g{i}" for i in range(len(group))))
+        on = on & binned[c].eqNullSafe(sums[f"{of}{i}"])
+    within = Window.partitionBy(*group, at).orderBy(key, *order).rowsBetween(Window.unboundedPreceding, 0)
+    total = F.col(before) + F.sum(own).over(within)
+    return binned.join(sums, on).withColumn(name, total.cast("long")).drop(at, f"{of}at", own, before, *(f"{of}{i}" for i in range(len(group))))

@@ -23,8 +23,10 @@ reached and returns a spanning forest, never all pairs.
 Copies cost nothing: equal fingerprints are one row before any comparison.
 
 Defined results: a text without words (null and empty ones too) has fingerprint
-zero and is linked like any other; repeated rows are in one group; a null id is
-kept, and is the least of its group only if all are null.
+zero and is linked like any other; repeated rows are in one group; very long
+texts are hashed whole, in bounded pieces; bits in exactly half the hashes are 0;
+a null id is kept, and is the least of its group only if all are null; an empty
+table gives no rows. Other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -82,7 +84,7 @@ def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def _pivots(n: int) -> np.ndarray:
+def pivots(n: int) -> np.ndarray:
     """Fixed references: fingerprints of the numbers 0 to n - 1."""
     return np.array([xxhash.xxh64_intdigest(str(i).encode(), SEED) for i in range(n)], dtype=np.uint64)
 
@@ -171,13 +173,13 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, crowd: int = CROWD, n_pivots
     as_is = F.array(F.struct("cut", "part"))
     rows = rows.select("fp", F.explode(F.when(F.col("crowded"), again).otherwise(as_is)).alias("at")).select("fp", F.xxhash64("at.cut", "at.part").alias("key"))
 
-    pivots = _pivots(n_pivots)
+    references = pivots(n_pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_fp, held_key = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def emit(fp: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
-            a, b = _links(fp.view(np.uint64), key, pivots, max_bits)
+            a, b = _links(fp.view(np.uint64), key, references, max_bits)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for batch in batches:

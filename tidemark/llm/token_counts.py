@@ -12,8 +12,9 @@ so a batch may be replayed after any failure. compact() folds what is committed
 into a snapshot that remembers the ids in it.
 
 Defined results: a null text has no tokens; null sources and languages are keys
-of their own; repeated rows count each; keys whose sums are all zero are left
-out; an empty rollup or batch has no rows.
+of their own; repeated rows count each; very long texts are counted whole; keys
+whose sums are all zero are left out; an empty rollup or batch has no rows.
+Columns of rows besides the named ones, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -119,15 +120,22 @@ class Rollup:
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, documents, tokens."""
         snapshot, folded = self._snapshot()
-        parts = [n for n in self._folders("batch") if n.removeprefix("batch-") not in folded]
-        paths = [f"{self.path}/{n}" for n in ([snapshot] if snapshot else []) + parts]
+        return self._sums(snapshot, [n for n in self._folders("batch") if n.removeprefix("batch-") not in folded])
+
+    def _sums(self, snapshot: str | None, batches: list[str]) -> DataFrame:
+        paths = [f"{self.path}/{n}" for n in ([snapshot] if snapshot else []) + batches]
         every = self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
         sums = every.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS))
         return sums.filter(" OR ".join(f"{c} != 0" for c in SUMS))
 
     def compact(self) -> None:
         """Fold everything that is committed into a new snapshot; readers change over when it is complete."""
-        ids, totals = self.committed(), self.totals()
+        snapshot, folded = self._snapshot()
+        batches = [n for n in self._folders("batch") if n.removeprefix("batch-") not in folded]  # one listing for both ids and totals
+        ids, totals = {n.removeprefix("batch-") for n in batches} | folded, self._sums(snapshot, batches)
         n = f"{len(self._folders('snapshot')):09d}"
         self.spark.createDataFrame([(i,) for i in sorted(ids)], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/ids-{n}")
         totals.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/snapshot-{n}")
+        for i in folded:  # in the snapshot before already, so no reader needs these any more
+            path, fs = self._fs(f"{self.path}/batch-{i}")
+            fs.delete(path, True)

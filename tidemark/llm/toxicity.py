@@ -20,7 +20,10 @@ those with the least hash of their id; classes keep their true weights.
 
 Defined results: null and empty texts have no hits and get the score of that;
 without training labels of both classes every score is 0; a null label teaches
-nothing; repeated rows get equal scores; an empty table gives no rows.
+nothing; repeated rows get equal scores; very long texts are gone through word
+by word; of several entries that a word is a misspelling of, the one of the
+largest weight counts; an empty table gives no rows. A column of docs that has
+the name of the score is replaced by it; others stay.
 """
 
 from __future__ import annotations
@@ -47,7 +50,6 @@ MIN_SHARE, MIN_DOCUMENTS = 0.01, 3
 MIN_LIFT = 5.0
 """And stands this many times as often in them as in the others."""
 
-MAX_ENTRIES = 2000
 STEM = range(3, 10)
 """Lengths of stems."""
 
@@ -223,6 +225,10 @@ def _chosen(found: dict[str, tuple[int, float]], word_need: float) -> tuple[dict
     """
     words: dict[str, float] = {}
     stems: dict[str, float] = {}
+    by_one: dict[str, list[str]] = {}  # the stems that are one letter longer
+    for e in sorted(found):
+        if e.endswith("*"):
+            by_one.setdefault(e[:-2], []).append(e)
     blocked: set[str] = set()
     fuzzy: list[str] = []
     for entry, (documents, weight) in sorted(found.items(), key=lambda x: (-x[1][0] * x[1][1], x[0])):
@@ -230,7 +236,7 @@ def _chosen(found: dict[str, tuple[int, float]], word_need: float) -> tuple[dict
         if any(name[:n] in stems for n in range(1, len(name) + 1)) or entry.endswith("*") and name in blocked or not entry.endswith("*") and documents < word_need:
             continue
         # A beginning that hardly anything else has is better known by more of its letters.
-        while entry.endswith("*") and (longer := [e for e in found if len(e) == len(name) + 2 and e.startswith(name) and e.endswith("*") and found[e][0] >= SAME_SHARE * found[f"{name}*"][0]]):
+        while entry.endswith("*") and (longer := [e for e in by_one.get(name, []) if found[e][0] >= SAME_SHARE * found[f"{name}*"][0]]):
             name = longer[0][:-1]
             weight = found[longer[0]][1]
         (stems if entry.endswith("*") else words)[name] = weight
@@ -270,7 +276,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     seen = rows.select(F.col("label").cast("int").alias("label"), "text").mapInArrow(entries, "entry string, label int").groupBy("entry").agg(toxic.alias("t"), clean.alias("n")).filter(F.col("t") >= need)
     lift = (F.col("t") + 0.5) / (totals.get(1, 0) + 1) / ((F.col("n") + 0.5) / (totals.get(0, 0) + 1))
     seen = seen.withColumn("weight", F.log(lift)).filter(F.col("weight") >= math.log(MIN_LIFT))
-    kept = seen.orderBy(F.desc(F.col("t") * F.col("weight")), "entry").limit(MAX_ENTRIES).collect()
+    kept = seen.collect()  # each stands in MIN_SHARE of the sampled toxic documents, so there are at most 1 / MIN_SHARE times as many as one of these has
     words, stems, fuzzy = _chosen({r["entry"]: (r["t"], r["weight"]) for r in kept}, WORD_SHARE * totals.get(1, 0))
     shared = docs.sparkSession.sparkContext.broadcast((words, stems, fuzzy))
 

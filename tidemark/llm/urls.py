@@ -12,7 +12,10 @@ digest instead, with the same confirmation.
 
 Defined results: a null url, or one without `://`, has an empty host and path
 and fits no rule; a rule with a null part fits nothing; of two equal rules
-`block` holds; an empty table gives no rows.
+`block` holds; repeated urls are judged alike; very long urls are read whole, but
+only parents of a host that are no longer than the longest rule's are looked up;
+an empty table gives no rows. Columns of pages named host, path, rule or verdict
+are replaced by the new ones; others stay.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stash
+from .shared import fresh, stash
 
 MAX_LOCAL_RULES = 1_000_000
 
@@ -43,10 +46,12 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, upper, upper.lower()), path
 
 
-def possible_keys(host: Column, path: Column, path_lengths: list[int]) -> Column:
-    """Every parent domain of host (itself included), joined with each prefix of path of these lengths."""
-    labels = F.split(host, r"\.")
+def possible_keys(host: Column, path: Column, path_lengths: list[int], longest: int) -> Column:
+    """Every parent domain of host (itself included) of at most `longest` characters, joined with each prefix of path of these lengths."""
+    # A longer one fits no rule, so only what follows a dot among the last characters is split into labels.
+    labels = F.split(F.when(F.length(host) > longest, F.concat(F.lit("."), F.regexp_extract(F.substr(host, -F.lit(longest + 1)), r"\.(.*)$", 1))).otherwise(host), r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    parents = F.filter(parents, lambda h: (F.length(h) <= longest) & ((F.length(host) <= longest) | (F.substr(h, F.lit(1), F.lit(1)) != ".")))
     prefixes = F.filter(F.array(*(F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in path_lengths)), lambda p: p.isNotNull())
     return F.flatten(F.transform(parents, lambda h: F.transform(prefixes, lambda p: F.concat(h, F.lit("\n"), p))))
 
@@ -114,22 +119,22 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     """
     spark = pages.sparkSession
     key = F.concat(F.lower("host"), F.lit("\n"), F.col("path"))
-    rules = rules.filter("host IS NOT NULL AND path IS NOT NULL").select(key.alias("key"), F.xxhash64(key).alias("digest"), F.length("path").alias("n"), "verdict")
+    rules = rules.filter("host IS NOT NULL AND path IS NOT NULL").select(key.alias("key"), F.xxhash64(key).alias("digest"), "host", F.length("path").alias("n"), "verdict")
     lengths = sorted(r["n"] for r in rules.select("n").distinct().collect())
     host, path = host_and_path(F.col(url))
+    many, found, row = (fresh(pages.columns, c) for c in ("keys", "found", "row"))
     judged = pages.withColumns({"host": host, "path": path})
     if not lengths:
         return judged.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    keys = possible_keys(F.col("host"), F.col("path"), lengths)
+    keys = possible_keys(F.col("host"), F.col("path"), lengths, rules.agg(F.max(F.length("host"))).first()[0])
     head = rules.select("key", "digest", "verdict").take(max_local_rules + 1)
     if len(head) <= max_local_rules:
-        judged = judged.withColumn("__keys", keys)
-        found = _prober(_share(spark, head))(F.col("__keys"), F.transform("__keys", lambda k: F.xxhash64(k)))
-        judged = judged.withColumn("__found", found)
+        judged = judged.withColumn(many, keys)
+        judged = judged.withColumn(found, _prober(_share(spark, head))(F.col(many), F.transform(many, lambda k: F.xxhash64(k))))
     else:
-        judged = stash(judged.withColumn("__row", F.monotonically_increasing_id()), "pages")
-        asked = judged.select("__row", F.explode(keys).alias("key")).withColumn("digest", F.xxhash64("key"))
+        judged = stash(judged.withColumn(row, F.monotonically_increasing_id()), "pages")
+        asked = judged.select(row, F.explode(keys).alias("key")).withColumn("digest", F.xxhash64("key"))
         hits = asked.join(rules.groupBy("key", "digest").agg(F.max("verdict").alias("verdict")), ["digest", "key"])
-        best = hits.groupBy("__row").agg(F.max_by(F.struct("key", "verdict"), F.length("key")).alias("__found"))
-        judged = judged.join(best, "__row", "left").drop("__row")
-    return judged.withColumns({"rule": F.replace(F.col("__found.key"), F.lit("\n"), F.lit("")), "verdict": F.coalesce("__found.verdict", F.lit(default))}).drop("__keys", "__found")
+        best = hits.groupBy(row).agg(F.max_by(F.struct("key", "verdict"), F.length("key")).alias(found))
+        judged = judged.join(best, row, "left").drop(row)
+    return judged.withColumns({"rule": F.replace(F.col(f"{found}.key"), F.lit("\n"), F.lit("")), "verdict": F.coalesce(f"{found}.verdict", F.lit(default))}).drop(many, found)
