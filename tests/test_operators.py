@@ -171,6 +171,8 @@ def test_text_functions(spark):
     assert one(spark, text.axis_key(F.col("x"), F.lit(None).cast("string"), F.lit(" A ")), x="Remix") == "remix__regular__a"
     assert one(spark, times.cyclic_distance(F.col("x"), F.lit(11)), x=1) == 2
     assert one(spark, times.fold_interval(F.col("x"), F.lit(0.5)), x=0.98) == pytest.approx(0.49)
+    assert one(spark, times.fold_interval(F.col("x"), F.lit(1.0)), x=1.45) == 1.45
+    assert one(spark, times.fold_interval(F.col("x"), F.lit(1.0)), x=0.2) == pytest.approx(0.8)
 
 
 @given(st.lists(st.floats(0.1, 50), min_size=2, max_size=6), st.floats(-20, 200))

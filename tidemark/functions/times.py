@@ -42,8 +42,10 @@ def timecode(total: Column) -> Column:
 
 
 def fold_interval(x: Column, base: Column) -> Column:
-    """x halved or doubled until it is nearest to base on the scale of octaves."""
-    return x / F.pow(F.lit(2.0), F.bround(F.log2(x / base)))
+    """x halved until it is at most 1.5 x base, or doubled until it is at least base / 1.5; between those it stays."""
+    halvings = F.ceil(F.log2(x / (1.5 * base)))
+    doublings = F.ceil(F.log2(base / 1.5 / x))
+    return F.when(x > 1.5 * base, x / F.pow(F.lit(2.0), halvings)).when(x < base / 1.5, x * F.pow(F.lit(2.0), doublings)).otherwise(x)
 
 
 def cyclic_distance(a: Column, b: Column, n: int = 12) -> Column:
@@ -65,8 +67,10 @@ def map_inverse(anchors: Column, y: Column) -> Column:
 
 
 def trajectory_value(pieces: Column, x: Column) -> Column:
-    """Pieces (lo, hi, dst, slope): the value of the first that covers x, else null."""
-    hit = F.get(F.filter(pieces, lambda p: (p["lo"] <= x) & (x < p["hi"])), F.lit(0))
+    """Pieces (lo, hi, dst, slope): the value of the first that covers x, its ends included; before the first that one goes on, elsewhere the last."""
+    hit = F.get(F.filter(pieces, lambda p: (p["lo"] <= x) & (x <= p["hi"])), F.lit(0))
+    first, last = F.get(pieces, F.lit(0)), F.element_at(pieces, -1)
+    hit = F.coalesce(hit, F.when(x < first["lo"], first).otherwise(last))
     return hit["dst"] + (x - hit["lo"]) * hit["slope"]
 
 

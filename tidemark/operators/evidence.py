@@ -35,14 +35,15 @@ def best_value(shares: DataFrame, unit: str, value: str) -> DataFrame:
     return picks.first_of(shares, [unit], [F.desc("share"), F.asc_nulls_last(value)])
 
 
-def bands(results: DataFrame, unit: str, source: str, at: str, confidence: str) -> DataFrame:
-    """ACCEPT, REVIEW or ABSTAIN for each unit from one result a source (the most confident) around their median."""
-    one = picks.first_of(results, [unit, source], [F.desc(confidence), F.asc(at)])
+def bands(results: DataFrame, unit: str, source: str, at: str, confidence: str, abstained: Column) -> DataFrame:
+    """ACCEPT, REVIEW or ABSTAIN for each unit from one result a source (the most confident that fired) around their median; ABSTAIN where none fired."""
+    one = picks.first_of(results.filter(~abstained), [unit, source], [F.desc(confidence), F.asc(at)])
     median = one.groupBy(unit).agg(F.percentile(at, F.lit(0.5)).alias("consensus"))
     off = F.abs(F.col(at) - F.col("consensus"))
     own = one.join(median, unit).groupBy(unit, "consensus").agg(F.count(F.lit(1)).alias("n"), F.count_if(off <= 1.0).alias("close"), F.count_if(off <= 3.0).alias("near"), F.avg(F.when(off <= 1.0, F.col(confidence))).alias("mean_close"), F.max(confidence).alias("top"))
     band = F.when((F.col("n") >= 2) & (F.col("close") >= 2) & (F.col("mean_close") >= 0.55), "ACCEPT").when((F.col("near") >= 2) | (F.col("top") >= 0.7), "REVIEW").otherwise("ABSTAIN")
-    return own.select(unit, "consensus", "n", "close", "near", band.alias("band"))
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "close", "near")]
+    return results.select(unit).distinct().join(own, unit, "left").select(unit, "consensus", *counts, band.alias("band"))
 
 
 def borda(ranked: DataFrame, unit: str, ranking: str, value: str, score: str) -> DataFrame:
@@ -52,30 +53,41 @@ def borda(ranked: DataFrame, unit: str, ranking: str, value: str, score: str) ->
     return ranked.withColumn("__p", points).groupBy(unit, value).agg(F.sum("__p").alias("points"))
 
 
-def dawid_skene(votes: DataFrame, unit: str, source: str, value: str, rounds: int, start: float = 0.7) -> DataFrame:
-    """One-coin Dawid-Skene by `rounds` EM steps: unit, value, posterior.
+def hypotheses(votes: DataFrame, unit: str, value: str) -> DataFrame:
+    """unit, value, place: the values that a unit's votes name, in order, after the null value (none of them), which each unit has first."""
+    named = votes.filter(F.col(value).isNotNull()).select(unit, value).distinct()
+    null = votes.select(unit).distinct().withColumn(value, F.lit(None).cast(votes.schema[value].dataType))
+    return null.unionByName(named).withColumn("place", F.row_number().over(Window.partitionBy(unit).orderBy(F.asc_nulls_first(value))) - 1)
 
-    A source is right with its accuracy a, else votes for one of the other K - 1
-    values met in the unit with equal mass. Accuracies are one row a source and
-    are joined to the votes; posteriors stay distributed throughout.
+
+def dawid_skene(votes: DataFrame, unit: str, source: str, value: str, rounds: int, start: float = 0.7, null_prior: float = 1.05) -> DataFrame:
+    """One-coin Dawid-Skene by `rounds` EM steps: unit, value, posterior; a null value is "none of these".
+
+    A source that fires is right with its accuracy a. Where some value is true
+    it else votes for one of the other K - 1 values named in the unit, where
+    none is, for one of all K, with equal mass. None has `null_prior` times the
+    prior of a value, and is certain in a unit where every source abstains.
+    Accuracies are one row a source and are joined to the votes; posteriors stay
+    distributed throughout.
     """
     given = votes.filter(F.col(value).isNotNull()).select(unit, source, F.col(value).alias("__given"))
-    values = given.select(unit, F.col("__given").alias(value)).distinct()
-    k = values.groupBy(unit).agg(F.count(F.lit(1)).alias("__k"))
-    cells = given.join(values.join(k, unit), unit)
+    space = hypotheses(votes, unit, value).drop("place")
+    k = given.groupBy(unit).agg(F.countDistinct("__given").alias("__k"))
+    cells = given.join(space.join(k, unit), unit).persist()  # read once a step
     accuracy = given.select(source).distinct().withColumn("__a", F.lit(start))
     posterior = None
     for step in range(rounds + 1):
-        right = F.col("__given") == F.col(value)
-        wrong = F.when(F.col("__k") > 1, (1 - F.col("__a")) / (F.col("__k") - 1)).otherwise(1 - F.col("__a"))
-        logs = cells.join(accuracy, source).groupBy(unit, value).agg(F.sum(F.log(F.when(right, F.col("__a")).otherwise(wrong))).alias("__log"))
+        wrong = (1 - F.col("__a")) / F.when(F.col(value).isNull(), F.col("__k")).otherwise(F.greatest(F.col("__k") - 1, F.lit(1)))
+        mass = F.when(F.col("__given") == F.col(value), F.col("__a")).otherwise(wrong)
+        logs = cells.join(accuracy, source).groupBy(unit, value).agg(F.sum(F.log(mass)).alias("__log"))
         w = Window.partitionBy(unit)
-        odds = F.exp(F.col("__log") - F.max("__log").over(w))
+        odds = F.exp(F.col("__log") - F.max("__log").over(w)) * F.when(F.col(value).isNull(), null_prior).otherwise(1.0)
         posterior = logs.withColumn("__odds", odds).withColumn("posterior", F.col("__odds") / F.sum("__odds").over(w)).select(unit, value, "posterior")
         if step < rounds:
             agreed = given.join(posterior.withColumnRenamed(value, "__given"), [unit, "__given"])
             accuracy = agreed.groupBy(source).agg(F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.avg("posterior"))).alias("__a"))
-    return posterior
+    silent = votes.select(unit).distinct().join(given.select(unit).distinct(), unit, "left_anti")
+    return posterior.unionByName(silent.select(unit, F.lit(None).cast(votes.schema[value].dataType).alias(value), F.lit(1.0).alias("posterior")))
 
 
 def beta_update(outcomes: DataFrame, source: str, success: Column, a: float = 1.0, b: float = 1.0) -> DataFrame:

@@ -5,43 +5,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
 
-def closure(edges: DataFrame, child: str, parent: str, most: int = 50) -> DataFrame:
+
+def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """node, ancestor, depth (the least) by an iterated frontier; what was reached is never walked again, so diamonds don't multiply.
 
-    Each round joins only what is new. Rounds end when nothing is; the plan is
-    cut every few rounds with a checkpoint in the cluster's folder.
+    Each round joins only what is new, and is written; rounds end when nothing is, at any depth.
     """
-    spark = edges.sparkSession
-    step = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).filter("node != ancestor").distinct()
-    known = step.withColumn("depth", F.lit(1))
-    new, depth = known, 1
-    while depth < most:
+    step = written(edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).filter("node != ancestor").distinct())
+    hop = step.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("__next"))
+    new = known = step.withColumn("depth", F.lit(1))
+    depth = 1
+    while not new.isEmpty():
         depth += 1
-        hop = step.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("__next"))
         new = new.join(hop, "ancestor").select("node", F.col("__next").alias("ancestor")).filter("node != ancestor").distinct()
-        new = new.join(known, ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth))
-        if spark.conf.get("spark.checkpoint.dir", None) and depth % 4 == 0:
-            new, known = new.checkpoint(), known.checkpoint()
-        if new.isEmpty():
-            break
+        new = written(new.join(known, ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
         known = known.unionByName(new)
     return known
 
 
-def on_cycles(edges: DataFrame, child: str, parent: str, most: int = 50) -> DataFrame:
+def on_cycles(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """Edges left when every node without parents, then without unresolved ones, is peeled off: those on or above a cycle."""
-    left = edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).distinct()
-    n = left.count()
-    for _ in range(most):
-        left = left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select("child", "parent")
-        now = left.count()
-        if now in (0, n):
-            break
-        n = now
+    left = written(edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).distinct())
+    n, now = -1, left.count()
+    while now not in (0, n):
+        left = written(left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select("child", "parent"))
+        n, now = now, left.count()
     return left
 
 
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """node, root (the least node reachable) for every node of an edge: each takes the least root of its neighbours and then its root's own, until nothing changes."""
+    both = edges.select(F.col(a).alias("node"), F.col(b).alias("other"))
+    both = written(both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).filter("node != other").distinct())
+    roots = written(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")))
+    while True:
+        offered = both.join(roots.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("root").alias("least"))
+        nearer = roots.join(offered, "node").select("node", F.least("root", "least").alias("hop"), F.col("root").alias("was"))
+        jump = roots.select(F.col("node").alias("hop"), F.col("root").alias("far"))
+        after = written(nearer.join(jump, "hop", "left").select("node", F.least("hop", F.coalesce("far", "hop")).alias("root"), "was"))
+        done = after.filter("root != was").isEmpty()
+        roots = after.select("node", "root")
+        if done:
+            return roots
+
+
 def dangling(rows: DataFrame, key: str, targets: DataFrame, target: str, law: str) -> DataFrame:
     """Offenders of a reference law: keys that name nothing."""
     named = targets.select(F.col(target).alias(key)).distinct()

@@ -31,10 +31,13 @@ def clipped(df: DataFrame, lo: str, hi: str, least: float, most: float) -> DataF
 
 
 def active_at(points: DataFrame, spans: DataFrame, at: str, lo: str, hi: str, width: float) -> DataFrame:
-    """points with `active`, the number of spans with lo <= at < hi: through cells, so that no point meets all spans."""
+    """points with `active`, the number of spans with lo <= at < hi: through cells, so that no point meets all spans.
+
+    Counted once for each different place, so repeated points count alike; a point at no place (null) has 0.
+    """
     cell = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
-    dealt = spans.select(F.col(lo).alias("__lo"), F.col(hi).alias("__hi"), F.explode(F.sequence(cell(lo), cell(hi))).alias("__cell"))
-    rows = points.withColumns({"__cell": cell(at)})
-    hits = rows.join(dealt, "__cell").filter((F.col("__lo") <= F.col(at)) & (F.col(at) < F.col("__hi")))
-    counts = hits.groupBy(*points.columns).agg(F.count(F.lit(1)).alias("active"))
-    return points.join(counts, points.columns, "left").withColumn("active", F.coalesce("active", F.lit(0)))
+    dealt = spans.filter(F.col(lo) < F.col(hi)).select(F.col(lo).alias("__lo"), F.col(hi).alias("__hi"), F.explode(F.sequence(cell(lo), cell(hi))).alias("__cell"))
+    places = points.select(F.col(at).alias("__at")).distinct().withColumn("__cell", cell("__at"))
+    hits = places.join(dealt, "__cell").filter((F.col("__lo") <= F.col("__at")) & (F.col("__at") < F.col("__hi")))
+    counts = hits.groupBy("__at").agg(F.count(F.lit(1)).alias("active"))
+    return points.join(counts, F.col(at) == F.col("__at"), "left").drop("__at").withColumn("active", F.coalesce("active", F.lit(0)))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import curves, evidence, relational, structure, timeline
+from . import curves, evidence, matching, relational, structure, timeline
 
-PARTS = (relational, timeline, evidence, structure, curves)
+PARTS = (relational, timeline, evidence, structure, curves, matching)
 QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
 ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}

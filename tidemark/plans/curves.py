@@ -82,7 +82,7 @@ _DOT = "list_aggregate(list_transform(list_zip({0}, {1}), lambda p: p[1]::DOUBLE
 ORACLES = {
     "tempo_curve": f"WITH {_E}, g AS (SELECT *, us - lag(us) OVER {_W} AS gap FROM e) SELECT event_id, round(median(gap) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 3600000000, 6) AS hours FROM g",
     "history_latest": "SELECT o_custkey, o_orderkey, count(*) OVER (PARTITION BY o_custkey) - 1 AS generation FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
-    "trajectory_accuracy": "WITH t AS (SELECT o_orderstatus, CASE WHEN o_totalprice < 0 THEN NULL WHEN o_totalprice < 200000 THEN o_totalprice WHEN o_totalprice < 600000 THEN 100000 + (o_totalprice - 200000) END AS a, CASE WHEN o_totalprice < 0 THEN NULL WHEN o_totalprice < 150000 THEN 2000 + o_totalprice WHEN o_totalprice < 600000 THEN 152000 + (o_totalprice - 150000) * 0.9 END AS b FROM orders) SELECT o_orderstatus, count(*) AS n, round(avg((abs(a - b) < 5000)::INT), 6) AS accuracy FROM t GROUP BY 1",
+    "trajectory_accuracy": "WITH t AS (SELECT o_orderstatus, CASE WHEN o_totalprice <= 200000 THEN o_totalprice ELSE 100000 + (o_totalprice - 200000) END AS a, CASE WHEN o_totalprice <= 150000 THEN 2000 + o_totalprice ELSE 152000 + (o_totalprice - 150000) * 0.9 END AS b FROM orders) SELECT o_orderstatus, count(*) AS n, round(avg((abs(a - b) < 5000)::INT), 6) AS accuracy FROM t GROUP BY 1",
     "corroborating_pairs": f"WITH {_SPANS}, x AS (SELECT s.*, value FROM s JOIN events USING (event_id)) SELECT p.event_id AS a, q.event_id AS b FROM x p JOIN x q ON p.user_id = q.user_id AND least(p.hi, q.hi) - greatest(p.lo, q.lo) >= 2 AND abs(p.value - q.value) <= 50 WHERE p.event_type = 'view' AND q.event_type = 'signup'",
     "scorecard": f"WITH {_NEAR}, o AS (SELECT abs(near - t0) / 3600000000 AS f FROM r) SELECT count(*) AS n, count(*) FILTER (f <= 1) AS within_1, count(*) FILTER (f <= 6) AS within_6, count(*) FILTER (f <= 24) AS within_24 FROM o",
     "pairwise_corr": f"WITH {_E}, n AS (SELECT us // 86400000000 AS day, event_type, count(*) AS n FROM e GROUP BY 1, 2) SELECT a.event_type, b.event_type AS other, round(corr(a.n, b.n), 6) AS corr FROM n a JOIN n b ON a.day = b.day AND a.event_type < b.event_type GROUP BY 1, 2",

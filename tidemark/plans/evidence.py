@@ -11,6 +11,10 @@ from ..operators import evidence, graph, joins, picks, series
 from ..sources.tables import table
 
 
+QUERY_BLOCK = 50_000
+"""Query vectors that are broadcast at once."""
+
+
 def votes(spark: SparkSession, d: str) -> DataFrame:
     """Events as votes: the user's day is the unit, the type's number mod 3 the value (null: abstain), the type the source."""
     e = table(spark, d, "events")
@@ -50,7 +54,7 @@ def density_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def agreement_band(spark: SparkSession, d: str) -> DataFrame:
-    b = evidence.bands(votes(spark, d), "unit", "source", "at", "confidence")
+    b = evidence.bands(votes(spark, d), "unit", "source", "at", "confidence", F.col("vote").isNull())
     return b.select("unit", F.round("consensus", 6).alias("consensus"), "n", "close", "near", "band")
 
 
@@ -71,14 +75,15 @@ def borda_points(spark: SparkSession, d: str) -> DataFrame:
 
 
 def margin_gate(spark: SparkSession, d: str) -> DataFrame:
-    """The claimed supplier of each part (its lowest key) is overridden if the best by points leads by two or more."""
+    """A part's claimed supplier (its key mod 10, plus 1) is overridden by the best by points if that has six points and
+    leads the claim by two (or the claim has none); else a claim with points is accepted, and one without is an abstention."""
     points = borda_points(spark, d)
-    w = Window.partitionBy("l_partkey").orderBy(F.desc("points"), "l_suppkey")
-    ranked = points.withColumns({"place": F.row_number().over(w), "margin": F.col("points") - F.coalesce(F.lead("points").over(w), F.lit(0))})
-    claim = points.groupBy("l_partkey").agg(F.min("l_suppkey").alias("claim"))
-    top = ranked.filter("place = 1").join(claim, "l_partkey")
-    over = (F.col("l_suppkey") != F.col("claim")) & (F.col("margin") >= 2)
-    return top.select("l_partkey", F.when(over, "override").otherwise("accept").alias("gate"), F.when(over, F.col("l_suppkey")).otherwise(F.col("claim")).alias("chosen"))
+    top = picks.first_of(points, ["l_partkey"], [F.desc("points"), F.asc("l_suppkey")]).withColumn("claim", F.col("l_partkey") % 10 + 1)
+    own = points.select("l_partkey", F.col("l_suppkey").alias("claim"), F.col("points").alias("claimed"))
+    top = top.join(own, ["l_partkey", "claim"], "left")
+    over = (F.col("l_suppkey") != F.col("claim")) & (F.col("points") >= 6) & (F.col("claimed").isNull() | (F.col("points") - F.col("claimed") >= 2))
+    gate = F.when(over, "override").when(F.col("claimed").isNotNull(), "accept").otherwise("abstain")
+    return top.select("l_partkey", gate.alias("gate"), F.when(over, F.col("l_suppkey")).when(F.col("claimed").isNotNull(), F.col("claim")).alias("chosen"))
 
 
 def beta_precision(spark: SparkSession, d: str) -> DataFrame:
@@ -222,7 +227,7 @@ def timecodes(spark: SparkSession, d: str) -> DataFrame:
 def token_jaccard(spark: SparkSession, d: str) -> DataFrame:
     """Each order's two lines' part names by shared words, for neighbouring line numbers."""
     part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.split("p_name", " ").alias("words"))
-    line = table(spark, d, "lineitem").filter("l_orderkey % 10 = 3").join(part, "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "words")
+    line = table(spark, d, "lineitem").join(part, "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "words")
     a = line.select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("other"), F.col("words").alias("w2"))
     return line.join(a, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "l_partkey", "other", F.round(text.token_jaccard(F.col("words"), F.col("w2")), 6).alias("jaccard")).distinct()
 
@@ -257,11 +262,14 @@ def landmark_hashes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def offset_votes(spark: SparkSession, d: str) -> DataFrame:
-    """For pairs of a user below 15 and one from 15 to 29: the offset with the most common landmarks, and its sharpness."""
-    h = landmark_hashes(spark, d)
-    mix = h.filter("user_id < 15").select("f1", "f2", "dt", F.col("user_id").alias("mix"), F.col("anchor").alias("a"))
-    ref = h.filter("user_id BETWEEN 15 AND 29").select("f1", "f2", "dt", F.col("user_id").alias("ref"), F.col("anchor").alias("b"))
-    n = mix.join(ref, ["f1", "f2", "dt"]).groupBy("mix", "ref", (F.col("b") - F.col("a")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
+    """For pairs of an even user and an odd one: the offset with the most common landmarks, and its sharpness.
+
+    Landmarks that fall together in place are counted before the join, so a hot one meets as one row a place.
+    """
+    h = landmark_hashes(spark, d).groupBy("user_id", "f1", "f2", "dt", "anchor").agg(F.count(F.lit(1)).alias("n"))
+    mix = h.filter("user_id % 2 = 0").select("f1", "f2", "dt", F.col("user_id").alias("mix"), F.col("anchor").alias("a"), F.col("n").alias("na"))
+    ref = h.filter("user_id % 2 = 1").select("f1", "f2", "dt", F.col("user_id").alias("ref"), F.col("anchor").alias("b"), F.col("n").alias("nb"))
+    n = mix.join(ref, ["f1", "f2", "dt"]).groupBy("mix", "ref", (F.col("b") - F.col("a")).alias("offset")).agg(F.sum(F.col("na") * F.col("nb")).alias("votes"))
     w = Window.partitionBy("mix", "ref").orderBy(F.desc("votes"), "offset")
     n = n.withColumns({"place": F.row_number().over(w), "second": F.lead("votes").over(w)})
     return n.filter("place = 1").select("mix", "ref", "offset", "votes", F.round(F.col("votes") / F.greatest(F.coalesce("second", F.lit(0)), F.lit(1)), 6).alias("sharpness"))
@@ -277,11 +285,17 @@ def capped_matches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The five nearest by cosine for each query vector (ids divisible by 20), among all of its label."""
+    """The five nearest by cosine among all for each query vector (ids divisible by 20), the queries in blocks of bounded size."""
     e = table(spark, d, "embeddings").withColumn("length", vectors.norm(F.col("embedding")))
-    q = e.filter("vec_id % 20 = 0").select("label", F.col("vec_id").alias("q"), F.col("embedding").alias("qe"), F.col("length").alias("ql"))
-    s = q.join(e, "label").filter("q != vec_id").withColumn("cosine", F.round(vectors.dot(F.col("qe"), F.col("embedding")) / (F.col("ql") * F.col("length")), 5))
-    return picks.first_of(s, ["q"], [F.desc("cosine"), F.asc("vec_id")], 5, "place").select("q", "vec_id", "cosine", "place")
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"), F.col("length").alias("ql"))
+    blocks = -(-q.count() // QUERY_BLOCK)
+    cosine = F.round(vectors.dot(F.col("qe"), F.col("embedding")) / (F.col("ql") * F.col("length")), 5)
+    best = None
+    for i in range(max(1, blocks)):
+        some = e.join(F.broadcast(q.filter(F.pmod(F.xxhash64("q"), F.lit(max(1, blocks))) == i)), F.col("q") != F.col("vec_id"))
+        some = picks.first_of(some.select("q", "vec_id", cosine.alias("cosine")), ["q"], [F.desc("cosine"), F.asc("vec_id")], 5, "place")
+        best = some if best is None else best.unionByName(some)
+    return best.select("q", "vec_id", "cosine", "place")
 
 
 def chamfer_rank(spark: SparkSession, d: str) -> DataFrame:
@@ -337,7 +351,7 @@ _TOP = f"{_M}, t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY uni
 _BORDA = "a AS (SELECT l_partkey, l_returnflag, l_suppkey, max(l_extendedprice) AS score FROM lineitem GROUP BY ALL), b AS (SELECT *, count(*) OVER (PARTITION BY l_partkey, l_returnflag) - row_number() OVER (PARTITION BY l_partkey, l_returnflag ORDER BY score DESC, l_suppkey) + 1 AS p FROM a), c AS (SELECT l_partkey, l_suppkey, sum(p)::BIGINT AS points FROM b GROUP BY 1, 2)"
 _EDGES = "edges AS (SELECT 'c' || c_custkey AS child, 'n' || c_nationkey AS parent FROM customer UNION SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation), walk AS (SELECT child AS node, parent AS ancestor, 1 AS depth FROM edges UNION ALL SELECT w.node, e.parent, depth + 1 FROM walk w JOIN edges e ON w.ancestor = e.child), least0 AS (SELECT node, ancestor, min(depth) AS depth FROM walk GROUP BY 1, 2)"
 _LM = "e AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS f1, epoch_us(ts) // 3600000000 AS anchor, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), h AS (SELECT a.user_id, a.f1, b.f1 AS f2, b.anchor - a.anchor AS dt, a.anchor FROM e a JOIN e b ON a.user_id = b.user_id AND b.rn BETWEEN a.rn + 1 AND a.rn + 8 WHERE b.anchor - a.anchor BETWEEN 1 AND 80)"
-_EM = "(SELECT *, exp(lg - max(lg) OVER (PARTITION BY unit)) AS o FROM (SELECT unit, vote, sum(ln(CASE WHEN given = vote THEN a WHEN k0 > 1 THEN (1 - a) / (k0 - 1) ELSE 1 - a END)) AS lg FROM cells JOIN {acc} USING (source) GROUP BY 1, 2))"
+_EM = "(SELECT *, exp(lg - max(lg) OVER (PARTITION BY unit)) * CASE WHEN vote IS NULL THEN 1.05 ELSE 1 END AS o FROM (SELECT unit, vote, sum(ln(CASE WHEN given = vote THEN a WHEN vote IS NULL THEN (1 - a) / k0 ELSE (1 - a) / greatest(k0 - 1, 1) END)) AS lg FROM cells JOIN {} USING (source) GROUP BY 1, 2))"
 _COS = "list_aggregate(list_transform(list_zip(q.embedding, e.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE), 'sum') / (sqrt(list_aggregate(list_transform(q.embedding, lambda p: p::DOUBLE * p::DOUBLE), 'sum')) * sqrt(list_aggregate(list_transform(e.embedding, lambda p: p::DOUBLE * p::DOUBLE), 'sum')))"
 ORACLES = {
     "json_attr_extract": "SELECT event_id, k, CASE WHEN k < 33 THEN 'low' WHEN k < 66 THEN 'mid' ELSE 'high' END AS class FROM (SELECT event_id, (props->>'$.k')::INT AS k FROM events)",
@@ -345,17 +359,17 @@ ORACLES = {
     "weighted_vote": f"WITH {_V}, m AS (SELECT unit, vote, sum(confidence) AS mass FROM v WHERE vote IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT unit, NULL, 1.0 FROM v GROUP BY unit HAVING count(vote) = 0) SELECT unit, vote, round(mass, 6) AS mass, round(mass / sum(mass) OVER (PARTITION BY unit), 6) AS share FROM m",
     "decision_gate": f"WITH {_TOP}, h AS (SELECT unit, -sum(share * ln(share)) AS h FROM s GROUP BY 1) SELECT unit, vote, CASE WHEN split_part(unit, '/', 1)::INT % 13 = 0 THEN 'quarantined' WHEN vote IS NULL THEN 'unresolved' WHEN share < 0.15 THEN 'rejected' WHEN share < 0.55 OR h > 1.5 THEN 'unresolved' ELSE 'accepted' END AS decision FROM t JOIN h USING (unit)",
     "density_gate": f"WITH {_V}, n AS (SELECT unit, count(vote) AS n FROM v GROUP BY 1) SELECT count(*) AS units, round(avg(n), 6) AS density, CASE WHEN round(avg(n), 6) < 2 THEN 'majority' ELSE 'label_model' END AS aggregator FROM n",
-    "agreement_band": f"WITH {_V}, o AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY unit, source ORDER BY confidence DESC, at0) = 1), c AS (SELECT *, median(at0) OVER (PARTITION BY unit) AS consensus FROM o), g AS (SELECT unit, consensus, count(*) AS n, count(*) FILTER (abs(at0 - consensus) <= 1) AS close, count(*) FILTER (abs(at0 - consensus) <= 3) AS near, avg(confidence) FILTER (abs(at0 - consensus) <= 1) AS mc, max(confidence) AS top FROM c GROUP BY 1, 2) SELECT unit, round(consensus, 6) AS consensus, n, close, near, CASE WHEN n >= 2 AND close >= 2 AND mc >= 0.55 THEN 'ACCEPT' WHEN near >= 2 OR top >= 0.7 THEN 'REVIEW' ELSE 'ABSTAIN' END AS band FROM g",
+    "agreement_band": f"WITH {_V}, u AS (SELECT DISTINCT unit FROM v), o AS (SELECT * FROM v WHERE vote IS NOT NULL QUALIFY row_number() OVER (PARTITION BY unit, source ORDER BY confidence DESC, at0) = 1), c AS (SELECT *, median(at0) OVER (PARTITION BY unit) AS consensus FROM o), g AS (SELECT unit, consensus, count(*) AS n, count(*) FILTER (abs(at0 - consensus) <= 1) AS close, count(*) FILTER (abs(at0 - consensus) <= 3) AS near, avg(confidence) FILTER (abs(at0 - consensus) <= 1) AS mc, max(confidence) AS top FROM c GROUP BY 1, 2) SELECT unit, round(consensus, 6) AS consensus, coalesce(n, 0) AS n, coalesce(close, 0) AS close, coalesce(near, 0) AS near, CASE WHEN n >= 2 AND close >= 2 AND mc >= 0.55 THEN 'ACCEPT' WHEN near >= 2 OR top >= 0.7 THEN 'REVIEW' ELSE 'ABSTAIN' END AS band FROM u LEFT JOIN g USING (unit)",
     "harness_merge": f"WITH {_V}, x AS (SELECT *, CASE source WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS pr FROM v WHERE vote IS NOT NULL), w AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY unit ORDER BY pr, confidence DESC, event_id) = 1) SELECT unit, vote AS winner, round(least(1.0, confidence + 0.1 * (SELECT count(*) FROM x WHERE x.unit = w.unit AND x.event_id <> w.event_id AND x.vote = w.vote AND abs(x.at0 - w.at0) <= 2)), 6) AS confidence FROM w",
     "borda_points": f"WITH {_BORDA} SELECT * FROM c",
-    "margin_gate": f"WITH {_BORDA}, r AS (SELECT *, row_number() OVER w AS place, points - coalesce(lead(points) OVER w, 0) AS margin, min(l_suppkey) OVER (PARTITION BY l_partkey) AS claim FROM c WINDOW w AS (PARTITION BY l_partkey ORDER BY points DESC, l_suppkey)) SELECT l_partkey, CASE WHEN l_suppkey <> claim AND margin >= 2 THEN 'override' ELSE 'accept' END AS gate, CASE WHEN l_suppkey <> claim AND margin >= 2 THEN l_suppkey ELSE claim END AS chosen FROM r WHERE place = 1",
+    "margin_gate": f"WITH {_BORDA}, t AS (SELECT *, l_partkey % 10 + 1 AS claim FROM c QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY points DESC, l_suppkey) = 1), r AS (SELECT t.*, o.points AS claimed, t.l_suppkey <> claim AND t.points >= 6 AND (o.points IS NULL OR t.points - o.points >= 2) AS over0 FROM t LEFT JOIN c o ON o.l_partkey = t.l_partkey AND o.l_suppkey = claim) SELECT l_partkey, CASE WHEN over0 THEN 'override' WHEN claimed IS NOT NULL THEN 'accept' ELSE 'abstain' END AS gate, CASE WHEN over0 THEN l_suppkey WHEN claimed IS NOT NULL THEN claim END AS chosen FROM r",
     "beta_precision": f"WITH {_TOP} SELECT source, count(*) FILTER (v.vote = t.vote) AS hits, count(*) AS n, round((1 + count(*) FILTER (v.vote = t.vote)) / (2 + count(*)), 6) AS precision FROM v JOIN t USING (unit) WHERE v.vote IS NOT NULL GROUP BY 1",
     "lf_accuracy": f"WITH {_V} SELECT source, count(vote) AS fired, count(*) - count(vote) AS abstained, round(count(vote) / count(*), 6) AS coverage FROM v GROUP BY 1",
-    "dawid_skene_k": f"""WITH {_V}, given0 AS (SELECT unit, source, vote AS given FROM v WHERE vote IS NOT NULL), vals AS (SELECT DISTINCT unit, given AS vote FROM given0), ks AS (SELECT unit, count(*) AS k0 FROM vals GROUP BY 1),
+    "dawid_skene_k": f"""WITH {_V}, given0 AS (SELECT unit, source, vote AS given FROM v WHERE vote IS NOT NULL), ks AS (SELECT unit, count(DISTINCT given) AS k0 FROM given0 GROUP BY 1), vals AS (SELECT DISTINCT unit, given AS vote FROM given0 UNION ALL SELECT unit, NULL FROM ks),
 cells AS (SELECT unit, source, given, vote, k0 FROM given0 JOIN vals USING (unit) JOIN ks USING (unit)), a0 AS (SELECT DISTINCT source, 0.7::DOUBLE AS a FROM given0),
-p0 AS (SELECT unit, vote, o / sum(o) OVER (PARTITION BY unit) AS p FROM {_EM.format(acc='a0')}), a1 AS (SELECT source, greatest(0.01, least(0.99, avg(p))) AS a FROM given0 g JOIN p0 ON g.unit = p0.unit AND given = vote GROUP BY 1),
-p1 AS (SELECT unit, vote, o / sum(o) OVER (PARTITION BY unit) AS p FROM {_EM.format(acc='a1')}), a2 AS (SELECT source, greatest(0.01, least(0.99, avg(p))) AS a FROM given0 g JOIN p1 ON g.unit = p1.unit AND given = vote GROUP BY 1)
-SELECT unit, vote, round(o / sum(o) OVER (PARTITION BY unit), 5) AS posterior FROM {_EM.format(acc='a2')}""",
+p0 AS (SELECT unit, vote, o / sum(o) OVER (PARTITION BY unit) AS p FROM {_EM.format('a0')}), a1 AS (SELECT source, greatest(0.01, least(0.99, avg(p))) AS a FROM given0 g JOIN p0 ON g.unit = p0.unit AND given = vote GROUP BY 1),
+p1 AS (SELECT unit, vote, o / sum(o) OVER (PARTITION BY unit) AS p FROM {_EM.format('a1')}), a2 AS (SELECT source, greatest(0.01, least(0.99, avg(p))) AS a FROM given0 g JOIN p1 ON g.unit = p1.unit AND given = vote GROUP BY 1)
+SELECT unit, vote, round(o / sum(o) OVER (PARTITION BY unit), 5) AS posterior FROM {_EM.format('a2')} UNION ALL SELECT unit, NULL, 1.0 FROM v GROUP BY unit HAVING count(vote) = 0""",
     "belief_quality": f"WITH {_V}, b AS (SELECT unit, vote, source, max(confidence) AS p, count(*) AS n FROM v WHERE vote IS NOT NULL GROUP BY ALL), c AS (SELECT unit, vote, 1 - exp(sum(ln(1 - p * 0.999))) AS belief, sum(n) AS n FROM b GROUP BY 1, 2) SELECT unit, vote, round(belief * n / sum(n) OVER (PARTITION BY unit), 6) AS quality FROM c",
     "confident_joint": "WITH x AS (SELECT quality, least(1.0, n_chars / 4000) AS p1, 1 - least(1.0, n_chars / 4000) AS p0 FROM labels JOIN documents USING (doc_id)), t AS (SELECT avg(p1) FILTER (quality = 1) AS t1, avg(p0) FILTER (quality = 0) AS t0 FROM x) SELECT quality, CASE WHEN p1 >= t1 AND p0 >= t0 THEN (p1 >= p0)::INT WHEN p1 >= t1 THEN 1 WHEN p0 >= t0 THEN 0 ELSE (p1 >= p0)::INT END AS guess, count(*) AS n FROM x, t GROUP BY 1, 2",
     "budget_allocation": "WITH a AS (SELECT *, event_type = 'purchase' AS f, row_number() OVER (PARTITION BY user_id, event_type = 'purchase' ORDER BY event_id) AS r1 FROM events), b AS (SELECT *, f AND r1 <= 3 AS one, NOT (f AND r1 <= 3) AND event_type IN ('purchase', 'view') AS two FROM a), c AS (SELECT *, row_number() OVER (PARTITION BY user_id, two ORDER BY event_id) AS r2 FROM b) SELECT event_id, CASE WHEN one THEN 1 ELSE 2 END AS budget FROM c WHERE one OR (two AND r2 <= 4)",
@@ -371,14 +385,14 @@ SELECT unit, vote, round(o / sum(o) OVER (PARTITION BY unit), 5) AS posterior FR
     "text_axes": "SELECT p_partkey, version || '__vocal__' || CASE WHEN p_size > 25 THEN 'extended' ELSE 'regular' END AS axis, version FROM (SELECT *, CASE WHEN p_name LIKE '%bolt%' THEN 'remix' WHEN p_name LIKE '%ring%' THEN 'edit' WHEN p_name LIKE '%widget%' THEN 'bootleg' ELSE 'regular' END AS version FROM part)",
     "url_normalize": r"SELECT page_id, regexp_replace(url, '[?#].*$', '') AS plain, CASE WHEN lower(url) LIKE '%://blog.%' THEN 'blog' WHEN lower(url) LIKE '%://www.%' THEN 'www' ELSE 'other' END AS platform, nullif(regexp_extract(url, '[?&]page=(\d+)', 1), '') AS page FROM pages",
     "timecodes": "WITH a AS (SELECT o_orderkey, o_orderkey % 20000 AS s FROM orders) SELECT o_orderkey, CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END AS code, s::INT AS from_code, s::INT AS from_iso, (s // 60)::INT AS minutes FROM a",
-    "token_jaccard": "WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, string_split(p_name, ' ') AS w FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 10 = 3) SELECT DISTINCT x.l_orderkey, x.l_linenumber, x.l_partkey, y.l_partkey AS other, round(len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))), 6) AS jaccard FROM l x JOIN l y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber = y.l_linenumber + 1",
+    "token_jaccard": "WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, string_split(p_name, ' ') AS w FROM lineitem JOIN part ON l_partkey = p_partkey ) SELECT DISTINCT x.l_orderkey, x.l_linenumber, x.l_partkey, y.l_partkey AS other, round(len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))), 6) AS jaccard FROM l x JOIN l y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber = y.l_linenumber + 1",
     "year_coerce": "SELECT CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE year(o_orderdate) END AS year, count(*) AS n FROM orders GROUP BY 1",
     "cyclic_distance": "SELECT least(((l_suppkey - l_partkey) % 12 + 12) % 12, 12 - ((l_suppkey - l_partkey) % 12 + 12) % 12) AS distance, count(*) AS n FROM lineitem GROUP BY 1",
     "bit_agreement": "WITH a AS (SELECT event_id, (event_id * 2654435761) % 4294967296 AS w, lag((event_id * 2654435761) % 4294967296) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) SELECT event_id, round(1 - bit_count(xor(w, p)) / 32, 6) AS agreement FROM a WHERE p IS NOT NULL",
     "landmark_hashes": f"WITH {_LM} SELECT user_id, f1, f2, dt, anchor FROM h",
-    "offset_votes": f"WITH {_LM}, n AS (SELECT m.user_id AS mix, r.user_id AS ref, r.anchor - m.anchor AS \"offset\", count(*) AS votes FROM h m JOIN h r USING (f1, f2, dt) WHERE m.user_id < 15 AND r.user_id BETWEEN 15 AND 29 GROUP BY 1, 2, 3), p AS (SELECT *, row_number() OVER w AS place, lead(votes) OVER w AS second FROM n WINDOW w AS (PARTITION BY mix, ref ORDER BY votes DESC, \"offset\")) SELECT mix, ref, \"offset\", votes, round(votes / greatest(coalesce(second, 0), 1), 6) AS sharpness FROM p WHERE place = 1",
+    "offset_votes": f"WITH {_LM}, n AS (SELECT m.user_id AS mix, r.user_id AS ref, r.anchor - m.anchor AS \"offset\", count(*)::BIGINT AS votes FROM h m JOIN h r USING (f1, f2, dt) WHERE m.user_id % 2 = 0 AND r.user_id % 2 = 1 GROUP BY 1, 2, 3), p AS (SELECT *, row_number() OVER w AS place, lead(votes) OVER w AS second FROM n WINDOW w AS (PARTITION BY mix, ref ORDER BY votes DESC, \"offset\")) SELECT mix, ref, \"offset\", votes, round(votes / greatest(coalesce(second, 0), 1), 6) AS sharpness FROM p WHERE place = 1",
     "capped_matches": f"WITH {_LM}, m AS (SELECT f1, f2, dt, user_id AS mix FROM h WHERE user_id < 75), r AS (SELECT f1, f2, dt, user_id AS ref FROM h WHERE user_id >= 75), c AS (SELECT f1, f2, dt, (SELECT count(*) FROM r WHERE r.f1 = x.f1 AND r.f2 = x.f2 AND r.dt = x.dt) * n AS freq FROM (SELECT f1, f2, dt, count(*) AS n FROM m GROUP BY 1, 2, 3) x) SELECT mix, ref, round(sum(1 / log2(2 + freq)), 5) AS weight, count(*) AS n FROM m JOIN c USING (f1, f2, dt) JOIN r USING (f1, f2, dt) WHERE freq <= 64 GROUP BY 1, 2",
-    "cosine_topk": f"WITH s AS (SELECT q.vec_id AS q, e.vec_id, round({_COS}, 5) AS cosine FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0) SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, vec_id)::INT AS place FROM s QUALIFY place <= 5",
+    "cosine_topk": f"WITH s AS (SELECT q.vec_id AS q, e.vec_id, round({_COS}, 5) AS cosine FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0) SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, vec_id)::INT AS place FROM s QUALIFY place <= 5",
     "chamfer_rank": f"WITH s AS (SELECT q.label AS own, e.label, q.vec_id AS q, max({_COS}) AS best FROM embeddings q JOIN embeddings e ON q.label <> e.label WHERE q.vec_id % 20 = 0 GROUP BY 1, 2, 3) SELECT own, label, round(avg(best), 4) AS chamfer FROM s GROUP BY 1, 2",
     "bh_qvalues": "WITH e AS (SELECT user_id, round(exp(-max(value) / 100), 9) AS p FROM events GROUP BY 1), r AS (SELECT *, user_id % 3 AS f, p * count(*) OVER (PARTITION BY user_id % 3) / row_number() OVER (PARTITION BY user_id % 3 ORDER BY p) AS raw FROM e) SELECT user_id, p, round(least(1.0, min(raw) OVER (PARTITION BY f ORDER BY p DESC, raw DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM r",
     "auc_rank": "WITH x AS (SELECT lang, quality, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2 AS r FROM labels JOIN documents USING (doc_id)) SELECT lang, round((sum(r) FILTER (quality = 1) - count(*) FILTER (quality = 1) * (count(*) FILTER (quality = 1) + 1) / 2) / nullif(count(*) FILTER (quality = 1) * count(*) FILTER (quality = 0), 0), 6) AS auc FROM x GROUP BY 1",

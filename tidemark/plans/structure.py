@@ -71,8 +71,10 @@ def posterior_entropy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fold_interval(spark: SparkSession, d: str) -> DataFrame:
-    """Prices halved or doubled towards 150,000."""
-    return table(spark, d, "orders").select("o_orderkey", F.round(times.fold_interval(F.col("o_totalprice"), F.lit(150000.0)), 4).alias("folded"))
+    """Prices folded towards 150,000, and the share of each status that needed it."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", times.fold_interval(F.col("o_totalprice"), F.lit(150000.0)).alias("x"))
+    share = o.groupBy("o_orderstatus").agg(F.round(F.avg((F.col("x") != F.col("o_totalprice")).cast("double")), 6).alias("flips"))
+    return o.join(share, "o_orderstatus").select("o_orderkey", F.round("x", 4).alias("folded"), "flips")
 
 
 def explain_subject(spark: SparkSession, d: str) -> DataFrame:
@@ -133,10 +135,14 @@ def canary_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hough_bins(spark: SparkSession, d: str) -> DataFrame:
-    """Offsets of common landmarks between two groups of users in bins of 24 hours, smoothed by the neighbours, five votes at least."""
-    h = landmark_hashes(spark, d)
-    a, b = h.filter("user_id < 15").select("f1", "f2", "dt", F.col("anchor").alias("a")), h.filter("user_id BETWEEN 15 AND 29").select("f1", "f2", "dt", F.col("anchor").alias("b"))
-    bins = a.join(b, ["f1", "f2", "dt"]).groupBy(F.floor((F.col("b") - F.col("a")) / 24).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    """Offsets of common landmarks between even and odd users in bins of 24 hours, smoothed by the neighbours, five votes at least.
+
+    Landmarks are counted per place before the join, so there are at most as many rows a landmark as there are hours.
+    """
+    h = landmark_hashes(spark, d).groupBy((F.col("user_id") % 2).alias("side"), "f1", "f2", "dt", "anchor").agg(F.count(F.lit(1)).alias("n"))
+    a = h.filter("side = 0").select("f1", "f2", "dt", F.col("anchor").alias("a"), F.col("n").alias("na"))
+    b = h.filter("side = 1").select("f1", "f2", "dt", F.col("anchor").alias("b"), F.col("n").alias("nb"))
+    bins = a.join(b, ["f1", "f2", "dt"]).groupBy(F.floor((F.col("b") - F.col("a")) / 24).alias("bin")).agg(F.sum(F.col("na") * F.col("nb")).alias("n"))
     spread = bins.select(F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"), "n")
     return spread.groupBy("bin").agg(F.sum("n").alias("votes")).filter("votes >= 5")
 
@@ -150,17 +156,16 @@ def bigram_diagonals(spark: SparkSession, d: str) -> DataFrame:
 
     items = grams("benchmark", "item_id")
     df = items.groupBy("g").agg(F.countDistinct("id").alias("df"))
-    items = items.join(df, "g").filter("df <= 2").select("g", F.col("id").alias("item_id"), F.col("at").alias("at2"), "df")
-    hits = grams("documents", "doc_id").join(items, "g")
-    diag = hits.groupBy("id", "item_id", (F.col("at") - F.col("at2")).alias("diagonal")).agg(F.round(F.sum(1 / F.col("df")), 6).alias("weight"))
+    items = items.join(df, "g").select("g", F.col("id").alias("item_id"), F.col("at").alias("at2"), "df")
+    hits = grams("documents", "doc_id").join(items, "g").select("id", "item_id", (F.col("at") - F.col("at2")).alias("diagonal"), "g", "df").distinct()
+    diag = hits.groupBy("id", "item_id", "diagonal").agg(F.round(F.sum(1 / F.col("df")), 6).alias("weight"))
     best = picks.first_of(diag.filter("weight >= 5"), ["id", "item_id"], [F.desc("weight"), F.asc("diagonal")])
     return best.select(F.col("id").alias("doc_id"), "item_id", F.col("diagonal").cast("long").alias("diagonal"), "weight")
 
 
 def cycle_check(spark: SparkSession, d: str) -> DataFrame:
-    """Edges between parts and suppliers of large lines that no peeling removes: those on or above a cycle."""
-    line = table(spark, d, "lineitem").filter("l_quantity >= 45")
-    edges = line.select((F.col("l_suppkey") % 40).alias("child"), (F.col("l_partkey") % 40).alias("parent")).filter("child < parent OR (child = 39 AND parent = 0)")
+    """Edges from suppliers' to parts' numbers that no peeling removes: those on or above a cycle."""
+    edges = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("child"), F.col("l_partkey").alias("parent")).filter("child != parent")
     return graph.on_cycles(edges, "child", "parent").groupBy().agg(F.count(F.lit(1)).alias("n_edges"))
 
 
@@ -236,7 +241,7 @@ ORACLES = {
     "duration_band": "WITH a AS (SELECT l_extendedprice / nullif(p_retailprice * l_quantity, 0) AS r FROM lineitem JOIN part ON l_partkey = p_partkey) SELECT CASE WHEN r IS NULL THEN 'unknown' WHEN r < 0.9 THEN 'short' WHEN r <= 1.15 THEN 'ok' ELSE 'long' END AS band, count(*) AS n FROM a GROUP BY 1",
     "placement_votes": "SELECT event_id, CASE WHEN k >= 10 AND k < 90 THEN k / 100 END AS place, CASE WHEN k < 10 THEN 'too_early' WHEN k >= 90 THEN 'too_late' ELSE 'ok' END AS reason FROM (SELECT event_id, (props->>'$.k')::INT AS k FROM events)",
     "posterior_entropy": f"WITH {_M} SELECT unit, round(-sum(share * ln(share)), 6) + 0.0 AS entropy FROM s GROUP BY 1",
-    "fold_interval": "SELECT o_orderkey, round(o_totalprice / pow(2.0, round_even(log2(o_totalprice / 150000.0), 0)), 4) AS folded FROM orders",
+    "fold_interval": "WITH x AS (SELECT o_orderkey, o_orderstatus, o_totalprice AS p, CASE WHEN o_totalprice > 225000 THEN o_totalprice / pow(2.0, ceil(log2(o_totalprice / 225000.0))) WHEN o_totalprice < 150000 / 1.5 THEN o_totalprice * pow(2.0, ceil(log2(150000 / 1.5 / o_totalprice))) ELSE o_totalprice END AS f FROM orders) SELECT o_orderkey, round(f, 4) AS folded, round(avg((f <> p)::INT::DOUBLE) OVER (PARTITION BY o_orderstatus), 6) AS flips FROM x",
     "explain_subject": "WITH a AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1) SELECT user_id, string_agg(event_type || ':' || event_id, ',' ORDER BY event_type) AS axes FROM a GROUP BY 1",
     "orphan_reconcile": "SELECT CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem) THEN 'keep' WHEN o_orderstatus = 'P' THEN 'fail' ELSE 'reap' END AS action, count(*) AS n FROM orders GROUP BY 1",
     "segment_explode": "SELECT l_orderkey, l_linenumber, l_partkey, sum(l_quantity) OVER w - l_quantity AS lo, sum(l_quantity) OVER w AS hi FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING)",
@@ -245,8 +250,8 @@ ORACLES = {
     "label_density": f"WITH {_V} SELECT votes, count(*) AS units FROM (SELECT unit, count(vote) AS votes FROM v GROUP BY 1) GROUP BY 1",
     "loso_calibration": f"WITH {_TOP}, p AS (SELECT source, count(*) FILTER (v.vote = t.vote) AS h, count(*) AS n FROM v JOIN t USING (unit) WHERE v.vote IS NOT NULL GROUP BY 1) SELECT source, round((sum(h) OVER () - h + 1) / (sum(n) OVER () - n + 2), 6) AS precision FROM p",
     "canary_gate": f"WITH {_TOP}, p AS (SELECT source, avg((v.vote = t.vote)::INT) AS r FROM v JOIN t USING (unit) WHERE v.vote IS NOT NULL GROUP BY 1), a(source, asked) AS (VALUES ('click', 0.9), ('view', 0.8), ('purchase', 0.1), ('absent', 0.5)) SELECT a.source, coalesce((abs(r - asked) <= 0.2)::INT, 0) AS passes FROM a LEFT JOIN p USING (source)",
-    "hough_bins": f"WITH {_LM}, b AS (SELECT floor((y.anchor - x.anchor) / 24)::BIGINT AS bin, count(*) AS n FROM h x JOIN h y USING (f1, f2, dt) WHERE x.user_id < 15 AND y.user_id BETWEEN 15 AND 29 GROUP BY 1) SELECT bin + k AS bin, sum(n)::BIGINT AS votes FROM b, unnest([-1, 0, 1]) AS u(k) GROUP BY 1 HAVING sum(n) >= 5",
-    "bigram_diagonals": r"WITH t AS (SELECT 'd' AS kind, doc_id AS id, string_split_regex(lower(text), '[ \n]+') AS w FROM documents UNION ALL SELECT 'b', item_id, string_split_regex(lower(text), '[ \n]+') FROM benchmark), g AS (SELECT kind, id, i AS at0, w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT kind, id, w, unnest(range(len(w) - 1)) AS i FROM t)), f AS (SELECT g, count(DISTINCT id) AS df FROM g WHERE kind = 'b' GROUP BY 1 HAVING count(DISTINCT id) <= 2), x AS (SELECT d.id AS doc_id, b.id AS item_id, d.at0 - b.at0 AS diagonal, round(sum(1 / df), 6) AS weight FROM g d JOIN g b ON d.g = b.g AND d.kind = 'd' AND b.kind = 'b' JOIN f ON f.g = b.g GROUP BY 1, 2, 3 HAVING round(sum(1 / df), 6) >= 5) SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY weight DESC, diagonal) = 1",
+    "hough_bins": f"WITH {_LM}, b AS (SELECT floor((y.anchor - x.anchor) / 24)::BIGINT AS bin, count(*) AS n FROM h x JOIN h y USING (f1, f2, dt) WHERE x.user_id % 2 = 0 AND y.user_id % 2 = 1 GROUP BY 1) SELECT bin + k AS bin, sum(n)::BIGINT AS votes FROM b, unnest([-1, 0, 1]) AS u(k) GROUP BY 1 HAVING sum(n) >= 5",
+    "bigram_diagonals": r"WITH t AS (SELECT 'd' AS kind, doc_id AS id, string_split_regex(lower(text), '[ \n]+') AS w FROM documents UNION ALL SELECT 'b', item_id, string_split_regex(lower(text), '[ \n]+') FROM benchmark), g AS (SELECT kind, id, i AS at0, w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT kind, id, w, unnest(range(len(w) - 1)) AS i FROM t)), f AS (SELECT g, count(DISTINCT id) AS df FROM g WHERE kind = 'b' GROUP BY 1), y AS (SELECT DISTINCT d.id AS doc_id, b.id AS item_id, d.at0 - b.at0 AS diagonal, b.g, df FROM g d JOIN g b ON d.g = b.g AND d.kind = 'd' AND b.kind = 'b' JOIN f ON f.g = b.g), x AS (SELECT doc_id, item_id, diagonal, round(sum(1 / df), 6) AS weight FROM y GROUP BY 1, 2, 3 HAVING round(sum(1 / df), 6) >= 5) SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY weight DESC, diagonal) = 1",
     "recall_adjudicable": f"WITH {_SPANS}, a AS (SELECT *, EXISTS (SELECT 1 FROM s b WHERE b.event_type = 'click' AND b.user_id = s.user_id AND s.lo - 5 < b.hi AND b.lo < s.hi + 5) AS hit FROM s WHERE event_type = 'purchase') SELECT count(*) AS n, count(*) FILTER (hit) AS hits, round(count(*) FILTER (hit) / count(*), 6) AS recall FROM a",
     "window_hits": f"WITH {_E}, w AS (SELECT event_type, us // 43200000000 - k AS w, count(*) AS votes FROM e, range(2) AS r(k) GROUP BY 1, 2), z AS (SELECT *, round((votes - avg(votes) OVER p) / (stddev_pop(votes) OVER p + 1e-9), 6) AS z FROM w WINDOW p AS (PARTITION BY event_type)) SELECT * FROM z WHERE z >= 1.0",
     "routed_fanout": "WITH r(event_type, \"function\") AS (VALUES ('click', 'onset'), ('click', 'tempo'), ('view', 'tempo'), ('purchase', 'key')) SELECT \"function\", event_type, count(*) AS n, round(sum(value), 4) AS value FROM events JOIN r USING (event_type) GROUP BY 1, 2",

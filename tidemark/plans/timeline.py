@@ -54,9 +54,11 @@ def moving_average(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rolling_z_peaks(spark: SparkSession, d: str) -> DataFrame:
-    """Local maxima that stand 1.2 population deviations above the mean of eleven values about them."""
+    """Local maxima that stand 1.2 population deviations above the median of eleven values about them."""
     w = series.centred(KEY, ORDER, 5)
-    z = (F.col("value") - F.avg("value").over(w)) / (F.stddev_pop("value").over(w) + 1e-9)
+    near = F.sort_array(F.collect_list("value").over(w))
+    median = (F.get(near, F.floor((F.size(near) - 1) / 2).cast("int")) + F.get(near, F.floor(F.size(near) / 2).cast("int"))) / 2
+    z = (F.col("value") - median) / (F.stddev_pop("value").over(w) + 1e-9)
     e = events(spark, d).withColumn("z", F.round(z, 6))
     return series.local_peaks(e, KEY, ORDER, "value").filter("z >= 1.2").select("event_id", "z")
 
@@ -136,9 +138,17 @@ def asof_click(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grid_snap(spark: SparkSession, d: str) -> DataFrame:
-    """Purchases moved to the user's nearest click if it is within ten hours, else left."""
-    near = nearest_cue(spark, d).join(events(spark, d).select("event_id", "us"), "event_id")
-    return near.select("event_id", F.when(F.abs(F.col("near") - F.col("us")) <= 36_000_000_000, F.col("near")).otherwise(F.col("us")).alias("snapped"))
+    """A user's purchases moved to the nearest of the user's clicks (the earlier of two as near) where it is within half the
+    median gap of these; what meets at one click is one time. Without two clicks nothing moves."""
+    e = events(spark, d).filter("event_type IN ('purchase', 'click')")
+    click = F.when(F.col("event_type") == "click", F.col("us"))
+    w = Window.partitionBy("user_id").orderBy("us")
+    e = e.withColumns({"b": F.max(click).over(w.rangeBetween(Window.unboundedPreceding, 0)), "a": F.min(click).over(w.rangeBetween(0, Window.unboundedFollowing))})
+    clicks = series.with_gap(e.filter("event_type = 'click'").select("user_id", "us").distinct(), KEY, ["us"], F.col("us"))
+    half = clicks.groupBy("user_id").agg((F.percentile("gap", F.lit(0.5)) / 2).alias("half"))
+    p = e.filter("event_type = 'purchase'").join(half, "user_id", "left")
+    near = F.when(F.col("a").isNull() | (F.col("us") - F.col("b") <= F.col("a") - F.col("us")), F.col("b")).otherwise(F.col("a"))
+    return p.select("user_id", F.when(F.abs(near - F.col("us")) <= F.col("half"), near).otherwise(F.col("us")).alias("snapped")).distinct()
 
 
 def spans(spark: SparkSession, d: str) -> DataFrame:
@@ -199,11 +209,15 @@ def ext_sliding(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ordering_soft_votes(spark: SparkSession, d: str) -> DataFrame:
-    """A vote for each event's value from its neighbours in time: their mean, with weight by how many there are."""
+    """Whether each event's value (as a start in seconds) keeps the order of its neighbours: in order within two seconds with
+    confidence 0.8, else out of order with one that falls from 0.4 by the size of the largest violation, 0.02 at least; without neighbours none."""
     w = series.ordered(KEY, ORDER)
-    b, a = F.lag("value").over(w), F.lead("value").over(w)
-    mean = (F.coalesce(b, a) + F.coalesce(a, b)) / 2
-    return events(spark, d).select("event_id", F.round(mean, 6).alias("vote"), (b.isNotNull().cast("int") + a.isNotNull().cast("int")).alias("support"))
+    e = events(spark, d).withColumns({"before": F.lag("value").over(w), "after": F.lead("value").over(w)})
+    back = F.greatest(F.lit(0.0), F.coalesce(F.col("before") - F.col("value"), F.lit(0.0)), F.coalesce(F.col("value") - F.col("after"), F.lit(0.0)))
+    alone = F.col("before").isNull() & F.col("after").isNull()
+    label = F.when(alone, "none").when(back <= 2, "in_order").otherwise("out_of_order")
+    sure = F.when(alone, 0.0).when(back <= 2, 0.8).otherwise(F.greatest(F.lit(0.02), 0.4 * F.exp(-(back - 2) / 30)))
+    return e.select("event_id", label.alias("label"), F.round(sure, 6).alias("confidence"))
 
 
 def plateau_count(spark: SparkSession, d: str) -> DataFrame:
@@ -252,7 +266,7 @@ ORACLES = {
     "forward_fill": f"SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_bought FROM events",
     "slot_label_state": "WITH a AS (SELECT *, (role = 'user')::INT AS p, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS n FROM conversations) SELECT conv_id, turn, role, CASE WHEN n = 0 THEN NULL WHEN p = 1 THEN lpad(n::VARCHAR, 3, '0') ELSE lpad(n::VARCHAR, 3, '0') || 'w' || sum(1 - p) OVER (PARTITION BY conv_id, n ORDER BY turn ROWS UNBOUNDED PRECEDING) END AS label FROM a",
     "moving_average": "SELECT event_id, round(avg(value) OVER w, 6) AS mean5, round(median(value) OVER w, 6) AS median5 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)",
-    "rolling_z_peaks": f"WITH a AS (SELECT event_id, value, round((value - avg(value) OVER w) / (stddev_pop(value) OVER w + 1e-9), 6) AS z, lag(value) OVER {_W} AS b, lead(value) OVER {_W} AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)) SELECT event_id, z FROM a WHERE value > b AND value > c AND z >= 1.2",
+    "rolling_z_peaks": f"WITH a AS (SELECT event_id, value, round((value - median(value) OVER w) / (stddev_pop(value) OVER w + 1e-9), 6) AS z, lag(value) OVER {_W} AS b, lead(value) OVER {_W} AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)) SELECT event_id, z FROM a WHERE value > b AND value > c AND z >= 1.2",
     "forward_window_mean": "SELECT event_id, round(CASE WHEN count(*) OVER w = 4 THEN avg(value) OVER w END, 6) AS ahead FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)",
     "band_zscore": "SELECT event_id, round((value - avg(value) OVER w) / stddev_pop(value) OVER w, 6) AS z FROM events WINDOW w AS (PARTITION BY event_type)",
     "gap_sessions": f"WITH {_E}, f AS (SELECT *, coalesce((us - lag(us) OVER {_W} > 7200000000)::INT, 0) AS new FROM e), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM f) SELECT user_id, session, count(*) AS n, min(us) AS first, max(us) AS last, round(sum(value), 4) AS value FROM s GROUP BY 1, 2",
@@ -260,7 +274,7 @@ ORACLES = {
     "phase_stats": f"WITH {_E}, p AS (SELECT event_type, (us % 86400000000) / 86400000000 AS ph FROM e), a AS (SELECT event_type, count(*) AS n, sqrt(pow(avg(cos(2 * pi() * ph)), 2) + pow(avg(sin(2 * pi() * ph)), 2)) AS r, {', '.join(f'count(*) FILTER (least(7, floor(ph * 8)) = {i}) AS part_{i}' for i in range(8))} FROM p GROUP BY 1) SELECT event_type, round(r, 6) AS r, round(greatest(0, least(1, exp(-n * r * r) * (1 + (2 * n * r * r - pow(n * r * r, 2)) / (4 * n)))), 6) AS p, {', '.join(f'part_{i}' for i in range(8))} FROM a",
     "nearest_cue": f'WITH {_NEAR} SELECT event_id, b0 AS "before", a0 AS "after", near FROM r',
     "asof_click": f"WITH {_E} SELECT p.event_id, c.us AS click_us_before, c.value AS click_value FROM (SELECT * FROM e WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM e WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.us >= c.us",
-    "grid_snap": f"WITH {_NEAR} SELECT event_id, CASE WHEN abs(near - t0) <= 36000000000 THEN near ELSE t0 END AS snapped FROM r",
+    "grid_snap": f"WITH {_E}, c AS (SELECT DISTINCT user_id, us FROM e WHERE event_type = 'click'), h AS (SELECT user_id, median(gap) / 2 AS half FROM (SELECT user_id, us - lag(us) OVER (PARTITION BY user_id ORDER BY us) AS gap FROM c) GROUP BY 1), n AS (SELECT user_id, us AS t0, (SELECT max(us) FROM c WHERE c.user_id = e.user_id AND c.us <= e.us) AS b0, (SELECT min(us) FROM c WHERE c.user_id = e.user_id AND c.us >= e.us) AS a0 FROM e WHERE event_type = 'purchase'), r AS (SELECT *, CASE WHEN a0 IS NULL OR t0 - b0 <= a0 - t0 THEN b0 ELSE a0 END AS near FROM n) SELECT DISTINCT user_id, CASE WHEN abs(near - t0) <= half THEN near ELSE t0 END AS snapped FROM r LEFT JOIN h USING (user_id)",
     "interval_overlap": f"WITH {_SPANS} SELECT x.event_id AS a, y.event_id AS b, round(least(x.hi, y.hi) - greatest(x.lo, y.lo), 3) AS overlap FROM s x JOIN s y ON x.user_id = y.user_id AND x.lo < y.hi AND y.lo < x.hi WHERE x.event_type = 'click' AND y.event_type = 'purchase'",
     "interval_merge": f"WITH {_MERGED} SELECT user_id, round(lo, 3) AS lo, round(hi, 3) AS hi, n FROM m",
     "interval_gaps": f"WITH {_MERGED}, l AS (SELECT user_id, hi AS lo, lead(lo) OVER (PARTITION BY user_id ORDER BY lo) AS hi FROM m) SELECT user_id, round(lo, 3) AS lo, round(hi, 3) AS hi FROM l WHERE hi IS NOT NULL",
@@ -269,7 +283,7 @@ ORACLES = {
     "piecewise_map": "SELECT o_orderkey, round(CASE WHEN o_totalprice < 100000 THEN o_totalprice * 0.5 WHEN o_totalprice < 300000 THEN 50000 + (o_totalprice - 100000) * 1.5 ELSE 350000 + (o_totalprice - 300000) * 0.25 END, 4) AS mapped, round(o_totalprice, 4) AS back FROM orders",
     "ext_tumbling": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
     "ext_sliding": f"WITH {_E} SELECT (us // 21600000000 - k) * 21600000000 AS start, count(*) AS n FROM e, range(4) AS r(k) GROUP BY 1",
-    "ordering_soft_votes": f"WITH a AS (SELECT event_id, lag(value) OVER {_W} AS b, lead(value) OVER {_W} AS c FROM events) SELECT event_id, round((coalesce(b, c) + coalesce(c, b)) / 2, 6) AS vote, (b IS NOT NULL)::INT + (c IS NOT NULL)::INT AS support FROM a",
+    "ordering_soft_votes": f"WITH a AS (SELECT event_id, value, lag(value) OVER {_W} AS b, lead(value) OVER {_W} AS c FROM events), v AS (SELECT *, greatest(0.0, coalesce(b - value, 0.0), coalesce(value - c, 0.0)) AS x FROM a) SELECT event_id, CASE WHEN b IS NULL AND c IS NULL THEN 'none' WHEN x <= 2 THEN 'in_order' ELSE 'out_of_order' END AS label, round(CASE WHEN b IS NULL AND c IS NULL THEN 0.0 WHEN x <= 2 THEN 0.8 ELSE greatest(0.02, 0.4 * exp(-(x - 2) / 30)) END, 6) AS confidence FROM v",
     "plateau_count": f"WITH a AS (SELECT user_id, coalesce((event_type <> lag(event_type) OVER {_W})::INT, 1) AS new FROM events) SELECT user_id, sum(new)::BIGINT AS runs FROM a GROUP BY 1",
     "lag_autocorrelation": f"WITH a AS (SELECT user_id, value, lag(value, 1) OVER {_W} AS l1, lag(value, 2) OVER {_W} AS l2, lag(value, 3) OVER {_W} AS l3 FROM events) SELECT user_id, round(corr(value, l1), 6) AS lag_1, round(corr(value, l2), 6) AS lag_2, round(corr(value, l3), 6) AS lag_3 FROM a GROUP BY 1",
     "positive_flux": f"WITH a AS (SELECT user_id, value - lag(value) OVER {_W} AS rise FROM events) SELECT user_id, round(sum(greatest(0, coalesce(rise, 0))), 4) AS flux FROM a GROUP BY 1",
