@@ -74,3 +74,24 @@ def capped_matches(left: DataFrame, right: DataFrame, keys: list[str], most: int
 
 def overlap(a_lo: Column, a_hi: Column, b_lo: Column, b_hi: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(a_hi, b_hi) - F.greatest(a_lo, b_lo))
+
+
+def local_maxima(cells: DataFrame, group: list[str], at: tuple[str, str], weight: str) -> DataFrame:
+    """The cells (one row each, at whole-numbered places) whose weight none of the eight around them exceeds.
+
+    Each cell sends its weight to its neighbours, and a maximum per place, combined before the shuffle, does the rest.
+    """
+    i, j = at
+    around = F.explode(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1))))
+    sent = cells.select(*group, i, j, weight, around.alias("__to"))
+    own = F.when((F.col("__to.x") == 0) & (F.col("__to.y") == 0), F.col(weight))
+    sent = sent.select(*group, (F.col(i) + F.col("__to.x")).alias(i), (F.col(j) + F.col("__to.y")).alias(j), F.col(weight).alias("__any"), own.alias(weight))
+    top = sent.groupBy(*group, i, j).agg(F.max("__any").alias("__any"), F.max(weight).alias(weight))
+    return top.filter(F.col(weight) >= F.col("__any")).drop("__any")
+
+
+def same_subject(a: DataFrame, b: DataFrame, key: str) -> None:
+    """Raises unless all rows of both tables have one and the same value in `key`: what is about different subjects must not be joined."""
+    found = [r[0] for r in a.select(key).unionByName(b.select(key)).distinct().limit(3).collect()]
+    if len(found) > 1 or None in found:
+        raise ValueError(f"the tables are about different subjects: {key} is {', '.join(map(str, found))}")
