@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.functions import times
 from tidemark.operators import joins, tokens
 from tidemark.sources.tables import table
 
@@ -36,3 +38,9 @@ def test_same_subject(spark):
     joins.same_subject(one, one, "k")
     with pytest.raises(ValueError):
         joins.same_subject(one, other, "k")
+
+
+def test_wheel_steps(spark):
+    cases = [("8A", "8A", 0), ("8A", "8B", 1), ("12A", "1A", 1), ("1A", "12B", 2), ("3B", "9B", 6), ("x", "1A", None), (None, "1A", None)]
+    got = spark.createDataFrame(cases, "a string, b string, want int").select(times.wheel_steps(F.col("a"), F.col("b")).alias("got"), "want").collect()
+    assert all(r["got"] == r["want"] for r in got)

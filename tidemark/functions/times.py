@@ -54,6 +54,13 @@ def cyclic_distance(a: Column, b: Column, n: int = 12) -> Column:
     return F.least(d, n - d)
 
 
+def wheel_steps(a: Column, b: Column) -> Column:
+    """Steps between two keys of a wheel of twelve hours with two sides (8A, 12B): around the ring, and one for the other side; null unless both are keys."""
+    key = r"^([0-9]{1,2})([AB])$"
+    hour = lambda x: F.when(x.rlike(key), F.regexp_extract(x, key, 1).cast("int"))
+    return cyclic_distance(hour(a), hour(b)) + (F.right(a, F.lit(1)) != F.right(b, F.lit(1))).cast("int")
+
+
 def map_apply(anchors: Column, x: Column) -> Column:
     """A piecewise-linear map (sorted array of structs src, dst) at x; the first and last pieces go on beyond the ends."""
     n = F.size(anchors)
