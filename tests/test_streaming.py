@@ -1,8 +1,10 @@
 """Streams give what the batch form gives."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.operators import decoders
+from tidemark.plans import timeline
 from tidemark.streaming import events as streams
 
 
@@ -29,6 +31,19 @@ def test_replay_and_windows_equal_batch(spark, sf_dir, tmp_path):
     assert tumbling.agg(F.sum("n")).first()[0] == batch.count()
 
 
+def test_observer_equals_batch(spark, sf_dir, tmp_path):
+    batch = spark.read.parquet(f"{sf_dir}/events.parquet").filter("user_id < 40")
+    batch = batch.withColumn("third", F.ntile(3).over(Window.orderBy("ts", "event_id"))).persist()
+    for k in (1, 2, 3):  # one after the other, so that the files' times are in order
+        batch.filter(F.col("third") == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    source = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    got = run(streams.observed(source, "user_id", ["ts", "event_id"], "event_type", "event_id", 5), "observed", "append", spark, tmp_path / "c")
+    got = {r["event_id"]: round(r["surprisal"], 6) for r in got.collect()}
+    want = timeline.markov_surprisal(spark, sf_dir).join(batch.select("event_id"), "event_id", "left_semi")
+    assert got == {r["event_id"]: r["surprisal"] for r in want.collect()}
+    batch.unpersist()
+
+
 def test_append_new_is_idempotent(spark, tmp_path):
     write = streams.append_new(str(tmp_path / "t"), ["k"])
     df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "k int, v string")
