@@ -26,10 +26,9 @@ def slope_quality(spark: SparkSession, d: str) -> DataFrame:
     h = landmark_hashes(spark, d)
     mix = h.filter("user_id % 2 = 0").select(F.col("user_id").alias("mix"), (F.col("user_id") + 1).alias("user_id"), "f1", "f2", "dt", F.col("anchor").alias("a"))
     hits = mix.join(h.select("user_id", "f1", "f2", "dt", F.col("anchor").alias("b")), ["user_id", "f1", "f2", "dt"])
-    hits = hits.groupBy("mix", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    at = hits.select("mix", "n", "a", "b", F.explode(F.array(*map(F.lit, SLOPES))).alias("slope")).withColumn("at", F.col("b") - F.col("slope") * F.col("a"))
-    least = at.groupBy("mix", "slope").agg(F.min("at").alias("least"))
-    bins = at.join(least, ["mix", "slope"]).groupBy("mix", "slope", F.floor((F.col("at") - F.col("least")) / BIN).alias("bin")).agg(F.sum("n").alias("n"))
+    at = hits.select("mix", "a", "b", F.explode(F.array(*map(F.lit, SLOPES))).alias("slope")).groupBy("mix", "slope", (F.col("b") - F.col("slope") * F.col("a")).alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    at = at.withColumn("least", F.min("at").over(Window.partitionBy("mix", "slope")))
+    bins = at.groupBy("mix", "slope", F.floor((F.col("at") - F.col("least")) / BIN).alias("bin")).agg(F.sum("n").alias("n"))
     flat = bins.groupBy("mix", "slope").agg(F.median("n").alias("flat"))
     top = picks.first_of(bins, ["mix", "slope"], [F.desc("n"), F.asc("bin")], PEAKS).join(flat, ["mix", "slope"])
     score = top.groupBy("mix", "slope").agg(F.sum(F.greatest(F.col("n") - F.col("flat"), F.lit(0.0))).alias("peaked"))
