@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, language, mixing, sharding, simhash, suffixes, token_counts, toxicity, urls
+from . import decontamination, divergence, fingerprints, language, mixing, negatives, sharding, simhash, suffixes, token_counts, toxicity, urls, vector_copies
 from .shared import read, shared_dir, stash
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +103,25 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.without_repeats(read(spark, sf_dir, "documents"), keep_bytes=False)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source is from every other of its language, and the terms that mark it."""
+    found = divergence.audit(read(spark, sf_dir, "documents"))
+    return found.select("lang", "source", "part", "item", "value", "rank")
+
+
+def op12_vector_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's number of links of cosine 0.93 or more within its label, and its group."""
+    found = vector_copies.groups(read(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", "kept")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hard negatives of each anchor's positives; every seventh vector has the next label."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    found = negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
 WORDS_SQL = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
 
 OP1_SQL = rf"""
@@ -159,8 +178,40 @@ SELECT d.id AS doc_id, item_id, count(*)::INT AS shared, any_value(n)::INT AS it
 FROM shingled d JOIN items USING (s) WHERE d.kind = 'd' GROUP BY d.id, item_id HAVING count(*)::DOUBLE / any_value(n) >= 0.8
 """
 
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+g AS (SELECT DISTINCT lang, source FROM d),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS ln FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(ln)::HUGEINT AS total FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t GROUP BY ALL),
+dense AS (SELECT lang, source, term, coalesce(n, 0) AS n, ln, v, total FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang, source) + v)::HUGEINT AS p, 1 + (1000000000::HUGEINT * (ln + 1)) // (total + v) AS q FROM dense),
+pairs AS (SELECT lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS value FROM p x JOIN p y USING (lang, term) WHERE x.source <> y.source GROUP BY ALL),
+every AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0)::BIGINT AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN pairs ON pairs.lang = x.lang AND pairs.source = x.source AND pairs.item = y.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM p WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM every
+UNION ALL SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM terms QUALIFY rank <= 200
+"""
+
+OP12_SQL = r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(id, least) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, least FROM reach JOIN l ON l.a = id WHERE least < l.b)
+SELECT vec_id, (SELECT count(*) FROM l WHERE a = vec_id)::BIGINT AS n_links, min(least) AS component_id, vec_id = min(least) AS kept FROM embeddings JOIN reach ON id = vec_id GROUP BY vec_id
+"""
+
+OP13_SQL = r"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, v.vec_id AS other, a.label = v.label AS alike, list_inner_product(a.e, v.e)::BIGINT AS score FROM v a JOIN v ON a.vec_id % 100 = 0 AND a.vec_id <> v.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)::INT AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10
+"""
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_mixing, op2_url_filter, op3_fingerprints, op4_token_counts, op5_decontamination, op6_sharding, op7_language, op8_simhash, op9_toxicity, op10_suffix_dedup)
+    f.__name__: f for f in (op1_mixing, op2_url_filter, op3_fingerprints, op4_token_counts, op5_decontamination, op6_sharding, op7_language, op8_simhash, op9_toxicity, op10_suffix_dedup, op11_divergence, op12_vector_copies, op13_hard_negatives)
 }
 #: The others give digests, learned predictions or groups that SQL can't express; tests hold them against brute force.
-ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op2_url_filter": OP2_SQL, "op4_token_counts": OP4_SQL, "op5_decontamination": OP5_SQL, "op6_sharding": OP6_SQL}
+ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op2_url_filter": OP2_SQL, "op4_token_counts": OP4_SQL, "op5_decontamination": OP5_SQL, "op6_sharding": OP6_SQL, "op11_divergence": OP11_SQL, "op12_vector_copies": OP12_SQL, "op13_hard_negatives": OP13_SQL}
