@@ -39,14 +39,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import stash
+from .shared import stash, unstash
 
 SCALE = 1_000_000_000
 MIN_DOCS = 3
 TOP = 200
 SEED = 42
 PIECE = 1 << 20
-HELD = 1 << 18
+HELD = 1 << 19
 """So many terms of groups a task sums up in memory before it writes them."""
 
 PAIRS = 1 << 20
@@ -119,9 +119,9 @@ def _grouped(docs: DataFrame, lang: str, source: str, text: str) -> tuple[DataFr
 def _kept_counts(terms: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
     """Counts of the kept terms by group (lang_key, group_key, digest, apart, n, lang_n), and strings (digest, apart, term).
 
-    A digest with one string has apart 0; where several share it, they are numbered from 1.
+    A digest with one string has apart 0; where several share it, they are numbered from 1. Each table is deleted once what was made of it is written, terms among them.
     """
-    counts = stash(terms.groupBy("lang_key", "group_key", "digest").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "counts")
+    counts = whole = stash(terms.groupBy("lang_key", "group_key", "digest").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "counts")
     # A digest of several terms has at least the documents of each, so no term is missed here.
     likely = counts.groupBy("lang_key", "digest").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("digest").distinct()
     strings = terms.groupBy("digest").agg(F.min("term").alias("term"), F.max("term").alias("most"))
@@ -132,11 +132,14 @@ def _kept_counts(terms: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]
     if not shared.isEmpty():
         split = terms.join(shared, "digest", "left_semi").select("digest", "term").distinct()
         split = stash(split.withColumn("apart", F.row_number().over(Window.partitionBy("digest").orderBy("term"))), "split")
-        again = terms.join(split, ["digest", "term"]).groupBy("lang_key", "group_key", "digest", "apart").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        again = stash(terms.join(split, ["digest", "term"]).groupBy("lang_key", "group_key", "digest", "apart").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "again")
         counts = counts.join(shared, "digest", "left_anti").unionByName(again)
         names = names.unionByName(split.select("digest", "apart", "term"))
+    unstash(terms)
     kept = counts.groupBy("lang_key", "digest", "apart").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).filter(F.col("docs") >= min_docs).drop("docs")
-    return stash(counts.drop("docs").join(kept, ["lang_key", "digest", "apart"]), "kept"), names
+    kept = stash(counts.drop("docs").join(kept, ["lang_key", "digest", "apart"]), "kept")
+    unstash(whole)
+    return kept, names
 
 
 def share(count: Column, total: Column) -> Column:
