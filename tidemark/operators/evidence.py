@@ -35,6 +35,14 @@ def best_value(shares: DataFrame, unit: str, value: str) -> DataFrame:
     return picks.first_of(shares, [unit], [F.desc("share"), F.asc_nulls_last(value)])
 
 
+def margin_gate(best: Column, score: Column, claim: Column, claim_score: Column, floor: float, margin: float) -> Column:
+    """override, accept or abstain. The best overrides where it is another than the claim, has the floor, and leads the claim's score by the margin
+    or there is no claim at all; a claim that has no score can't be compared, and stands. Without a claim, what doesn't override is an abstention."""
+    lead = claim.isNull() | (claim_score.isNotNull() & (score - claim_score >= margin))
+    over = F.coalesce(~best.eqNullSafe(claim) & (score >= floor) & lead, F.lit(False))
+    return F.when(over, "override").when(claim.isNotNull(), "accept").otherwise("abstain")
+
+
 def bands(results: DataFrame, unit: str, source: str, at: str, confidence: str, abstained: Column) -> DataFrame:
     """ACCEPT, REVIEW or ABSTAIN for each unit from one result a source (the most confident that fired) around their median; ABSTAIN where none fired."""
     one = picks.first_of(results.filter(~abstained), [unit, source], [F.desc(confidence), F.asc(at)])

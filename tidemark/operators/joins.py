@@ -26,10 +26,10 @@ def interval_join(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tupl
 
     Each side is dealt to the cells of `width` that it covers, and a pair is
     taken only in the cell where the later of both starts lies, so it comes once.
-    width should be near the usual length: it trades copies for candidates.
+    Intervals that end before they begin overlap nothing. width should be near the usual length: it trades copies for candidates.
     """
     cell = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
-    dealt = lambda df, lo, hi: df.withColumn("__cell", F.explode(F.sequence(cell(lo), cell(hi))))
+    dealt = lambda df, lo, hi: df.filter(F.col(lo) <= F.col(hi)).withColumn("__cell", F.explode(F.sequence(cell(lo), cell(hi))))
     right = dealt(right, *b).select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys], F.col("__cell").alias("__cell2"))
     on = F.col("__cell") == F.col("__cell2")
     for k in keys:

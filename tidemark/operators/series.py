@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from .streams import folded
+
 
 def ordered(keys: list[str], order: list[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order)
@@ -78,11 +80,14 @@ def spaced(df: DataFrame, keys: list[str], at: str, value: str, least: float, mo
 
 
 def merged_within(df: DataFrame, keys: list[str], at: str, tolerance: float) -> DataFrame:
-    """Entries in order, dropping those within tolerance of the last one kept: a fold in the JVM over each key's sorted array."""
-    start = F.array().cast("array<double>")
-    keep = lambda kept, x: F.when((F.size(kept) == 0) | (x - F.element_at(kept, -1) > tolerance), F.concat(kept, F.array(x))).otherwise(kept)
-    kept = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col(at).cast("double"))).alias("__all")).withColumn("__kept", F.aggregate("__all", start, keep))
-    return kept.select(*keys, F.explode("__kept").alias(at))
+    """Entries in order, dropping those within tolerance of the last one kept."""
+    return folded(df, keys, [at], [at], at, lambda last, x: x if last is None or x - last > tolerance else None)
+
+
+def snapped(df: DataFrame, keys: list[str], at: str, near: str) -> DataFrame:
+    """Times in order, each moved to `near` if that is after the last one kept; else left where it is if that is; else dropped."""
+    move = lambda last, x, to: to if last is None or to > last else x if x > last else None
+    return folded(df, keys, [at], [at, near], at, move)
 
 
 def benjamini_hochberg(df: DataFrame, keys: list[str], p: str, name: str = "q") -> DataFrame:

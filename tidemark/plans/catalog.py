@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import curves, evidence, matching, relational, similarity, structure, timeline
+from . import curves, decoding, evidence, matching, pages, relational, similarity, structure, timeline
 
-PARTS = (relational, timeline, evidence, structure, curves, matching, similarity)
+PARTS = (relational, timeline, evidence, structure, curves, matching, similarity, pages, decoding)
 QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
 ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}

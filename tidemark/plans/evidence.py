@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text, times, vectors
 from ..operators import evidence, graph, joins, picks, series
-from ..sources.tables import table
+from ..sources.tables import table, written
 
 
 QUERY_BLOCK = 50_000
@@ -75,15 +75,15 @@ def borda_points(spark: SparkSession, d: str) -> DataFrame:
 
 
 def margin_gate(spark: SparkSession, d: str) -> DataFrame:
-    """A part's claimed supplier (its key mod 10, plus 1) is overridden by the best by points if that has six points and
-    leads the claim by two (or the claim has none); else a claim with points is accepted, and one without is an abstention."""
+    """A part's claimed supplier (its key mod 13, plus 1; none where the key is divisible by 7) against the best by points, with a floor of
+    six points and a margin of two; a claim without points can't be compared and stands."""
     points = borda_points(spark, d)
-    top = picks.first_of(points, ["l_partkey"], [F.desc("points"), F.asc("l_suppkey")]).withColumn("claim", F.col("l_partkey") % 10 + 1)
+    claim = F.when(F.col("l_partkey") % 7 != 0, F.col("l_partkey") % 13 + 1)
+    top = picks.first_of(points, ["l_partkey"], [F.desc("points"), F.asc("l_suppkey")]).withColumn("claim", claim)
     own = points.select("l_partkey", F.col("l_suppkey").alias("claim"), F.col("points").alias("claimed"))
     top = top.join(own, ["l_partkey", "claim"], "left")
-    over = (F.col("l_suppkey") != F.col("claim")) & (F.col("points") >= 6) & (F.col("claimed").isNull() | (F.col("points") - F.col("claimed") >= 2))
-    gate = F.when(over, "override").when(F.col("claimed").isNotNull(), "accept").otherwise("abstain")
-    return top.select("l_partkey", gate.alias("gate"), F.when(over, F.col("l_suppkey")).when(F.col("claimed").isNotNull(), F.col("claim")).alias("chosen"))
+    gate = evidence.margin_gate(F.col("l_suppkey"), F.col("points"), F.col("claim"), F.col("claimed"), 6, 2)
+    return top.withColumn("gate", gate).select("l_partkey", "gate", F.when(F.col("gate") == "override", F.col("l_suppkey")).otherwise(F.col("claim")).alias("chosen"))
 
 
 def beta_precision(spark: SparkSession, d: str) -> DataFrame:
@@ -261,18 +261,40 @@ def landmark_hashes(spark: SparkSession, d: str) -> DataFrame:
     return e.select("user_id", "f1", "x.f2", (F.col("x.t2") - F.col("anchor")).alias("dt"), "anchor").filter("dt BETWEEN 1 AND 80")
 
 
+def chain_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Each event with the two after it as one rare key: three types and the hours between them, up to 80."""
+    kind = F.when(F.col("event_type") == "click", 0).when(F.col("event_type") == "view", 1).when(F.col("event_type") == "purchase", 2).when(F.col("event_type") == "signup", 3).otherwise(4)
+    e = table(spark, d, "events").select("user_id", "event_id", "ts", kind.alias("f1"), F.floor(times.micros(F.col("ts")) / 3_600_000_000).alias("at"))
+    w = series.ordered(["user_id"], ["ts", "event_id"])
+    lead = lambda c, k: F.lead(c, k).over(w)
+    return e.select("user_id", "f1", lead("f1", 1).alias("f2"), lead("f1", 2).alias("f3"), (lead("at", 1) - F.col("at")).alias("d1"), (lead("at", 2) - lead("at", 1)).alias("d2")).filter("d1 <= 80 AND d2 <= 80")
+
+
+PROPOSED = 3
+"""References of a mix whose offsets are voted on."""
+
+
 def offset_votes(spark: SparkSession, d: str) -> DataFrame:
-    """For pairs of an even user and an odd one: the offset with the most common landmarks, and its sharpness.
+    """For each even user (the mix) the three odd ones (references) that share most rare keys: the offset with the most common landmarks, and its sharpness.
 
-    Landmarks that fall together in place are counted before the join, so a hot one meets as one row a place.
+    Every user is there, one that shares no rare key with a null reference. References are proposed by keys of three
+    events, those whose counts multiply to 64 at most, rarer ones weighing more; all landmarks of the proposed pairs then vote. So work grows with the
+    mixes, not with pairs of users, and a common landmark only meets within a pair.
     """
-    h = landmark_hashes(spark, d).groupBy("user_id", "f1", "f2", "dt", "anchor").agg(F.count(F.lit(1)).alias("n"))
-    mix = h.filter("user_id % 2 = 0").select("f1", "f2", "dt", F.col("user_id").alias("mix"), F.col("anchor").alias("a"), F.col("n").alias("na"))
-    ref = h.filter("user_id % 2 = 1").select("f1", "f2", "dt", F.col("user_id").alias("ref"), F.col("anchor").alias("b"), F.col("n").alias("nb"))
-    n = mix.join(ref, ["f1", "f2", "dt"]).groupBy("mix", "ref", (F.col("b") - F.col("a")).alias("offset")).agg(F.sum(F.col("na") * F.col("nb")).alias("votes"))
+    chain = ["f1", "f2", "f3", "d1", "d2"]
+    keys = chain_keys(spark, d)
+    met = joins.capped_matches(keys.filter("user_id % 2 = 0").withColumnRenamed("user_id", "mix"), keys.filter("user_id % 2 = 1").withColumnRenamed("user_id", "ref"), chain, 64)
+    weight = F.sum((1_000_000 / (1 + F.col("freq"))).cast("long"))  # whole numbers, so that ties are ties in any order of adding
+    pairs = picks.first_of(met.groupBy("mix", "ref").agg(weight.alias("weight")), ["mix"], [F.desc("weight"), F.asc("ref")], PROPOSED, "rank").select("mix", "ref")
+    h = written(landmark_hashes(spark, d).groupBy("user_id", "f1", "f2", "dt", "anchor").agg(F.count(F.lit(1)).alias("n")))
+    mix = pairs.join(h.select(F.col("user_id").alias("mix"), "f1", "f2", "dt", F.col("anchor").alias("a"), F.col("n").alias("na")), "mix")
+    both = mix.join(h.select(F.col("user_id").alias("ref"), "f1", "f2", "dt", F.col("anchor").alias("b"), F.col("n").alias("nb")), ["ref", "f1", "f2", "dt"])
+    n = both.groupBy("mix", "ref", (F.col("b") - F.col("a")).alias("offset")).agg(F.sum(F.col("na") * F.col("nb")).alias("votes"))
     w = Window.partitionBy("mix", "ref").orderBy(F.desc("votes"), "offset")
-    n = n.withColumns({"place": F.row_number().over(w), "second": F.lead("votes").over(w)})
-    return n.filter("place = 1").select("mix", "ref", "offset", "votes", F.round(F.col("votes") / F.greatest(F.coalesce("second", F.lit(0)), F.lit(1)), 6).alias("sharpness"))
+    n = n.withColumns({"place": F.row_number().over(w), "second": F.lead("votes").over(w)}).filter("place = 1")
+    n = n.select("mix", "ref", "offset", "votes", F.round(F.col("votes") / F.greatest(F.coalesce("second", F.lit(0)), F.lit(1)), 6).alias("sharpness"))
+    every = table(spark, d, "events").filter("user_id % 2 = 0").select(F.col("user_id").alias("mix")).distinct()
+    return every.join(pairs, "mix", "left").join(n, ["mix", "ref"], "left").select("mix", "ref", "offset", "votes", "sharpness")
 
 
 def capped_matches(spark: SparkSession, d: str) -> DataFrame:
@@ -362,7 +384,7 @@ ORACLES = {
     "agreement_band": f"WITH {_V}, u AS (SELECT DISTINCT unit FROM v), o AS (SELECT * FROM v WHERE vote IS NOT NULL QUALIFY row_number() OVER (PARTITION BY unit, source ORDER BY confidence DESC, at0) = 1), c AS (SELECT *, median(at0) OVER (PARTITION BY unit) AS consensus FROM o), g AS (SELECT unit, consensus, count(*) AS n, count(*) FILTER (abs(at0 - consensus) <= 1) AS close, count(*) FILTER (abs(at0 - consensus) <= 3) AS near, avg(confidence) FILTER (abs(at0 - consensus) <= 1) AS mc, max(confidence) AS top FROM c GROUP BY 1, 2) SELECT unit, round(consensus, 6) AS consensus, coalesce(n, 0) AS n, coalesce(close, 0) AS close, coalesce(near, 0) AS near, CASE WHEN n >= 2 AND close >= 2 AND mc >= 0.55 THEN 'ACCEPT' WHEN near >= 2 OR top >= 0.7 THEN 'REVIEW' ELSE 'ABSTAIN' END AS band FROM u LEFT JOIN g USING (unit)",
     "harness_merge": f"WITH {_V}, x AS (SELECT *, CASE source WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS pr FROM v WHERE vote IS NOT NULL), w AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY unit ORDER BY pr, confidence DESC, event_id) = 1) SELECT unit, vote AS winner, round(least(1.0, confidence + 0.1 * (SELECT count(*) FROM x WHERE x.unit = w.unit AND x.event_id <> w.event_id AND x.vote = w.vote AND abs(x.at0 - w.at0) <= 2)), 6) AS confidence FROM w",
     "borda_points": f"WITH {_BORDA} SELECT * FROM c",
-    "margin_gate": f"WITH {_BORDA}, t AS (SELECT *, l_partkey % 10 + 1 AS claim FROM c QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY points DESC, l_suppkey) = 1), r AS (SELECT t.*, o.points AS claimed, t.l_suppkey <> claim AND t.points >= 6 AND (o.points IS NULL OR t.points - o.points >= 2) AS over0 FROM t LEFT JOIN c o ON o.l_partkey = t.l_partkey AND o.l_suppkey = claim) SELECT l_partkey, CASE WHEN over0 THEN 'override' WHEN claimed IS NOT NULL THEN 'accept' ELSE 'abstain' END AS gate, CASE WHEN over0 THEN l_suppkey WHEN claimed IS NOT NULL THEN claim END AS chosen FROM r",
+    "margin_gate": f"WITH {_BORDA}, t AS (SELECT *, CASE WHEN l_partkey % 7 <> 0 THEN l_partkey % 13 + 1 END AS claim FROM c QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY points DESC, l_suppkey) = 1), r AS (SELECT t.*, CASE WHEN claim IS NULL THEN t.points >= 6 WHEN o.points IS NULL THEN false ELSE t.l_suppkey <> claim AND t.points >= 6 AND t.points - o.points >= 2 END AS over0 FROM t LEFT JOIN c o ON o.l_partkey = t.l_partkey AND o.l_suppkey = claim) SELECT l_partkey, CASE WHEN over0 THEN 'override' WHEN claim IS NOT NULL THEN 'accept' ELSE 'abstain' END AS gate, CASE WHEN over0 THEN l_suppkey ELSE claim END AS chosen FROM r",
     "beta_precision": f"WITH {_TOP} SELECT source, count(*) FILTER (v.vote = t.vote) AS hits, count(*) AS n, round((1 + count(*) FILTER (v.vote = t.vote)) / (2 + count(*)), 6) AS precision FROM v JOIN t USING (unit) WHERE v.vote IS NOT NULL GROUP BY 1",
     "lf_accuracy": f"WITH {_V} SELECT source, count(vote) AS fired, count(*) - count(vote) AS abstained, round(count(vote) / count(*), 6) AS coverage FROM v GROUP BY 1",
     "dawid_skene_k": f"""WITH {_V}, given0 AS (SELECT unit, source, vote AS given FROM v WHERE vote IS NOT NULL), ks AS (SELECT unit, count(DISTINCT given) AS k0 FROM given0 GROUP BY 1), vals AS (SELECT DISTINCT unit, given AS vote FROM given0 UNION ALL SELECT unit, NULL FROM ks),
@@ -390,7 +412,7 @@ SELECT unit, vote, round(o / sum(o) OVER (PARTITION BY unit), 5) AS posterior FR
     "cyclic_distance": "SELECT least(((l_suppkey - l_partkey) % 12 + 12) % 12, 12 - ((l_suppkey - l_partkey) % 12 + 12) % 12) AS distance, count(*) AS n FROM lineitem GROUP BY 1",
     "bit_agreement": "WITH a AS (SELECT event_id, (event_id * 2654435761) % 4294967296 AS w, lag((event_id * 2654435761) % 4294967296) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) SELECT event_id, round(1 - bit_count(xor(w, p)) / 32, 6) AS agreement FROM a WHERE p IS NOT NULL",
     "landmark_hashes": f"WITH {_LM} SELECT user_id, f1, f2, dt, anchor FROM h",
-    "offset_votes": f"WITH {_LM}, n AS (SELECT m.user_id AS mix, r.user_id AS ref, r.anchor - m.anchor AS \"offset\", count(*)::BIGINT AS votes FROM h m JOIN h r USING (f1, f2, dt) WHERE m.user_id % 2 = 0 AND r.user_id % 2 = 1 GROUP BY 1, 2, 3), p AS (SELECT *, row_number() OVER w AS place, lead(votes) OVER w AS second FROM n WINDOW w AS (PARTITION BY mix, ref ORDER BY votes DESC, \"offset\")) SELECT mix, ref, \"offset\", votes, round(votes / greatest(coalesce(second, 0), 1), 6) AS sharpness FROM p WHERE place = 1",
+    "offset_votes": f"WITH {_LM}, t AS (SELECT user_id, f1, lead(f1, 1) OVER w AS f2, lead(f1, 2) OVER w AS f3, lead(anchor, 1) OVER w - anchor AS d1, lead(anchor, 2) OVER w - lead(anchor, 1) OVER w AS d2 FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), k AS (SELECT * FROM t WHERE d1 <= 80 AND d2 <= 80), g AS (SELECT f1, f2, f3, d1, d2, count(*) FILTER (user_id % 2 = 0) * count(*) FILTER (user_id % 2 = 1) AS freq FROM k GROUP BY ALL HAVING freq BETWEEN 1 AND 64), s AS (SELECT m.user_id AS mix, r.user_id AS ref, sum(floor(1000000 / (1 + freq))) AS weight FROM g JOIN k m USING (f1, f2, f3, d1, d2) JOIN k r USING (f1, f2, f3, d1, d2) WHERE m.user_id % 2 = 0 AND r.user_id % 2 = 1 GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY mix ORDER BY weight DESC, ref) <= 3), n AS (SELECT mix, ref, r.anchor - m.anchor AS \"offset\", count(*)::BIGINT AS votes FROM s JOIN h m ON m.user_id = mix JOIN h r ON r.user_id = ref AND r.f1 = m.f1 AND r.f2 = m.f2 AND r.dt = m.dt GROUP BY 1, 2, 3), p AS (SELECT *, row_number() OVER w AS place, lead(votes) OVER w AS second FROM n WINDOW w AS (PARTITION BY mix, ref ORDER BY votes DESC, \"offset\")), u AS (SELECT DISTINCT user_id AS mix FROM events WHERE user_id % 2 = 0) SELECT u.mix, s.ref, \"offset\", votes, round(votes / greatest(coalesce(second, 0), 1), 6) AS sharpness FROM u LEFT JOIN s ON s.mix = u.mix LEFT JOIN p ON p.mix = s.mix AND p.ref = s.ref AND place = 1",
     "capped_matches": f"WITH {_LM}, m AS (SELECT f1, f2, dt, user_id AS mix FROM h WHERE user_id < 75), r AS (SELECT f1, f2, dt, user_id AS ref FROM h WHERE user_id >= 75), c AS (SELECT f1, f2, dt, (SELECT count(*) FROM r WHERE r.f1 = x.f1 AND r.f2 = x.f2 AND r.dt = x.dt) * n AS freq FROM (SELECT f1, f2, dt, count(*) AS n FROM m GROUP BY 1, 2, 3) x) SELECT mix, ref, round(sum(1 / log2(2 + freq)), 5) AS weight, count(*) AS n FROM m JOIN c USING (f1, f2, dt) JOIN r USING (f1, f2, dt) WHERE freq <= 64 GROUP BY 1, 2",
     "cosine_topk": f"WITH s AS (SELECT q.vec_id AS q, e.vec_id, round({_COS}, 5) AS cosine FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0) SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, vec_id)::INT AS place FROM s QUALIFY place <= 5",
     "chamfer_rank": f"WITH s AS (SELECT q.label AS own, e.label, q.vec_id AS q, max({_COS}) AS best FROM embeddings q JOIN embeddings e ON q.label <> e.label WHERE q.vec_id % 20 = 0 GROUP BY 1, 2, 3) SELECT own, label, round(avg(best), 4) AS chamfer FROM s GROUP BY 1, 2",

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import times
 from ..operators import graph, joins, picks, series
-from ..sources.tables import table
+from ..sources.tables import table, written
 from .evidence import _BORDA, _LM, _V, borda_points, landmark_hashes, votes
 from .timeline import _E, _SPANS, events, spans
 
@@ -45,15 +45,19 @@ def identity_bridge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def name_containment(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark items all of whose words (lower-cased letters) a document has, in any order."""
-    def words(name: str, key: str, to: str) -> DataFrame:
-        own = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0))
-        return table(spark, d, name).select(F.col(key).alias(to), F.explode(own).alias("w"))
+    """Benchmark items all of whose words (lower-cased letters) a document has, in any order.
 
-    items = words("benchmark", "item_id", "item_id")
-    sizes = items.groupBy("item_id").agg(F.count(F.lit(1)).alias("size"))
-    n = words("documents", "doc_id", "doc_id").join(items, "w").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n"))
-    return n.join(sizes, "item_id").filter("n = size").select("doc_id", "item_id", F.col("size").alias("words"))
+    An item meets the documents that hold its rarest word only, counted over all documents; whole word sets decide on those.
+    """
+    own = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0))
+    docs = written(table(spark, d, "documents").select("doc_id", own.alias("held")))
+    items = table(spark, d, "benchmark").select("item_id", own.alias("asked"))
+    words = docs.select("doc_id", F.explode("held").alias("w"))
+    asked = items.select("item_id", F.explode("asked").alias("w"))
+    n = words.join(asked.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    rarest = picks.first_of(asked.join(n, "w", "left").fillna(0, ["n"]), ["item_id"], [F.asc("n"), F.asc("w")]).select("item_id", "w")
+    pairs = words.join(rarest, "w").select("doc_id", "item_id")
+    return pairs.join(docs, "doc_id").join(items, "item_id").filter(F.size(F.array_except("asked", "held")) == 0).select("doc_id", "item_id", F.size("asked").alias("words"))
 
 
 def compatible_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -98,11 +102,12 @@ def coverage_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dense_competitive(spark: SparkSession, d: str) -> DataFrame:
-    """A part's suppliers: those with 0.8 of the most points first, by points a line, then the rest by points."""
-    lines = table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("lines"))
-    p = borda_points(spark, d).join(lines, ["l_partkey", "l_suppkey"]).withColumn("most", F.max("points").over(Window.partitionBy("l_partkey")))
-    near = F.col("points") >= 0.8 * F.col("most")
-    order = [F.desc("near"), F.desc(F.when(F.col("near"), F.col("points") / F.col("lines"))), F.desc("points"), F.asc("l_suppkey")]
+    """A part's suppliers: those with 0.3 of the most points first, by points a day between their first and last line (a tenth of a day at least), then the rest by points."""
+    days = (times.micros(F.max("l_shipdate")) - times.micros(F.min("l_shipdate"))) / 86_400_000_000
+    extent = table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.greatest(days, F.lit(0.1)).alias("days"))
+    p = borda_points(spark, d).join(extent, ["l_partkey", "l_suppkey"]).withColumn("most", F.max("points").over(Window.partitionBy("l_partkey")))
+    near = F.col("points") >= 0.3 * F.col("most")
+    order = [F.desc("near"), F.desc(F.when(F.col("near"), F.col("points") / F.col("days"))), F.desc("points"), F.asc("l_suppkey")]
     return p.withColumn("near", near).withColumn("place", F.row_number().over(Window.partitionBy("l_partkey").orderBy(*order))).select("l_partkey", "l_suppkey", "place")
 
 
@@ -130,15 +135,20 @@ def hypothesis_space(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corroborated(spark: SparkSession, d: str) -> DataFrame:
-    """The confidence of each view span with 0.2 more for each of three channels (types) that has a span of the user that overlaps it
-    by two seconds with a value within 50, and 0.2 less for each that has spans but none such; a channel without spans of the user says nothing."""
-    s = spans(spark, d).join(table(spark, d, "events").select("event_id", "value"), "event_id")
-    main = s.filter("event_type = 'view'").select("user_id", "event_id", "lo", "hi", "value")
-    other = s.filter("event_type IN ('click', 'signup', 'error')").select("user_id", F.col("event_type").alias("channel"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"), F.col("value").alias("b_value"))
+    """The confidence of each view span with 0.2 more for each of three channels (types) with a path of the user that agrees with it: an overlap of two seconds, and at its
+    middle positions within 50 (each begins at its value and goes on at its own slope). 0.2 less for each channel that is there (the user has events of the type) and has none, be it that no
+    event makes a path (values of 30 and more do); a channel without events is missing and says nothing."""
+    slope = (0.9 + 0.1 * (F.col("event_id") % 3)) / 60
+    s = spans(spark, d).join(table(spark, d, "events").select("event_id", "value"), "event_id").withColumn("slope", slope)
+    main = s.filter("event_type = 'view'").select("user_id", "event_id", "lo", "hi", "value", "slope")
+    channels = s.filter("event_type IN ('click', 'signup', 'error')").withColumnRenamed("event_type", "channel")
+    other = channels.filter("value >= 30").select("user_id", "channel", *(F.col(c).alias(f"b_{c}") for c in ("lo", "hi", "value", "slope")))
     meet = joins.interval_join(main, other, ("lo", "hi"), ("b_lo", "b_hi"), 3600.0, ["user_id"])
-    fits = (F.least("hi", "b_hi") - F.greatest("lo", "b_lo") >= 2) & (F.abs(F.col("value") - F.col("b_value")) <= 50)
-    agree = meet.filter(fits).select("event_id", "channel").distinct().groupBy("event_id").agg(F.count(F.lit(1)).alias("agree"))
-    there = other.select("user_id", "channel").distinct().groupBy("user_id").agg(F.count(F.lit(1)).alias("there"))
+    overlap = F.least("hi", "b_hi") - F.greatest("lo", "b_lo")
+    middle = F.greatest("lo", "b_lo") + overlap / 2
+    at = lambda p: F.col(f"{p}value") + (middle - F.col(f"{p}lo")) * F.col(f"{p}slope")
+    agree = meet.filter((overlap >= 2) & (F.abs(at("") - at("b_")) <= 50)).select("event_id", "channel").distinct().groupBy("event_id").agg(F.count(F.lit(1)).alias("agree"))
+    there = channels.select("user_id", "channel").distinct().groupBy("user_id").agg(F.count(F.lit(1)).alias("there"))
     own = main.join(agree, "event_id", "left").join(there, "user_id", "left").fillna(0, ["agree", "there"])
     sure = 0.5 + 0.2 * F.col("agree") - 0.2 * (F.col("there") - F.col("agree"))
     return own.select("event_id", "agree", (F.col("there") - F.col("agree")).alias("against"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure)), 6).alias("confidence"))
@@ -227,18 +237,32 @@ def stretch_search(spark: SparkSession, d: str) -> DataFrame:
     return picks.first_of(n, ["mix"], [F.desc("votes"), F.asc("stretch"), F.asc("offset")]).select("mix", "stretch", "offset", "votes")
 
 
+def diagonals(hits: DataFrame, keys: list[str], offset: str, at: str, most: int = 6, tolerance: int = 1, gap: float = 48.0, competitive: float = 0.3) -> DataFrame:
+    """keys, offset, votes, first, last, place: the offsets with most hits, none within the tolerance of one taken before it, each with the
+    densest run of places of the hits within its tolerance (a gap above `gap` ends one; of equals the first).
+
+    Offsets whose run has `competitive` of the most votes come first, by votes a unit of the run (0.1 at least), then the rest by votes; then by offset.
+    """
+    votes = hits.groupBy(*keys, offset).agg(F.count(F.lit(1)).alias("votes"))
+    top = series.spaced(votes, keys, offset, "votes", tolerance, most).select(*keys, F.col(offset).alias("__top"))
+    near = top.withColumn(offset, F.explode(F.sequence(F.col("__top") - tolerance, F.col("__top") + tolerance)))
+    w = Window.partitionBy(*keys, "__top").orderBy(at)
+    own = hits.join(near, [*keys, offset]).withColumn("__new", F.coalesce((F.col(at) - F.lag(at).over(w) > gap).cast("int"), F.lit(0)))
+    own = own.withColumn("__run", F.sum("__new").over(w.rangeBetween(Window.unboundedPreceding, 0)))
+    runs = own.groupBy(*keys, F.col("__top").alias(offset), "__run").agg(F.count(F.lit(1)).alias("votes"), F.min(at).alias("first"), F.max(at).alias("last"))
+    runs = picks.first_of(runs, [*keys, offset], [F.desc("votes"), F.asc("first")]).drop("__run")
+    near_most = F.col("votes") >= competitive * F.max("votes").over(Window.partitionBy(*keys))
+    density = F.when(F.col("__near"), F.col("votes") / F.greatest((F.col("last") - F.col("first")).cast("double"), F.lit(0.1)))
+    order = Window.partitionBy(*keys).orderBy(F.desc("__near"), F.desc(density), F.desc("votes"), offset)
+    return runs.withColumn("__near", near_most).withColumn("place", F.row_number().over(order)).drop("__near")
+
+
 def top_diagonals(spark: SparkSession, d: str) -> DataFrame:
-    """The three offsets with most common landmarks of an even user and the next odd one, with the extent of the densest run of their places (gaps of 48 hours end one)."""
+    """The six offsets at which the landmarks of an even user and the next odd one meet most, with the extents of their runs, the densest of those with enough votes first."""
     h = landmark_hashes(spark, d)
     mix = h.filter("user_id % 2 = 0").select(F.col("user_id").alias("mix"), (F.col("user_id") + 1).alias("user_id"), "f1", "f2", "dt", F.col("anchor").alias("a"))
     hits = mix.join(h.select("user_id", "f1", "f2", "dt", F.col("anchor").alias("b")), ["user_id", "f1", "f2", "dt"]).select("mix", (F.col("b") - F.col("a")).alias("offset"), "a")
-    top = picks.first_of(hits.groupBy("mix", "offset").agg(F.count(F.lit(1)).alias("votes")), ["mix"], [F.desc("votes"), F.asc("offset")], 3, "place")
-    own = hits.join(top, ["mix", "offset"])
-    w = Window.partitionBy("mix", "offset").orderBy("a")
-    own = own.withColumn("new", F.coalesce((F.col("a") - F.lag("a").over(w) > 48).cast("int"), F.lit(0)))
-    own = own.withColumn("run", F.sum("new").over(w.rangeBetween(Window.unboundedPreceding, 0)))
-    runs = own.groupBy("mix", "offset", "place", "votes", "run").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("first"), F.max("a").alias("last"))
-    return picks.first_of(runs, ["mix", "offset"], [F.desc("n"), F.asc("first")]).select("mix", "offset", "place", "votes", "n", "first", "last")
+    return diagonals(hits, ["mix"], "offset", "a").select("mix", "offset", "place", "votes", "first", "last")
 
 
 def repeat_classes(spark: SparkSession, d: str) -> DataFrame:
@@ -455,14 +479,22 @@ def chunked_union(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merged_segments(spark: SparkSession, d: str) -> DataFrame:
-    """Loops of lines: a run of lines of an order with the same part as one segment with how often it repeats, and the whole expanded again."""
+    """Loops of lines: a run of lines of an order with the same part as one segment with how often it repeats."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey")
     line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
     line = line.withColumn("new", F.coalesce((F.col("l_suppkey") != F.lag("l_suppkey").over(w)).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w))
     return line.groupBy("l_orderkey", "run").agg(F.first("l_suppkey").alias("l_suppkey"), F.count(F.lit(1)).alias("times"), F.min("l_linenumber").alias("first"))
 
 
-QUERIES = {f.__name__: f for f in (composite_anti, scoped_using_join, id_links, identity_bridge, name_containment, compatible_pairs, two_level_max, rank_correlation, coverage_score, dense_competitive, top_fraction_mean, axis_union, hypothesis_space, corroborated, tolerance_matches, tolerance_scores, injective_assignment, stretch_search, top_diagonals, repeat_classes, class_ambiguity, memoryless_baseline, tempo_drift, phrase_offsets, gain_merge, coverage_split, span_class, prior_percentiles, vintage_spread, duration_verdict, title_kind, part_mask, version_verdict, slot_flags, folded_words, order_keys, json_lists, calibration_residuals, training_eligible, precision_gates, edge_guard, record_laws, correction_ledger, chunked_union, merged_segments)}
+def expanded_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The segments of merged_segments, each repeat a row again: its number within the segment and its place in the order."""
+    runs = merged_segments(spark, d)
+    before = F.sum("times").over(Window.partitionBy("l_orderkey").orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
+    each = runs.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("repeat", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return each.select("l_orderkey", (F.col("before") + F.col("repeat")).alias("place"), "l_suppkey", "repeat")
+
+
+QUERIES = {f.__name__: f for f in (composite_anti, scoped_using_join, id_links, identity_bridge, name_containment, compatible_pairs, two_level_max, rank_correlation, coverage_score, dense_competitive, top_fraction_mean, axis_union, hypothesis_space, corroborated, tolerance_matches, tolerance_scores, injective_assignment, stretch_search, top_diagonals, repeat_classes, class_ambiguity, memoryless_baseline, tempo_drift, phrase_offsets, gain_merge, coverage_split, span_class, prior_percentiles, vintage_spread, duration_verdict, title_kind, part_mask, version_verdict, slot_flags, folded_words, order_keys, json_lists, calibration_residuals, training_eligible, precision_gates, edge_guard, record_laws, correction_ledger, chunked_union, merged_segments, expanded_segments)}
 
 _HITS = f"{_LM}, x AS (SELECT m.user_id AS mix, r.anchor - m.anchor AS \"offset\", m.anchor AS a FROM h m JOIN h r ON r.user_id = m.user_id + 1 AND m.f1 = r.f1 AND m.f2 = r.f2 AND m.dt = r.dt WHERE m.user_id % 2 = 0)"
 ORACLES = {
@@ -475,13 +507,13 @@ ORACLES = {
     "two_level_max": "SELECT p_partkey, t AS line_top, CASE WHEN t IS NULL THEN p_retailprice ELSE greatest(p_retailprice, t) END AS top FROM part LEFT JOIN (SELECT l_partkey, max(l_extendedprice) AS t FROM lineitem GROUP BY 1) ON l_partkey = p_partkey",
     "rank_correlation": "WITH r AS (SELECT l_suppkey, l_quantity AS x, l_discount AS y, rank() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_suppkey, l_quantity) - 1) / 2 AS rx, rank() OVER (PARTITION BY l_suppkey ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_suppkey, l_discount) - 1) / 2 AS ry FROM lineitem) SELECT l_suppkey, round(corr(rx, ry), 5) AS spearman, round(corr(x, y), 5) AS pearson FROM r GROUP BY 1",
     "coverage_score": "WITH o AS (SELECT o_orderkey, o_orderstatus AS s, o_orderpriority AS p, CASE WHEN o_totalprice > 50000 THEN floor(o_totalprice / 100000) END AS b, (o_orderkey % 3 = 0)::INT::DOUBLE AS got FROM orders), c AS (SELECT *, avg(got) OVER (PARTITION BY s) AS c1, avg(got) OVER (PARTITION BY p) AS c2, avg(got) OVER (PARTITION BY b) AS c3, avg(got) OVER (PARTITION BY s, p, b) AS c4, count(*) OVER (PARTITION BY s, p, b) AS cell FROM o) SELECT o_orderkey, round(CASE WHEN b IS NULL THEN (2 - c1 - c2) / 2 ELSE (3 - c1 - c2 - c3) / 3 END + CASE WHEN cell >= 8 THEN 1 - c4 ELSE 0 END, 4) AS weight FROM c",
-    "dense_competitive": f"WITH {_BORDA}, l AS (SELECT l_partkey, l_suppkey, count(*) AS lines FROM lineitem GROUP BY 1, 2), m AS (SELECT l_partkey, l_suppkey, points, lines, points >= 0.8 * max(points) OVER (PARTITION BY l_partkey) AS near FROM c JOIN l USING (l_partkey, l_suppkey)) SELECT l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_partkey ORDER BY near DESC, CASE WHEN near THEN points / lines END DESC NULLS LAST, points DESC, l_suppkey)::INT AS place FROM m",
+    "dense_competitive": f"WITH {_BORDA}, l AS (SELECT l_partkey, l_suppkey, greatest((epoch_us(max(l_shipdate)) - epoch_us(min(l_shipdate))) / 86400000000, 0.1) AS days FROM lineitem GROUP BY 1, 2), m AS (SELECT l_partkey, l_suppkey, points, days, points >= 0.3 * max(points) OVER (PARTITION BY l_partkey) AS near FROM c JOIN l USING (l_partkey, l_suppkey)) SELECT l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_partkey ORDER BY near DESC, CASE WHEN near THEN points / days END DESC NULLS LAST, points DESC, l_suppkey)::INT AS place FROM m",
     "top_fraction_mean": "WITH r AS (SELECT user_id, value, count(value) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY value DESC NULLS LAST, event_id) AS place FROM events) SELECT user_id, round(avg(value), 6) AS score FROM r WHERE place <= CASE WHEN n > 20 THEN greatest(1, round(n * 0.2)) ELSE n END GROUP BY 1",
     "axis_union": "SELECT lang AS axis FROM documents UNION SELECT source FROM documents",
     "hypothesis_space": f"WITH {_V}, x AS (SELECT DISTINCT unit, vote, round_even(at0 / 2, 0)::INT AS bin FROM v WHERE vote IS NOT NULL UNION ALL SELECT DISTINCT unit, NULL, 0 FROM v) SELECT unit, vote, bin, row_number() OVER (PARTITION BY unit ORDER BY vote NULLS FIRST, bin)::INT - 1 AS place FROM x",
-    "corroborated": f"WITH {_SPANS}, t AS (SELECT s.*, value FROM s JOIN events USING (event_id)), m AS (SELECT * FROM t WHERE event_type = 'view'), o AS (SELECT * FROM t WHERE event_type IN ('click', 'signup', 'error')), x AS (SELECT m.event_id, (SELECT count(DISTINCT event_type) FROM o WHERE o.user_id = m.user_id AND least(o.hi, m.hi) - greatest(o.lo, m.lo) >= 2 AND abs(o.value - m.value) <= 50) AS agree, (SELECT count(DISTINCT event_type) FROM o WHERE o.user_id = m.user_id) AS there FROM m) SELECT event_id, agree, there - agree AS against, round(greatest(0.0, least(1.0, 0.5 + 0.2 * agree - 0.2 * (there - agree))), 6) AS confidence FROM x",
+    "corroborated": f"WITH {_SPANS}, t AS (SELECT s.*, value, (0.9 + 0.1 * (event_id % 3)) / 60 AS slope FROM s JOIN events USING (event_id)), m AS (SELECT * FROM t WHERE event_type = 'view'), o AS (SELECT * FROM t WHERE event_type IN ('click', 'signup', 'error')), p AS (SELECT m.event_id, o.event_type, least(o.hi, m.hi) - greatest(o.lo, m.lo) AS overlap, greatest(o.lo, m.lo) + (least(o.hi, m.hi) - greatest(o.lo, m.lo)) / 2 AS mid, m.value AS mv, m.lo AS ml, m.slope AS ms, o.value AS ov, o.lo AS ol, o.slope AS os FROM m JOIN o ON o.user_id = m.user_id AND o.value >= 30 AND m.lo < o.hi AND o.lo < m.hi), g AS (SELECT event_id, count(DISTINCT event_type) AS n FROM p WHERE overlap >= 2 AND abs(mv + (mid - ml) * ms - (ov + (mid - ol) * os)) <= 50 GROUP BY 1), x AS (SELECT m.event_id, coalesce(n, 0) AS agree, (SELECT count(DISTINCT event_type) FROM o WHERE o.user_id = m.user_id) AS there FROM m LEFT JOIN g USING (event_id)) SELECT event_id, agree, there - agree AS against, round(greatest(0.0, least(1.0, 0.5 + 0.2 * agree - 0.2 * (there - agree))), 6) AS confidence FROM x",
     "stretch_search": f"WITH {_LM}, m AS (SELECT user_id AS mix, f1, f2, floor(dt * scale + 0.5)::BIGINT AS dt, anchor AS a, stretch FROM h, (VALUES (0, 0.5), (1, 1.0), (2, 2.0)) AS z(stretch, scale) WHERE user_id % 2 = 0), n AS (SELECT mix, stretch, r.anchor - a AS \"offset\", count(*) AS votes FROM m JOIN h r ON r.user_id = mix + 1 AND m.f1 = r.f1 AND m.f2 = r.f2 AND m.dt = r.dt GROUP BY 1, 2, 3) SELECT mix, stretch, \"offset\", votes FROM n QUALIFY row_number() OVER (PARTITION BY mix ORDER BY votes DESC, stretch, \"offset\") = 1",
-    "top_diagonals": f"WITH {_HITS}, t AS (SELECT mix, \"offset\", count(*) AS votes, row_number() OVER (PARTITION BY mix ORDER BY count(*) DESC, \"offset\")::INT AS place FROM x GROUP BY 1, 2 QUALIFY place <= 3), w AS (SELECT mix, \"offset\", place, votes, a, coalesce((a - lag(a) OVER (PARTITION BY mix, \"offset\" ORDER BY a) > 48)::INT, 0) AS fresh FROM x JOIN t USING (mix, \"offset\")), r AS (SELECT *, sum(fresh) OVER (PARTITION BY mix, \"offset\" ORDER BY a) AS run FROM w), g AS (SELECT mix, \"offset\", place, votes, run, count(*) AS n, min(a) AS first, max(a) AS last FROM r GROUP BY 1, 2, 3, 4, 5) SELECT mix, \"offset\", place, votes, n, first, last FROM g QUALIFY row_number() OVER (PARTITION BY mix, \"offset\" ORDER BY n DESC, first) = 1",
+    "top_diagonals": f"WITH RECURSIVE {_HITS}, v AS (SELECT mix, \"offset\" AS o, row_number() OVER (PARTITION BY mix ORDER BY count(*) DESC, \"offset\") AS i FROM x GROUP BY 1, 2), k AS (SELECT mix, 1::BIGINT AS i, [o] AS got FROM v WHERE i = 1 UNION ALL SELECT v.mix, v.i, CASE WHEN len(list_filter(got, lambda g: abs(g - o) <= 1)) = 0 THEN list_append(got, o) ELSE got END FROM k JOIN v ON v.mix = k.mix AND v.i = k.i + 1 WHERE len(got) < 6), t AS (SELECT mix, unnest(arg_max(got, i)) AS o FROM k GROUP BY 1), w AS (SELECT t.mix, o, a, coalesce((a - lag(a) OVER (PARTITION BY t.mix, o ORDER BY a) > 48)::INT, 0) AS fresh FROM t JOIN x ON x.mix = t.mix AND abs(x.\"offset\" - o) <= 1), r AS (SELECT *, sum(fresh) OVER (PARTITION BY mix, o ORDER BY a) AS run FROM w), g AS (SELECT mix, o, run, count(*) AS votes, min(a) AS first, max(a) AS last FROM r GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY mix, o ORDER BY votes DESC, first) = 1), f AS (SELECT *, votes >= 0.3 * max(votes) OVER (PARTITION BY mix) AS near FROM g) SELECT mix, o AS \"offset\", row_number() OVER (PARTITION BY mix ORDER BY near DESC, CASE WHEN near THEN votes / greatest(last - first, 0.1) END DESC NULLS LAST, votes DESC, o)::INT AS place, votes, first, last FROM f",
     "memoryless_baseline": "SELECT event_id, round(-ln((count(*) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 0.5) / (count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 2.5)), 6) AS surprisal FROM events",
     "tempo_drift": f"WITH {_E}, g AS (SELECT user_id, ts, event_id, us - lag(us) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM e), t AS (SELECT *, ntile(3) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS third FROM g WHERE gap > 0) SELECT user_id, round(median(gap) FILTER (third = 3) / median(gap) FILTER (third = 1), 5) AS drift, round((quantile_cont(gap, 0.75) - quantile_cont(gap, 0.25)) / median(gap), 5) AS spread FROM t GROUP BY 1",
     "phrase_offsets": f"WITH {_E}, f AS (SELECT *, min(us) OVER (PARTITION BY user_id) AS t0 FROM e) SELECT ((us - t0) // 86400000000) % 8 AS place, count(*) AS n FROM f WHERE event_type = 'click' GROUP BY 1",
@@ -505,5 +537,6 @@ ORACLES = {
     "record_laws": f"WITH {_V}, c AS (SELECT count(*) AS checked FROM v) SELECT law, checked, offenders FROM c, (SELECT 'source_named' AS law, count(*) FILTER (source IS NULL OR source = '') AS offenders FROM v UNION ALL SELECT 'abstain_reason', count(*) FILTER (vote IS NULL AND confidence >= 0.5) FROM v UNION ALL SELECT 'confidence_range', count(*) FILTER (confidence NOT BETWEEN 0 AND 1) FROM v UNION ALL SELECT 'place_number', count(*) FILTER (at0 IS NULL OR isnan(at0)) FROM v UNION ALL SELECT 'unit_id', count(*) FILTER (NOT regexp_matches(unit, '^[0-9]+/[0-9]+$')) FROM v)",
     "correction_ledger": "WITH e AS (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old FROM events), b AS (SELECT *, coalesce(old IS NULL OR old = value OR value <= 0, false) AS bad FROM e) SELECT user_id, count(*) FILTER (bad) AS refused, count(*) FILTER (NOT bad) AS kept, arg_max(value, (ts, event_id)) FILTER (NOT bad) AS stands FROM b GROUP BY 1",
     "chunked_union": f"WITH {_LM} SELECT user_id, count(DISTINCT (f1, f2, dt, anchor)) AS n FROM h GROUP BY 1",
+    "expanded_segments": "WITH a AS (SELECT *, coalesce((l_suppkey <> lag(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey))::INT, 1) AS fresh FROM lineitem), b AS (SELECT *, sum(fresh) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS run FROM a) SELECT l_orderkey, place, l_suppkey, place - min(place) OVER (PARTITION BY l_orderkey, run) + 1 AS repeat FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, run) AS place FROM b)",
     "merged_segments": "WITH a AS (SELECT *, coalesce((l_suppkey <> lag(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey))::INT, 1) AS fresh FROM lineitem), b AS (SELECT *, sum(fresh) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS run FROM a) SELECT l_orderkey, run::BIGINT AS run, any_value(l_suppkey) AS l_suppkey, count(*) AS times, min(l_linenumber) AS first FROM b GROUP BY 1, 2",
 }

@@ -13,24 +13,6 @@ from .evidence import landmark_hashes, votes
 from .timeline import events, spans
 
 
-def html_links(spark: SparkSession, d: str) -> DataFrame:
-    """Each link of a page with its place, target and text."""
-    found = F.posexplode(F.regexp_extract_all("html", F.lit(r'(<a href="[^"]*">[^<]*</a>)'), 1)).alias("place", "tag")
-    return table(spark, d, "pages").select("page_id", found).select("page_id", "place", F.regexp_extract("tag", 'href="([^"]*)"', 1).alias("href"), F.regexp_extract("tag", ">([^<]*)<", 1).alias("label"))
-
-
-def html_row_tokenize(spark: SparkSession, d: str) -> DataFrame:
-    """Paragraphs of a page as rows: place, characters of the plain text, and whether it has markup inside."""
-    inner = F.posexplode(F.regexp_extract_all("html", F.lit(r"(?s)<p>(.*?)</p>"), 1)).alias("place", "inner")
-    return table(spark, d, "pages").select("page_id", inner).select("page_id", "place", F.length(F.regexp_replace("inner", "<[^>]*>", "")).alias("n"), F.contains(F.col("inner"), F.lit("<")).cast("int").alias("marked"))
-
-
-def embedded_array_extract(spark: SparkSession, d: str) -> DataFrame:
-    """The href list of a page as an array made and read as JSON."""
-    links = F.to_json(F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)"'), 1))
-    return table(spark, d, "pages").select("page_id", F.size(F.from_json(links, "array<string>")).alias("n"), F.get_json_object(links, "$[0]").alias("first"))
-
-
 def explode_list(spark: SparkSession, d: str) -> DataFrame:
     """Comma lists of part words, trimmed and counted."""
     parts = table(spark, d, "part").select(F.explode(F.split(F.concat_ws(" , ", F.split("p_name", " ")), ",")).alias("w"))
@@ -137,12 +119,18 @@ def canary_gate(spark: SparkSession, d: str) -> DataFrame:
 def hough_bins(spark: SparkSession, d: str) -> DataFrame:
     """Offsets of common landmarks between even and odd users in bins of 24 hours, smoothed by the neighbours, five votes at least.
 
-    Landmarks are counted per place before the join, so there are at most as many rows a landmark as there are hours.
+    Landmarks are counted by day and hour of the day. The bin of a pair is the difference of the days, less one where the hour of the second is the lesser, so a day of one
+    side meets a day of the other as two arrays of 24 counts: a landmark has at most as many pairs as there are pairs of days, whatever the users.
     """
-    h = landmark_hashes(spark, d).groupBy((F.col("user_id") % 2).alias("side"), "f1", "f2", "dt", "anchor").agg(F.count(F.lit(1)).alias("n"))
-    a = h.filter("side = 0").select("f1", "f2", "dt", F.col("anchor").alias("a"), F.col("n").alias("na"))
-    b = h.filter("side = 1").select("f1", "f2", "dt", F.col("anchor").alias("b"), F.col("n").alias("nb"))
-    bins = a.join(b, ["f1", "f2", "dt"]).groupBy(F.floor((F.col("b") - F.col("a")) / 24).alias("bin")).agg(F.sum(F.col("na") * F.col("nb")).alias("n"))
+    h = landmark_hashes(spark, d).select((F.col("user_id") % 2).alias("side"), "f1", "f2", "dt", F.floor(F.col("anchor") / 24).alias("day"), F.pmod("anchor", F.lit(24)).alias("hour"))
+    counts = h.groupBy("side", "f1", "f2", "dt", "day").agg(F.array(*(F.count_if(F.col("hour") == i) for i in range(24))).alias("n"))
+    a = counts.filter("side = 0").select("f1", "f2", "dt", F.col("day").alias("a"), F.col("n").alias("na"))
+    b = counts.filter("side = 1").select("f1", "f2", "dt", F.col("day").alias("b"), F.col("n").alias("nb"))
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, y: s + y)
+    from_hour = b.withColumn("upto", F.transform(F.sequence(F.lit(1), F.lit(24)), lambda i: total(F.slice("nb", i, F.lit(25) - i)))).withColumn("all", total(F.col("nb"))).drop("nb")
+    met = a.join(from_hour, ["f1", "f2", "dt"]).withColumn("same", total(F.zip_with("na", "upto", lambda x, y: x * y)))
+    met = met.groupBy((F.col("b") - F.col("a")).alias("days")).agg(F.sum("same").alias("same"), F.sum(total(F.col("na")) * F.col("all") - F.col("same")).alias("less"))
+    bins = met.select(F.explode(F.array(F.struct(F.col("days").alias("bin"), F.col("same").alias("n")), F.struct((F.col("days") - 1).alias("bin"), F.col("less").alias("n")))).alias("x")).select("x.*")
     spread = bins.select(F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"), "n")
     return spread.groupBy("bin").agg(F.sum("n").alias("votes")).filter("votes >= 5")
 
@@ -226,15 +214,12 @@ def ext_session(spark: SparkSession, d: str) -> DataFrame:
     return s.select("user_id", times.micros(F.col("w.start")).alias("first"), "n")
 
 
-QUERIES = {f.__name__: f for f in (html_links, html_row_tokenize, embedded_array_extract, explode_list, entity_bucket, role_ladder, duration_band, placement_votes, posterior_entropy, fold_interval, explain_subject, orphan_reconcile, segment_explode, blocked_pairs, feature_vectorize, label_density, loso_calibration, canary_gate, hough_bins, bigram_diagonals, cycle_check, monotone_chain, recall_adjudicable, window_hits, routed_fanout, nearest_index_set, event_replay, ext_session)}
+QUERIES = {f.__name__: f for f in (explode_list, entity_bucket, role_ladder, duration_band, placement_votes, posterior_entropy, fold_interval, explain_subject, orphan_reconcile, segment_explode, blocked_pairs, feature_vectorize, label_density, loso_calibration, canary_gate, hough_bins, bigram_diagonals, cycle_check, monotone_chain, recall_adjudicable, window_hits, routed_fanout, nearest_index_set, event_replay, ext_session)}
 
 from .evidence import _LM, _M, _TOP, _V  # noqa: E402
 from .timeline import _E, _NEAR, _SPANS  # noqa: E402
 
 ORACLES = {
-    "html_links": """WITH a AS (SELECT page_id, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS t FROM pages), b AS (SELECT page_id, unnest(range(len(t))) AS place, unnest(t) AS tag FROM a) SELECT page_id, place::INT AS place, regexp_extract(tag, 'href="([^"]*)"', 1) AS href, regexp_extract(tag, '>([^<]*)<', 1) AS label FROM b""",
-    "html_row_tokenize": "WITH a AS (SELECT page_id, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS t FROM pages), b AS (SELECT page_id, unnest(range(len(t))) AS place, unnest(t) AS inn FROM a) SELECT page_id, place::INT AS place, length(regexp_replace(inn, '<[^>]*>', '', 'g'))::INT AS n, contains(inn, '<')::INT AS marked FROM b",
-    "embedded_array_extract": """SELECT page_id, len(t)::INT AS n, t[1] AS first FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS t FROM pages)""",
     "explode_list": "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part) WHERE word <> '' GROUP BY 1",
     "entity_bucket": "SELECT l_partkey, array_to_string(list_sort(list(DISTINCT l_suppkey)), ',') AS suppliers, count(DISTINCT l_returnflag) AS flags FROM lineitem GROUP BY 1",
     "role_ladder": "SELECT CASE WHEN l_linenumber = 1 AND l_linestatus = 'O' THEN 'bed' WHEN l_linenumber = 1 THEN 'solo' WHEN l_returnflag = 'R' OR l_linenumber = 2 THEN 'payload' ELSE 'constituent' END AS role, count(*) AS n FROM lineitem GROUP BY 1",

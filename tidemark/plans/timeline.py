@@ -139,7 +139,7 @@ def asof_click(spark: SparkSession, d: str) -> DataFrame:
 
 def grid_snap(spark: SparkSession, d: str) -> DataFrame:
     """A user's purchases moved to the nearest of the user's clicks (the earlier of two as near) where it is within half the
-    median gap of these; what meets at one click is one time. Without two clicks nothing moves."""
+    median gap of these; where that isn't after the last time kept, the purchase stays where it is if that is, else it goes. Without two clicks nothing moves."""
     e = events(spark, d).filter("event_type IN ('purchase', 'click')")
     click = F.when(F.col("event_type") == "click", F.col("us"))
     w = Window.partitionBy("user_id").orderBy("us")
@@ -148,7 +148,8 @@ def grid_snap(spark: SparkSession, d: str) -> DataFrame:
     half = clicks.groupBy("user_id").agg((F.percentile("gap", F.lit(0.5)) / 2).alias("half"))
     p = e.filter("event_type = 'purchase'").join(half, "user_id", "left")
     near = F.when(F.col("a").isNull() | (F.col("us") - F.col("b") <= F.col("a") - F.col("us")), F.col("b")).otherwise(F.col("a"))
-    return p.select("user_id", F.when(F.abs(near - F.col("us")) <= F.col("half"), near).otherwise(F.col("us")).alias("snapped")).distinct()
+    p = p.select("user_id", F.col("us").alias("snapped"), F.when(F.abs(near - F.col("us")) <= F.col("half"), near).otherwise(F.col("us")).alias("near"))
+    return series.snapped(p, KEY, "snapped", "near").withColumn("snapped", F.col("snapped").cast("long"))
 
 
 def spans(spark: SparkSession, d: str) -> DataFrame:
@@ -274,7 +275,8 @@ ORACLES = {
     "phase_stats": f"WITH {_E}, p AS (SELECT event_type, (us % 86400000000) / 86400000000 AS ph FROM e), a AS (SELECT event_type, count(*) AS n, sqrt(pow(avg(cos(2 * pi() * ph)), 2) + pow(avg(sin(2 * pi() * ph)), 2)) AS r, {', '.join(f'count(*) FILTER (least(7, floor(ph * 8)) = {i}) AS part_{i}' for i in range(8))} FROM p GROUP BY 1) SELECT event_type, round(r, 6) AS r, round(greatest(0, least(1, exp(-n * r * r) * (1 + (2 * n * r * r - pow(n * r * r, 2)) / (4 * n)))), 6) AS p, {', '.join(f'part_{i}' for i in range(8))} FROM a",
     "nearest_cue": f'WITH {_NEAR} SELECT event_id, b0 AS "before", a0 AS "after", near FROM r',
     "asof_click": f"WITH {_E} SELECT p.event_id, c.us AS click_us_before, c.value AS click_value FROM (SELECT * FROM e WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM e WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.us >= c.us",
-    "grid_snap": f"WITH {_E}, c AS (SELECT DISTINCT user_id, us FROM e WHERE event_type = 'click'), h AS (SELECT user_id, median(gap) / 2 AS half FROM (SELECT user_id, us - lag(us) OVER (PARTITION BY user_id ORDER BY us) AS gap FROM c) GROUP BY 1), n AS (SELECT user_id, us AS t0, (SELECT max(us) FROM c WHERE c.user_id = e.user_id AND c.us <= e.us) AS b0, (SELECT min(us) FROM c WHERE c.user_id = e.user_id AND c.us >= e.us) AS a0 FROM e WHERE event_type = 'purchase'), r AS (SELECT *, CASE WHEN a0 IS NULL OR t0 - b0 <= a0 - t0 THEN b0 ELSE a0 END AS near FROM n) SELECT DISTINCT user_id, CASE WHEN abs(near - t0) <= half THEN near ELSE t0 END AS snapped FROM r LEFT JOIN h USING (user_id)",
+    "merge_within_tol": f"WITH RECURSIVE {_E}, o AS (SELECT user_id, us / 1000000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY us) AS i FROM e), fold AS (SELECT user_id, i, t AS last, t AS \"at\" FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.i, CASE WHEN t - last > 3600 THEN t ELSE last END, CASE WHEN t - last > 3600 THEN t END FROM fold JOIN o ON o.user_id = fold.user_id AND o.i = fold.i + 1) SELECT user_id, \"at\" FROM fold WHERE \"at\" IS NOT NULL",
+    "grid_snap": f"WITH RECURSIVE {_E}, c AS (SELECT DISTINCT user_id, us FROM e WHERE event_type = 'click'), h AS (SELECT user_id, median(gap) / 2 AS half FROM (SELECT user_id, us - lag(us) OVER (PARTITION BY user_id ORDER BY us) AS gap FROM c) GROUP BY 1), n AS (SELECT user_id, us AS t0, (SELECT max(us) FROM c WHERE c.user_id = e.user_id AND c.us <= e.us) AS b0, (SELECT min(us) FROM c WHERE c.user_id = e.user_id AND c.us >= e.us) AS a0 FROM e WHERE event_type = 'purchase'), r AS (SELECT *, CASE WHEN a0 IS NULL OR t0 - b0 <= a0 - t0 THEN b0 ELSE a0 END AS near FROM n), o AS (SELECT user_id, t0, CASE WHEN abs(near - t0) <= half THEN near ELSE t0 END AS s0, row_number() OVER (PARTITION BY user_id ORDER BY t0) AS i FROM r LEFT JOIN h USING (user_id)), fold AS (SELECT user_id, i, s0 AS last, s0 AS snapped FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.i, CASE WHEN s0 > last THEN s0 WHEN t0 > last THEN t0 ELSE last END, CASE WHEN s0 > last THEN s0 WHEN t0 > last THEN t0 END FROM fold JOIN o ON o.user_id = fold.user_id AND o.i = fold.i + 1) SELECT user_id, snapped FROM fold WHERE snapped IS NOT NULL",
     "interval_overlap": f"WITH {_SPANS} SELECT x.event_id AS a, y.event_id AS b, round(least(x.hi, y.hi) - greatest(x.lo, y.lo), 3) AS overlap FROM s x JOIN s y ON x.user_id = y.user_id AND x.lo < y.hi AND y.lo < x.hi WHERE x.event_type = 'click' AND y.event_type = 'purchase'",
     "interval_merge": f"WITH {_MERGED} SELECT user_id, round(lo, 3) AS lo, round(hi, 3) AS hi, n FROM m",
     "interval_gaps": f"WITH {_MERGED}, l AS (SELECT user_id, hi AS lo, lead(lo) OVER (PARTITION BY user_id ORDER BY lo) AS hi FROM m) SELECT user_id, round(lo, 3) AS lo, round(hi, 3) AS hi FROM l WHERE hi IS NOT NULL",
