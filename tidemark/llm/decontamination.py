@@ -30,7 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stash
+from .shared import fresh, stash
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -38,6 +38,9 @@ MISS = 1e-6
 BROADCAST_ROWS = 500_000
 """Tables of at most this many slim rows are sent to all executors; larger ones are shuffled."""
 
+BROADCAST_SHINGLES = 1_000_000
+"""Lists of shingles of at most so many in all, some 50 MB of words, are sent to all executors."""
+
 
 def words_of(text: Column) -> Column:
     """The lower-cased runs of letters and digits of a text."""
@@ -112,7 +115,7 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id
     candidates = minima.join(index, "h").filter(F.col("bits") >= F.col("from_bits")).select("text_key", "item_id").distinct()
     candidates = _small(stash(candidates, "candidates"))
 
-    few = items.count() <= BROADCAST_ROWS // 10
+    few = (items.agg(F.sum("item_shingles")).first()[0] or 0) <= BROADCAST_SHINGLES
     lists = items.select("item_id", "shingles", "item_shingles")
     pairs = keyed.join(candidates, "text_key").withColumn("words", words_of(F.col("text"))).withColumn("own", shingles_of("words", words)).drop("text", "words")
     pairs = pairs.join(F.broadcast(lists) if few else lists, "item_id")
@@ -123,6 +126,7 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that contain an item."""
-    found = contained(docs.select(F.lit(0).alias("__id"), text), items, "__id", "item_id", text, words, threshold)
-    bad = _small(stash(found.select(F.col("text_key").alias("__text_key")).distinct(), "contaminated"))
-    return docs.withColumn("__text_key", F.xxhash64(text, F.length(text))).join(bad, "__text_key", "left_anti").select(*docs.columns)
+    own, key = F.col(f"`{text}`"), fresh(docs.columns, "text_key")
+    found = contained(docs.select(F.lit(0).alias("id"), own.alias("text")), items, "id", "item_id", "text", words, threshold)
+    bad = _small(stash(found.select(F.col("text_key").alias(key)).distinct(), "contaminated"))
+    return docs.withColumn(key, F.xxhash64(own, F.length(own))).join(bad, key, "left_anti").select(*(f"`{c}`" for c in docs.columns))

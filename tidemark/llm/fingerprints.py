@@ -109,12 +109,18 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
         total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         ranges = min(MAX_RANGES, max(1, -(-total // RANGE_BYTES)))
     is_text = kind in ("string", "binary")
-    # Texts are cut by their first seven bytes as a number, which keeps their order.
-    rank = F.conv(F.rpad(F.hex(F.substring(F.col("doc_id").cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long") if is_text else F.col("doc_id")
-    cuts = rows.agg(F.percentile_approx(rank, [i / ranges for i in range(1, ranges)], max(10_000, 10 * ranges))).first()[0] if ranges > 1 else []
-    cuts = sorted(set(cuts or []))
+    rank = F.col("doc_id")
+    if ranges == 1:
+        cuts = []
+    elif is_text:  # quantiles of a bounded sample, drawn by hashes of the ids; they only decide how even the ranges are
+        drawn = rows.select("doc_id").filter("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max(10_000, 10 * ranges)).collect()
+        drawn = sorted(bytes(r[0]) if kind == "binary" else r[0].encode() for r in drawn)
+        cuts = [drawn[i * len(drawn) // ranges] for i in range(1, ranges)] if drawn else []
+        cuts = sorted(set(cuts if kind == "binary" else [c.decode() for c in cuts]), key=lambda c: c if kind == "binary" else c.encode())
+    else:
+        cuts = sorted(set(rows.agg(F.percentile_approx(rank, [i / ranges for i in range(1, ranges)], max(10_000, 10 * ranges))).first()[0] or []))
     # The range of an id is the number of cuts that are not above it; a null id is in the first.
-    edges = F.array(*map(F.lit, cuts)).cast("array<bigint>" if is_text else f"array<{kind}>")
+    edges = F.array(*map(F.lit, cuts)).cast(f"array<{kind}>")
     steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))))
     place = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(edges, at + step - 1) <= rank, at + step).otherwise(at)) if cuts else F.lit(0)  # binary search
     placed = rows.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(place))

@@ -349,7 +349,7 @@ def kept_parts(data: bytes, ats: list[int], length: int = LENGTH) -> tuple[list[
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, keep_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the bytes left), one row per document."""
-    runs = covered(docs, doc_id, text, length, gram, crowd).groupBy("key", "digest").agg(F.collect_list("at").alias("ats"))
+    runs = covered(docs, doc_id, text, length, gram, crowd).groupBy("key", "digest").agg(F.collect_set("at").alias("ats"))
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumns({"key": F.xxhash64(F.col("doc_id").cast("string")), "digest": F.xxhash64("text")})

@@ -42,8 +42,13 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     rest = F.coalesce(rest, F.lit(""))
     host = F.regexp_extract(rest, r"^([^/?#]*)", 1)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
+    return lowered(host), path
+
+
+def lowered(host: Column) -> Column:
+    """A-Z in lower case, all else as it is."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.translate(host, upper, upper.lower()), path
+    return F.translate(host, upper, upper.lower())
 
 
 def possible_keys(host: Column, path: Column, path_lengths: list[int], longest: int) -> Column:
@@ -118,7 +123,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     digest array holds no key of the url and the verdict is `default`.
     """
     spark = pages.sparkSession
-    key = F.concat(F.lower("host"), F.lit("\n"), F.col("path"))
+    key = F.concat(lowered(F.col("host")), F.lit("\n"), F.col("path"))
     rules = rules.filter("host IS NOT NULL AND path IS NOT NULL").select(key.alias("key"), F.xxhash64(key).alias("digest"), "host", F.length("path").alias("n"), "verdict")
     lengths = sorted(r["n"] for r in rules.select("n").distinct().collect())
     host, path = host_and_path(F.col(url))
