@@ -20,6 +20,16 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0)), F.lit(0.0))
 
 
+def sliding_agreement(a: Column, b: Column, most: int, least: int, bits: int = 32) -> Column:
+    """The best mean agreement of the bits of two arrays of words over slides of up to `most` places either way that overlap in `least` words at least; 0 if none does."""
+    def at(off: Column) -> Column:
+        n = F.least(F.size(a), F.size(b) + off) - F.greatest(off, F.lit(0))
+        pairs = F.zip_with(F.slice(a, F.greatest(off, F.lit(0)) + 1, F.greatest(n, F.lit(0))), F.slice(b, F.greatest(-off, F.lit(0)) + 1, F.greatest(n, F.lit(0))), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long"))
+        return F.when(n >= least, 1 - F.aggregate(pairs, F.lit(0).cast("long"), lambda s, x: s + x) / n / bits)
+
+    return F.coalesce(F.array_max(F.transform(F.sequence(F.lit(-most), F.lit(most)), at)), F.lit(0.0))
+
+
 def bit_agreement(a: Column, b: Column, bits: int = 32) -> Column:
     """The share of bits in which two words agree."""
     return 1 - F.bit_count(a.bitwiseXOR(b)) / bits

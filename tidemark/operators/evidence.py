@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import picks
+from . import picks, series
 
 QUARANTINE, REJECT, ACCEPT, MAX_ENTROPY = "quarantined", 0.15, 0.55, 1.5
 
@@ -43,6 +43,45 @@ def margin_gate(best: Column, score: Column, claim: Column, claim_score: Column,
     return F.when(over, "override").when(claim.isNotNull(), "accept").otherwise("abstain")
 
 
+def belief_clusters(observations: DataFrame, unit: str, at: str, weight: str, group: str, row: str, tolerance: float) -> DataFrame:
+    """unit, seed, n, center, share, trust: places that observations of a unit agree on. The heaviest takes all within the tolerance of it, then the heaviest left, and so on;
+    ties go to the lesser place, then row.
+
+    Seeds are what suppression within the tolerance keeps, and an observation goes to the first of them that is near. `share` is of all weight, `trust` the chance that one of the
+    independent groups is right, each by its greatest weight. Observations without a place, or of no positive weight, have no part.
+    """
+    live = observations.filter(F.col(at).isNotNull() & (F.col(weight) > 0))
+    order = Window.partitionBy(unit).orderBy(F.desc(weight), at, row)
+    live = live.withColumn("__rank", F.row_number().over(order))
+    seeds = series.spaced(live.select(unit, at, (-F.col("__rank")).alias("__first")), [unit], at, "__first", tolerance).select(unit, F.col(at).alias("seed"), (-F.col("__first")).alias("__rank"))
+    near = live.drop("__rank").join(seeds, unit).filter(F.abs(F.col(at) - F.col("seed")) <= tolerance)
+    taken = picks.first_of(near, [unit, row], [F.asc("__rank")])
+    trust = taken.groupBy(unit, "seed", group).agg(F.max(weight).alias("__top")).groupBy(unit, "seed").agg((1 - F.product(1 - F.col("__top"))).alias("trust"))
+    sums = taken.groupBy(unit, "seed").agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col(at) * F.col(weight)) / F.sum(weight)).alias("center"), F.sum(weight).alias("__w"))
+    sums = sums.withColumn("share", F.col("__w") / F.sum("__w").over(Window.partitionBy(unit))).drop("__w")
+    return sums.join(trust, [unit, "seed"])
+
+
+def confident_guess(scores: DataFrame, row: str, label: str, klass: str, p: str) -> DataFrame:
+    """row, label, guess: the most likely class among those whose probability reaches its class's threshold (the mean over rows labelled so), else of all; ties go to the lesser class.
+
+    scores: one line a row and class. A class that nothing is labelled as has no threshold and is never reached.
+    """
+    limits = scores.filter(F.col(label) == F.col(klass)).groupBy(klass).agg(F.avg(p).alias("__limit"))
+    reached = F.coalesce(F.col(p) >= F.col("__limit"), F.lit(False))
+    best = F.max_by(klass, F.struct(reached, F.col(p), -F.col(klass)))
+    return scores.join(F.broadcast(limits) if limits.limit(10_001).count() <= 10_000 else limits, klass, "left").groupBy(row, label).agg(best.alias("guess"))
+
+
+def calibrated_joint(guesses: DataFrame, label: str, guess: str) -> DataFrame:
+    """label, guess, n, calibrated: counts over the product of their margins, scaled to sum to 1; cells without rows are left out."""
+    n = guesses.groupBy(label, guess).agg(F.count(F.lit(1)).alias("n"))
+    raw = F.col("n") / (F.sum("n").over(Window.partitionBy(label)) * F.sum("n").over(Window.partitionBy(guess)))
+    n = n.withColumn("__raw", raw)
+    total = n.agg(F.sum("__raw").alias("__total"))
+    return n.crossJoin(F.broadcast(total)).select(label, guess, "n", (F.col("__raw") / F.col("__total")).alias("calibrated"))
+
+
 def bands(results: DataFrame, unit: str, source: str, at: str, confidence: str, abstained: Column) -> DataFrame:
     """ACCEPT, REVIEW or ABSTAIN for each unit from one result a source (the most confident that fired) around their median; ABSTAIN where none fired."""
     one = picks.first_of(results.filter(~abstained), [unit, source], [F.desc(confidence), F.asc(at)])
