@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def artists(name: Column) -> Column:
@@ -65,3 +68,36 @@ def canonical_hash(**values: Column) -> Column:
 def trimmed_list(text: Column) -> Column:
     """A comma list as an array of trimmed entries that aren't empty."""
     return F.filter(F.transform(F.split(text, ","), lambda a: F.trim(a)), lambda x: x != "")
+
+
+@F.pandas_udf(StringType())
+def folded(words: pd.Series) -> pd.Series:
+    """Words in compatibility decomposition without their combining marks; meant for distinct words."""
+    return words.map(lambda w: None if w is None else "".join(c for c in unicodedata.normalize("NFKD", w) if not unicodedata.combining(c)))
+
+
+def unwrapped(url: Column, names: Sequence[str], depth: int = 3) -> Column:
+    """The address in the first of these query parameters, decoded, up to `depth` times; as it is where there is none or what is there is no address."""
+    for _ in range(depth):
+        inner = F.try_url_decode(F.regexp_extract(url, r"[?&](?:" + "|".join(names) + r")=([^&#]+)", 1))
+        url = F.when(inner.rlike(r"^[a-z][a-z0-9+.-]*://"), inner).otherwise(url)
+    return url
+
+
+# The words that tell a version, in order of precedence.
+VERSIONS = ((" mashup| vs | vs\\. ", "Mashup"), (" bootleg", "Bootleg"), (" rework", "Rework"), (" remix", "Remix"), (" edit", "Edit"), (" flip| vip", "AltVersion"))
+
+
+def version_tag(title: Column, remix: Column) -> Column:
+    """The version that a title claims, the first of VERSIONS that it names; without one, AltVersion if it is marked as a remix, else null."""
+    return F.coalesce(first_match(F.lower(title), VERSIONS), F.when(remix, "AltVersion"))
+
+
+def is_remixish(title: Column, remix: Column) -> Column:
+    """Whether a title is marked as a remix or names a rework, remix, mashup or bootleg."""
+    return F.coalesce(remix, F.lit(False)) | F.coalesce(F.lower(title).rlike(r" rework| remix| mashup| vs | vs\. | bootleg"), F.lit(False))
+
+
+def variant(title: Column) -> Column:
+    """extended for an extended mix, version or edit, else regular."""
+    return F.when(F.lower(title).rlike(r"\bextended\s+(?:mix|version|edit)\b|\(extended\)"), "extended").otherwise("regular")

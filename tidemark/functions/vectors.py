@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -30,6 +33,22 @@ def sliding_agreement(a: Column, b: Column, most: int, least: int, bits: int = 3
     return F.coalesce(F.array_max(F.transform(F.sequence(F.lit(-most), F.lit(most)), at)), F.lit(0.0))
 
 
+@F.pandas_udf(BinaryType())
+def to_blob(column: pd.Series) -> pd.Series:
+    """An array of numbers as a blob of little-endian single-precision ones; null for a null array."""
+    return column.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
+
+
+def from_blob(blob: str, width: int) -> Column:
+    """A blob of little-endian single-precision numbers as its layers, arrays of `width` numbers; null for a null blob or one that isn't whole layers."""
+
+    @F.pandas_udf(ArrayType(ArrayType(DoubleType())))
+    def layers(column: pd.Series) -> pd.Series:
+        return column.map(lambda b: None if b is None or len(b) % (4 * width) else np.frombuffer(b, dtype="<f4").astype(np.float64).reshape(-1, width).tolist())
+
+    return layers(blob)
+
+
 def bit_agreement(a: Column, b: Column, bits: int = 32) -> Column:
     """The share of bits in which two words agree."""
     return 1 - F.bit_count(a.bitwiseXOR(b)) / bits

@@ -43,6 +43,23 @@ def margin_gate(best: Column, score: Column, claim: Column, claim_score: Column,
     return F.when(over, "override").when(claim.isNotNull(), "accept").otherwise("abstain")
 
 
+def label_fault(revoked: Column, eligible_from: Column, produced_in: Column, families: Column, target: Column, round_index: int, round_id: int, parent_id: int | None, consumer: str) -> Column:
+    """Why a label may not teach the consumer's family in a round, null if it may: the first that holds of revoked, too early for the round, made in
+    the round itself (a cycle), not made in its parent round, backed by no family, backed by the consumer's own (its view would leak), or meant for another view."""
+    out = F.when(F.coalesce(revoked, F.lit(False)), "revoked").when(eligible_from > round_index, "too_early").when(produced_in == round_id, "cycle")
+    if parent_id is not None:
+        out = out.when(~produced_in.eqNullSafe(F.lit(parent_id)), "not_parent")
+    return out.when(F.coalesce(F.size(families), F.lit(0)) <= 0, "unfalsifiable").when(F.array_contains(families, consumer), "view_leakage").when(~target.eqNullSafe(F.lit(consumer)), "other_view")
+
+
+def family_calibration(outcomes: DataFrame, keys: list[str], family: str, hit: Column, least: int) -> DataFrame:
+    """keys, family, n, precision: the mean of a Beta posterior (uniform prior) of each family's known outcomes; a family with fewer than `least` takes that of all families of its keys."""
+    own = outcomes.groupBy(*keys, family).agg(F.count(hit).alias("n"), F.count_if(hit).alias("__hits"))
+    every = Window.partitionBy(*keys)
+    few = (F.sum("__hits").over(every) + 1) / (F.sum("n").over(every) + 2)
+    return own.withColumn("precision", F.when(F.col("n") < least, few).otherwise((F.col("__hits") + 1) / (F.col("n") + 2))).drop("__hits")
+
+
 def belief_clusters(observations: DataFrame, unit: str, at: str, weight: str, group: str, row: str, tolerance: float) -> DataFrame:
     """unit, seed, n, center, share, trust: places that observations of a unit agree on. The heaviest takes all within the tolerance of it, then the heaviest left, and so on;
     ties go to the lesser place, then row.

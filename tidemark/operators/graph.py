@@ -51,6 +51,14 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             return roots
 
 
+def guarded(edges: DataFrame, proposals: DataFrame, child: str, parent: str) -> DataFrame:
+    """proposals with `verdict`: self (an edge to itself), cycle (its parent already descends from its child in edges) or ok; each is judged against the edges alone, not against other proposals."""
+    above = closure(edges, child, parent).select(F.col("node").alias("__node"), F.col("ancestor").alias("__ancestor"))
+    met = proposals.join(above, (F.col(parent) == F.col("__node")) & (F.col(child) == F.col("__ancestor")), "left")
+    verdict = F.when(F.col(child) == F.col(parent), "self").when(F.col("__node").isNotNull(), "cycle").otherwise("ok")
+    return met.withColumn("verdict", verdict).drop("__node", "__ancestor")
+
+
 def dangling(rows: DataFrame, key: str, targets: DataFrame, target: str, law: str) -> DataFrame:
     """Offenders of a reference law: keys that name nothing."""
     named = targets.select(F.col(target).alias(key)).distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from .ranks import least_from, ranked
 from .streams import folded
 
 
@@ -91,17 +92,10 @@ def snapped(df: DataFrame, keys: list[str], at: str, near: str) -> DataFrame:
 
 
 def benjamini_hochberg(df: DataFrame, keys: list[str], p: str, name: str = "q") -> DataFrame:
-    """q: the least of p * n / rank over this and all larger p, at most 1."""
-    rising = Window.partitionBy(*keys).orderBy(p)
-    all_rows = Window.partitionBy(*keys)
-    df = df.withColumn("__raw", F.col(p) * F.count(F.lit(1)).over(all_rows) / F.row_number().over(rising))
-    from_here = Window.partitionBy(*keys).orderBy(F.desc(p), F.desc("__raw")).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.least(F.lit(1.0), F.min("__raw").over(from_here))).drop("__raw")
-
-
-def average_rank(value: str, keys: list[str]) -> Column:
-    """Ranks in which ties share their mean."""
-    return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / 2
+    """q: the least of p * n / place over this and all later places by p, at most 1; null p-values are left out."""
+    rows = ranked(df, keys, p, []).withColumn("__raw", F.col(p) * F.col("of") / F.col("place"))
+    told = least_from(rows, keys, "__raw", "__q")
+    return told.withColumn(name, F.least(F.lit(1.0), F.min("__q").over(Window.partitionBy(*keys, "__bin", p)))).select(*df.columns, name)
 
 
 def grid_repaired(df: DataFrame, keys: list[str], at: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import curves, decoding, evidence, learning, matching, pages, relational, similarity, structure, timeline
+from . import curves, decoding, evidence, learning, matching, pages, records, relational, similarity, statistics, structure, timeline
 
-PARTS = (relational, timeline, evidence, structure, curves, matching, similarity, pages, decoding, learning)
+PARTS = (relational, timeline, evidence, structure, curves, matching, similarity, pages, decoding, learning, records, statistics)
 QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
 ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}

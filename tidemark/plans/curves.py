@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import times, vectors
-from ..operators import joins, picks, series
+from ..operators import joins, picks, ranks, series
 from ..sources.tables import table
 from .timeline import _E, _NEAR, _SPANS, _W, events, nearest_cue, spans
 
@@ -57,9 +57,11 @@ def pairwise_corr(spark: SparkSession, d: str) -> DataFrame:
 
 
 def frame_cosine(spark: SparkSession, d: str) -> DataFrame:
-    """Mean cosine of each vector with the one before it, per label."""
-    e = table(spark, d, "embeddings").withColumn("prev", F.lag("embedding").over(Window.partitionBy("label").orderBy("vec_id")))
-    return e.filter("prev IS NOT NULL").groupBy("label").agg(F.round(F.avg(vectors.cosine(F.col("embedding"), F.col("prev"))), 4).alias("cosine"))
+    """Mean cosine of each vector with the one before it, per label: neighbours meet by their places, so no label's vectors are sorted in one task."""
+    e = ranks.ranked(table(spark, d, "embeddings"), ["label"], "vec_id", []).select("label", "place", "embedding")
+    before = e.select(F.col("label").alias("of"), (F.col("place") + 1).alias("next"), F.col("embedding").alias("prev"))
+    both = e.join(before, F.col("label").eqNullSafe(F.col("of")) & (F.col("place") == F.col("next")))
+    return both.groupBy("label").agg(F.round(F.avg(vectors.cosine(F.col("embedding"), F.col("prev"))), 4).alias("cosine"))
 
 
 def curve_precision(spark: SparkSession, d: str) -> DataFrame:

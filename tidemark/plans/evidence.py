@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text, times, vectors
-from ..operators import evidence, graph, joins, picks, series
+from ..operators import evidence, graph, joins, picks, ranks, series
 from ..sources.tables import table, written
 
 
@@ -339,7 +339,7 @@ def bh_qvalues(spark: SparkSession, d: str) -> DataFrame:
 def auc_rank(spark: SparkSession, d: str) -> DataFrame:
     """Area under the curve of text length for quality labels, by average ranks; per language."""
     x = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
-    x = x.withColumn("rank", series.average_rank("n_chars", ["lang"]))
+    x = ranks.ranked(x, ["lang"], "n_chars", ["doc_id"]).withColumn("rank", F.col("rank") + (F.col("ties") - 1) / 2)
     a = x.groupBy("lang").agg(F.sum(F.when(F.col("quality") == 1, F.col("rank"))).alias("r"), F.count_if(F.col("quality") == 1).alias("p"), F.count_if(F.col("quality") == 0).alias("n"))
     return a.select("lang", F.round((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / F.nullif(F.col("p") * F.col("n"), F.lit(0)), 6).alias("auc"))
 
@@ -416,7 +416,7 @@ SELECT unit, vote, round(o / sum(o) OVER (PARTITION BY unit), 5) AS posterior FR
     "capped_matches": f"WITH {_LM}, m AS (SELECT f1, f2, dt, user_id AS mix FROM h WHERE user_id < 75), r AS (SELECT f1, f2, dt, user_id AS ref FROM h WHERE user_id >= 75), c AS (SELECT f1, f2, dt, (SELECT count(*) FROM r WHERE r.f1 = x.f1 AND r.f2 = x.f2 AND r.dt = x.dt) * n AS freq FROM (SELECT f1, f2, dt, count(*) AS n FROM m GROUP BY 1, 2, 3) x) SELECT mix, ref, round(sum(1 / log2(2 + freq)), 5) AS weight, count(*) AS n FROM m JOIN c USING (f1, f2, dt) JOIN r USING (f1, f2, dt) WHERE freq <= 64 GROUP BY 1, 2",
     "cosine_topk": f"WITH s AS (SELECT q.vec_id AS q, e.vec_id, round({_COS}, 5) AS cosine FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0) SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, vec_id)::INT AS place FROM s QUALIFY place <= 5",
     "chamfer_rank": f"WITH s AS (SELECT q.label AS own, e.label, q.vec_id AS q, max({_COS}) AS best FROM embeddings q JOIN embeddings e ON q.label <> e.label WHERE q.vec_id % 20 = 0 GROUP BY 1, 2, 3) SELECT own, label, round(avg(best), 4) AS chamfer FROM s GROUP BY 1, 2",
-    "bh_qvalues": "WITH e AS (SELECT user_id, round(exp(-max(value) / 100), 9) AS p FROM events GROUP BY 1), r AS (SELECT *, user_id % 3 AS f, p * count(*) OVER (PARTITION BY user_id % 3) / row_number() OVER (PARTITION BY user_id % 3 ORDER BY p) AS raw FROM e) SELECT user_id, p, round(least(1.0, min(raw) OVER (PARTITION BY f ORDER BY p DESC, raw DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM r",
+    "bh_qvalues": "WITH e AS (SELECT user_id, round(exp(-max(value) / 100), 9) AS p FROM events GROUP BY 1), r AS (SELECT *, user_id % 3 AS f, p * count(*) OVER (PARTITION BY user_id % 3) / row_number() OVER (PARTITION BY user_id % 3 ORDER BY p) AS raw FROM e) SELECT user_id, p, round(least(1.0, min(raw) OVER (PARTITION BY f ORDER BY p DESC RANGE UNBOUNDED PRECEDING)), 6) AS q FROM r",
     "auc_rank": "WITH x AS (SELECT lang, quality, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2 AS r FROM labels JOIN documents USING (doc_id)) SELECT lang, round((sum(r) FILTER (quality = 1) - count(*) FILTER (quality = 1) * (count(*) FILTER (quality = 1) + 1) / 2) / nullif(count(*) FILTER (quality = 1) * count(*) FILTER (quality = 0), 0), 6) AS auc FROM x GROUP BY 1",
     "tie_fair": "WITH a AS (SELECT *, max(l_quantity) OVER (PARTITION BY l_partkey) AS top FROM lineitem), b AS (SELECT l_suppkey, 1 / count(*) OVER (PARTITION BY l_partkey) AS c FROM a WHERE l_quantity = top) SELECT l_suppkey, round(sum(c), 6) AS credit FROM b GROUP BY 1",
     "fixed_denominator": "SELECT lang, count(*) AS n, round(avg(coalesce(quality, 0)), 6) AS score FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1",

@@ -357,9 +357,11 @@ def duration_verdict(spark: SparkSession, d: str) -> DataFrame:
 
 
 def title_kind(spark: SparkSession, d: str) -> DataFrame:
-    """What a page's address says it is: of a person (@), of a pair ( - ), or neither."""
-    kind = F.when(F.contains("url", F.lit("@")), "person").when(F.contains("url", F.lit("-")), "pair").otherwise("plain")
-    return table(spark, d, "pages").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    """What a title says it is about: a person at a place (@), a pair ( - , with its spaces: a bare hyphen joins one name), or neither."""
+    c = table(spark, d, "customer")
+    title = F.concat("c_name", F.element_at(F.array(*map(F.lit, (" - ", "-", " @ ", "@", " "))), (F.col("c_custkey") % 5 + 1).cast("int")), "c_mktsegment")
+    kind = F.when(F.contains(title, F.lit("@")), "person").when(F.contains(title, F.lit(" - ")), "pair").otherwise("plain")
+    return c.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def part_mask(spark: SparkSession, d: str) -> DataFrame:
@@ -523,7 +525,7 @@ ORACLES = {
     "prior_percentiles": "SELECT event_type, '{\"p05\":' || floor(quantile_cont(value, 0.05) * 100 + 0.5)::BIGINT || ',\"p50\":' || floor(quantile_cont(value, 0.5) * 100 + 0.5)::BIGINT || ',\"p95\":' || floor(quantile_cont(value, 0.95) * 100 + 0.5)::BIGINT || '}' AS prior FROM events GROUP BY 1",
     "vintage_spread": "SELECT o_orderstatus, (epoch_us(max(o_orderdate)) - epoch_us(min(o_orderdate))) // 1000000 AS spread FROM orders GROUP BY 1",
     "duration_verdict": "SELECT CASE WHEN ratio BETWEEN 0.9 AND 1.15 THEN 'ok' WHEN sim >= 0.95 THEN 'ok_similar' WHEN p_size > 25 THEN 'weak_signal' WHEN sim >= 0.55 THEN 'ok_plain' ELSE 'wrong' END AS verdict, count(*) AS n FROM (SELECT l_extendedprice / (l_quantity * p_retailprice) AS ratio, l_tax * 12 AS sim, p_size FROM lineitem JOIN part ON p_partkey = l_partkey) GROUP BY 1",
-    "title_kind": "SELECT CASE WHEN contains(url, '@') THEN 'person' WHEN contains(url, '-') THEN 'pair' ELSE 'plain' END AS kind, count(*) AS n FROM pages GROUP BY 1",
+    "title_kind": "WITH t AS (SELECT c_name || [' - ', '-', ' @ ', '@', ' '][(c_custkey % 5 + 1)::INT] || c_mktsegment AS t FROM customer) SELECT CASE WHEN t LIKE '%@%' THEN 'person' WHEN t LIKE '% - %' THEN 'pair' ELSE 'plain' END AS kind, count(*) AS n FROM t GROUP BY 1",
     "part_mask": "WITH n AS (SELECT user_id, event_type, count(*) / sum(count(*)) OVER (PARTITION BY user_id) AS share FROM events GROUP BY 1, 2), t AS (SELECT *, max(share) OVER (PARTITION BY user_id) AS top FROM n) SELECT user_id, string_agg(event_type, '+' ORDER BY event_type) FILTER (share >= 0.15 AND share >= top - 0.1) AS mask FROM t GROUP BY 1",
     "version_verdict": "SELECT CASE WHEN t >= 6 THEN 'version' WHEN t <= 3 THEN 'original' ELSE 'unsure' END AS verdict, count(*) AS n FROM (SELECT 4 * (l_shipdate::DATE - o_orderdate::DATE > 60)::INT + 3 * (l_discount > 0.05)::INT + 2 * (l_tax > 0.04)::INT + (l_quantity % 10 = 0)::INT AS t FROM lineitem JOIN orders ON o_orderkey = l_orderkey) GROUP BY 1",
     "slot_flags": "SELECT o_orderkey, (o_orderstatus = 'P')::INT AS blocking, (o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus <> 'P')::INT AS warning FROM orders",

@@ -70,9 +70,10 @@ def forward_window_mean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def band_zscore(spark: SparkSession, d: str) -> DataFrame:
-    """Values as deviations from their type's mean."""
-    w = Window.partitionBy("event_type")
-    return events(spark, d).select("event_id", F.round((F.col("value") - F.avg("value").over(w)) / F.stddev_pop("value").over(w), 6).alias("z"))
+    """Values as deviations from their type's mean: a mean and a deviation a type, joined back."""
+    e = events(spark, d)
+    bands = e.groupBy(F.col("event_type").alias("band")).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation"))
+    return e.join(bands, F.col("event_type").eqNullSafe(F.col("band"))).select("event_id", F.round((F.col("value") - F.col("mean")) / F.col("deviation"), 6).alias("z"))
 
 
 def gap_sessions(spark: SparkSession, d: str) -> DataFrame:
