@@ -136,3 +136,18 @@ def test_a_placement_is_ambiguous_in_a_class_with_two_sections(spark):
     places = spark.createDataFrame([("a", 5.0), ("a", 30.0), ("a", 41.0), ("a", 46.0), ("b", 5.0), ("a", None)], "g string, at double")
     got = {(r["g"], r["at"]): (r["class"], r["instances"], r["membership"], r["ambiguous"]) for r in classes.placed_ambiguity(places, sections, ["g"], "at", "lo", "hi", 4.0, 7.0).collect()}
     assert got == {("a", 5.0): (1, 2, 0.8, True), ("a", 30.0): (None, 1, None, False), ("a", 41.0): (2, 1, 0.0, False), ("a", 46.0): (3, 1, 0.5, False), ("b", 5.0): (None, 1, None, False), ("a", None): (None, 1, None, False)}
+
+
+def test_small_and_large_frames_alike_in_any_batches(spark, monkeypatch):
+    draw = random.Random(3)
+    rows = [(u, t, float(s), float(draw.choice((0, 1, 2, 5)))) for u in range(7) for t in range(draw.randint(1, 9)) for s in draw.sample(range(9), draw.randint(1, 7))]
+    e = spark.createDataFrame(rows, "u int, t int, s double, v double")
+    found = []
+    for small, batch in ((0, 10_000), (32, 10_000), (6, 2), (1_000, 5)):
+        monkeypatch.setattr(decoders, "SMALL", small)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            found.append(sorted(map(tuple, decoders.directional_path(e, ["u"], "t", "s", "v", 2.0, 3.0, 0.25, 0.5).collect())))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1] == found[2] == found[3] and len(found[0]) == len({r[:2] for r in rows})

@@ -10,6 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def tasks_of(df: DataFrame) -> int:
+    """How many tasks rows are dealt to that make more work than their bytes tell: as many as a shuffle has, or cores, not fewer."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def runs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[tuple, pa.Table]]:
     """Rows in sorted batches by the values of their first n columns, a run at a time, whatever batches it lies in."""
     name, parts = None, []
