@@ -106,3 +106,14 @@ def test_repeated_and_missing_points_are_counted_right(spark):
     points = spark.createDataFrame([("p", 5.0, None), ("p", 5.0, None), ("q", None, 1)], "name string, at double, x int")
     spans = spark.createDataFrame([(0.0, 10.0), (5.0, 6.0), (6.0, 4.0)], "lo double, hi double")
     assert sorted((r["name"], r["active"]) for r in intervals.active_at(points, spans, "at", "lo", "hi", 3.0).collect()) == [("p", 2), ("p", 2), ("q", 0)]
+
+
+def test_offset_votes_answer_for_all_pairs_that_share_a_landmark(spark, sf_dir):
+    from tidemark.plans import evidence as plans
+
+    users = defaultdict(set)
+    for r in plans.landmark_hashes(spark, sf_dir).collect():
+        users[r["f1"], r["f2"], r["dt"]].add(r["user_id"])
+    want = {(m, n) for own in users.values() for m in own for n in own if m % 2 == 0 and n % 2 == 1}
+    got = plans.offset_votes(spark, sf_dir).collect()
+    assert {(r["mix"], r["ref"]) for r in got} == want and len(got) == len(want) > 3 * len({m for m, _ in want})
