@@ -151,3 +151,10 @@ def test_small_and_large_frames_alike_in_any_batches(spark, monkeypatch):
         finally:
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert found[0] == found[1] == found[2] == found[3] and len(found[0]) == len({r[:2] for r in rows})
+
+
+def test_decoders_deal_keys_to_tasks_by_number(spark):
+    """Few bytes that make much work stay dealt to as many tasks as a shuffle has; adaptive execution doesn't put them into one."""
+    e = spark.range(4_000).select((F.col("id") % 400).alias("u"), F.floor(F.col("id") / 400).alias("t"), F.lit(1.0).alias("s"), F.lit(1.0).alias("v"))
+    path = decoders.directional_path(e, ["u"], "t", "s", "v", 1.0)
+    assert path.count() == 4_000 and path.select(F.spark_partition_id().alias("p")).distinct().count() > 1
