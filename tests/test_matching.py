@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import times
 from tidemark.operators import evidence, graph, intervals
-from tidemark.plans import matching
+from tidemark.plans import catalog, matching
 from tidemark.plans.timeline import events
 
 
@@ -117,3 +117,17 @@ def test_offset_votes_answer_for_all_pairs_that_share_a_landmark(spark, sf_dir):
     want = {(m, n) for own in users.values() for m in own for n in own if m % 2 == 0 and n % 2 == 1}
     got = plans.offset_votes(spark, sf_dir).collect()
     assert {(r["mix"], r["ref"]) for r in got} == want and len(got) == len(want) > 3 * len({m for m, _ in want})
+
+
+@pytest.mark.parametrize("name", ["expanded_segments", "merged_segments", "rank_correlation", "borda_points", "margin_gate", "dense_competitive", "chunked_union"])
+def test_windows_run_in_as_many_tasks_as_a_shuffle_has(spark, sf_dir, name):
+    """Adaptive execution would put these small tables, and large ones up to the bytes it aims at, into few tasks."""
+    own = catalog.QUERIES[name](spark, sf_dir)
+    assert own.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_dense_competitive_leaves_out_lines_without_part_or_supplier(spark, tmp_path):
+    rows = [(1, "A", 7, 5.0, "2024-01-01"), (1, "A", 8, 4.0, "2024-01-02"), (1, "A", None, 9.0, "2024-01-01"), (None, "A", 7, 1.0, "2024-01-01")]
+    line = spark.createDataFrame(rows, "l_partkey long, l_returnflag string, l_suppkey long, l_extendedprice double, d string")
+    line.select("*", F.to_timestamp_ntz("d").alias("l_shipdate")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert sorted(map(tuple, matching.dense_competitive(spark, str(tmp_path)).collect())) == [(1, 7, 1), (1, 8, 2)]

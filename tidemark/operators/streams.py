@@ -16,6 +16,11 @@ def tasks_of(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to as many tasks as a shuffle has: windows and sums by these keys and more follow without moving rows again, and adaptive execution doesn't put many parts into a task of much memory."""
+    return df.repartition(tasks_of(df), *keys)
+
+
 def runs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[tuple, pa.Table]]:
     """Rows in sorted batches by the values of their first n columns, a run at a time, whatever batches it lies in."""
     name, parts = None, []
