@@ -8,10 +8,14 @@ from pyspark.sql.window import Window
 
 from ..functions import times
 from ..operators import decoders, evidence, graph, joins, picks, series
-from ..sources.tables import table
+from ..operators.streams import dealt
+from ..sources.tables import table, written
 from .evidence import landmark_hashes, votes
 from .timeline import events, spans
 
+FEW_PAIRS = 250_000
+"""Word pairs of the benchmark up to which they are broadcast."""
+
 
 def explode_list(spark: SparkSession, d: str) -> DataFrame:
     """Comma lists of part words, trimmed and counted."""
@@ -137,15 +141,19 @@ def hough_bins(spark: SparkSession, d: str) -> DataFrame:
 
 def bigram_diagonals(spark: SparkSession, d: str) -> DataFrame:
     """Word pairs that a document shares with a benchmark item, weighed by how many items have them; the diagonal with most weight."""
-    def grams(name: str, key: str) -> DataFrame:
+    def grams(texts: DataFrame, key: str) -> DataFrame:
         w = F.split(F.lower("text"), r"[ \n]+")
         pos = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - 2))
-        return table(spark, d, name).select(F.col(key).alias("id"), w.alias("w")).filter(F.size("w") >= 2).select("id", F.explode(F.transform(pos, lambda i: F.struct(i.alias("at"), F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)).alias("g")))).alias("x")).select("id", "x.at", "x.g")
-
-    items = grams("benchmark", "item_id")
-    df = items.groupBy("g").agg(F.countDistinct("id").alias("df"))
-    items = items.join(df, "g").select("g", F.col("id").alias("item_id"), F.col("at").alias("at2"), "df")
-    hits = grams("documents", "doc_id").join(items, "g").select("id", "item_id", (F.col("at") - F.col("at2")).alias("diagonal"), "g", "df").distinct()
+        return texts.select(F.col(key).alias("id"), w.alias("w")).filter(F.size("w") >= 2).select("id", F.explode(F.transform(pos, lambda i: F.struct(i.alias("at"), F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)).alias("g")))).alias("x")).select("id", "x.at", "x.g")
+
+    items = grams(table(spark, d, "benchmark"), "item_id")
+    df = written(items.groupBy("g").agg(F.countDistinct("id").alias("df")).withColumn("pair", F.monotonically_increasing_id()))
+    items = written(items.join(df, "g").select("g", "pair", F.col("id").alias("item_id"), F.col("at").alias("at2"), "df"))
+    docs, few = table(spark, d, "documents").select("doc_id", "text"), items.limit(FEW_PAIRS + 1).count() <= FEW_PAIRS
+    # Few pairs of the benchmark go to where documents are dealt to, so hits are summed up where they arise; else both sides meet by pair.
+    hits = grams(dealt(docs, "doc_id") if few else docs, "doc_id").join(F.broadcast(items) if few else items.hint("merge"), "g")
+    hits = hits.select("id", "item_id", (F.col("at") - F.col("at2")).alias("diagonal"), "pair", "df")
+    hits = (hits if few else dealt(hits, "id")).distinct()
     diag = hits.groupBy("id", "item_id", "diagonal").agg(F.round(F.sum(1 / F.col("df")), 6).alias("weight"))
     best = picks.first_of(diag.filter("weight >= 5"), ["id", "item_id"], [F.desc("weight"), F.asc("diagonal")])
     return best.select(F.col("id").alias("doc_id"), "item_id", F.col("diagonal").cast("long").alias("diagonal"), "weight")
