@@ -1,5 +1,6 @@
 """Greedy matches, assignments and classes by plain Python, and the mended rules by hand."""
 
+import random
 from collections import defaultdict
 
 import pytest
@@ -131,3 +132,20 @@ def test_dense_competitive_leaves_out_lines_without_part_or_supplier(spark, tmp_
     line = spark.createDataFrame(rows, "l_partkey long, l_returnflag string, l_suppkey long, l_extendedprice double, d string")
     line.select("*", F.to_timestamp_ntz("d").alias("l_shipdate")).write.parquet(f"{tmp_path}/lineitem.parquet")
     assert sorted(map(tuple, matching.dense_competitive(spark, str(tmp_path)).collect())) == [(1, 7, 1), (1, 8, 2)]
+
+
+def test_closest_first_is_what_sorting_all_pairs_gives():
+    draw = random.Random(8)
+    for _ in range(400):
+        points = [(draw.randrange(draw.choice((3, 12, 60))), draw.randrange(2), row) for row in draw.sample(range(99), draw.randrange(14))]
+        pairs, seen, want = sorted((abs(x - y), i, j) for x, a, i in points for y, b, j in points if (a, b) == (0, 1)), set(), []
+        for _, i, j in pairs:
+            if not {i, j} & seen:
+                seen |= {i, j}
+                want.append((i, j))
+        assert matching.closest_first(points) == want
+
+
+def test_a_day_of_many_events_is_paired_without_all_pairs():
+    draw = random.Random(9)
+    assert len(matching.closest_first([(draw.randrange(86_400_000_000), row % 2, row) for row in range(60_000)])) == 30_000  # 7 GB of distances else

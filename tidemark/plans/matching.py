@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+from heapq import heappop, heappush
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -208,25 +213,71 @@ def tolerance_scores(spark: SparkSession, d: str) -> DataFrame:
     return own.select("user_id", "hits", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), 6).alias("f1"))
 
 
+def closest_first(points: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Pairs of ids of side 0 and side 1, the nearest in time first, each used once; of equals the lesser id of side 0, then of side 1.
+
+    points: time, side and id. Of all that is left the nearest two lie side by side, so a heap of neighbours does, without all pairs.
+    """
+    own: dict[tuple[int, int], deque[int]] = {}
+    for at, side, row in sorted(points):
+        own.setdefault((at, side), deque()).append(row)
+    spots, ids, n = list(own), list(own.values()), len(own)
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    heap: list[tuple[int, int, int, int, int]] = []
+
+    def meet(i: int, j: int) -> None:
+        if i >= 0 and j < n and spots[i][1] != spots[j][1]:
+            x, y = (j, i) if spots[i][1] else (i, j)
+            heappush(heap, (spots[j][0] - spots[i][0], ids[x][0], ids[y][0], i, j))
+
+    for i in range(n - 1):
+        meet(i, i + 1)
+    out = []
+    while heap:
+        _, a, b, i, j = heappop(heap)
+        x, y = (j, i) if spots[i][1] else (i, j)
+        if not ids[i] or not ids[j] or after[i] != j or ids[x][0] != a or ids[y][0] != b:
+            continue  # taken since, or no neighbours any more
+        out.append((ids[x].popleft(), ids[y].popleft()))
+        for k in (i, j):
+            if not ids[k]:
+                if before[k] >= 0:
+                    after[before[k]] = after[k]
+                if after[k] < n:
+                    before[after[k]] = before[k]
+        left, right = i if ids[i] else before[i], j if ids[j] else after[j]
+        meet(left, right)
+        if ids[i]:
+            meet(before[i], i)
+        if ids[j]:
+            meet(j, after[j])
+    return out
+
+
 def injective_assignment(spark: SparkSession, d: str) -> DataFrame:
     """A user's purchases and signups of one day paired off, the nearest in time first, each used once."""
-    e = events(spark, d).filter("event_type IN ('purchase', 'signup')").select("user_id", F.floor(F.col("us") / 86_400_000_000).alias("day"), "event_id", "event_type", "us")
-
-    def month(own: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([pair(day) for _, day in own.groupby("day")])
-
-    def pair(own: pd.DataFrame) -> pd.DataFrame:
-        a, b = (own[own["event_type"] == kind].sort_values("event_id") for kind in ("purchase", "signup"))
-        off = np.abs(a["us"].to_numpy()[:, None] - b["us"].to_numpy()[None, :])
-        free_a, free_b, out = np.ones(len(a), dtype=bool), np.ones(len(b), dtype=bool), []
-        for k in np.argsort(off, axis=None, kind="stable"):  # ties by the lesser ids
-            i, j = divmod(int(k), len(b))
-            if free_a[i] and free_b[j]:
-                free_a[i] = free_b[j] = False
-                out.append((own["user_id"].iloc[0], a["event_id"].iloc[i], b["event_id"].iloc[j]))
-        return pd.DataFrame(out, columns=["user_id", "a", "b"])
-
-    return e.groupBy("user_id", F.floor(F.col("day") / 30)).applyInPandas(month, "user_id long, a long, b long")
+    e = events(spark, d).filter("event_type IN ('purchase', 'signup') AND us IS NOT NULL")
+    e = e.select("user_id", F.floor(F.col("us") / 86_400_000_000).alias("day"), "us", (F.col("event_type") == "signup").cast("int").alias("side"), "event_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["user_id", "a", "b"])
+
+        day, points, out = None, [], []
+        for batch in batches:
+            for user, of, *point in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (user, of) != day:
+                    out += [(day[0], *p) for p in closest_first(points)] if len(points) > 1 else []
+                    day, points = (user, of), []
+                points.append(tuple(point))
+            if len(out) > 10_000:
+                yield batch_of(out)
+                out = []
+        out += [(day[0], *p) for p in closest_first(points)] if len(points) > 1 else []
+        if out:
+            yield batch_of(out)
+
+    return dealt(e, "user_id", "day").sortWithinPartitions("user_id", "day").mapInArrow(run, "user_id long, a long, b long")
 
 
 def stretch_search(spark: SparkSession, d: str) -> DataFrame:
