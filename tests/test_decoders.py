@@ -158,3 +158,12 @@ def test_decoders_deal_keys_to_tasks_by_number(spark):
     e = spark.range(4_000).select((F.col("id") % 400).alias("u"), F.floor(F.col("id") / 400).alias("t"), F.lit(1.0).alias("s"), F.lit(1.0).alias("v"))
     path = decoders.directional_path(e, ["u"], "t", "s", "v", 1.0)
     assert path.count() == 4_000 and path.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_classes_within_keys_are_those_of_all_links_without_rounds(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(k, 100 * k + a, 100 * k + b, rng.random()) for k in range(6) for a in range(25) for b in range(a + 1, 25) if rng.random() < 0.3]
+    links = spark.createDataFrame([*rows, *((k, b, a, s / 2) for k, a, b, s in rows[::3]), (7, 900, 901, 0.1), (7, 902, 902, 0.9), (None, 910, 911, 0.9)], "k int, a long, b long, s double")
+    want = sorted(map(tuple, classes.average_linkage(links, "a", "b", "s", 0.6).collect()))
+    monkeypatch.setattr(classes.graph, "components", None)
+    assert sorted(map(tuple, classes.average_linkage(links, "a", "b", "s", 0.6, ["k"]).collect())) == want and len(want) > 100

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import classes, decoders, mixtures, observers, series
+from ..operators.streams import dealt
 from ..sources.tables import table, written
 from .evidence import votes
 from .timeline import events
@@ -58,24 +59,27 @@ def cover_segments(spark: SparkSession, d: str) -> DataFrame:
     return found.select("user_id", "run", "line", "at", "until", F.round("ref_at", 4).alias("ref_at"), F.round("evidence", 4).alias("evidence"))
 
 
+ALIKE = ["user_id", "event_type"]
+
+
 def _alike(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of events of one type at most five apart in a user's order, by how near their values are."""
-    order = series.ordered(["user_id", "event_type"], ["us", "event_id"])
+    order = series.ordered(ALIKE, ["us", "event_id"])
     before = F.array_compact(F.array(*(F.lag(F.struct("event_id", "value"), i).over(order) for i in range(1, 6))))
-    e = events(spark, d).withColumn("before", before).select("event_id", "value", F.explode("before").alias("b"))
-    return e.select(F.col("b.event_id").alias("a"), F.col("event_id").alias("b"), (1 / (1 + F.abs(F.col("value") - F.col("b.value")) / 20)).alias("similarity"))
+    e = dealt(events(spark, d).select(*ALIKE, "us", "event_id", "value"), *ALIKE).withColumn("before", before).select(*ALIKE, "event_id", "value", F.explode("before").alias("b"))
+    return e.select(*ALIKE, F.col("b.event_id").alias("a"), F.col("event_id").alias("b"), (1 / (1 + F.abs(F.col("value") - F.col("b.value")) / 20)).alias("similarity"))
 
 
 def average_classes(spark: SparkSession, d: str) -> DataFrame:
     """Classes of a user's repeats by average linkage at one half, and each one's mean likeness to its mates."""
-    found = classes.average_linkage(_alike(spark, d), "a", "b", "similarity", 0.5)
+    found = classes.average_linkage(_alike(spark, d), "a", "b", "similarity", 0.5, ALIKE)
     return found.select(F.col("node").alias("event_id"), "class", F.round("mates", 6).alias("mates"))
 
 
 def placement_ambiguity(spark: SparkSession, d: str) -> DataFrame:
     """Whether each purchase falls into a stretch of its user (an event of another type, as many minutes as its value) whose class has others."""
     e = events(spark, d).withColumn("at", F.col("us") / 60_000_000)
-    found = classes.average_linkage(_alike(spark, d), "a", "b", "similarity", 0.5)
+    found = classes.average_linkage(_alike(spark, d), "a", "b", "similarity", 0.5, ALIKE)
     sections = e.filter("event_type != 'purchase'").join(found, F.col("event_id") == F.col("node")).select("user_id", F.col("at").alias("lo"), (F.col("at") + F.col("value")).alias("hi"), "class", "mates")
     told = classes.placed_ambiguity(e.filter("event_type = 'purchase'").select("event_id", "user_id", "at"), sections, KEY, "at", "lo", "hi", 4.0, 120.0)
     return told.select("event_id", "class", "instances", F.round("membership", 6).alias("membership"), "ambiguous")
