@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.special import DIGAMMA_SERIES, SHIFT
-from .streams import runs
+from .streams import dealt, runs
 
 READOUTS = ("surprisal", "uncertainty", "model_information", "predictive_information", "expected_information", "information_rate", "uncertainty_drop")
 
@@ -157,13 +157,14 @@ def matched_filter(windows: DataFrame, series: DataFrame, on: list[str], keys: l
     are made once a length. Of equal scores (to nine digits) the least stretch wins, then the first place. A series not longer than a window, or a window resampled to fewer than two, gives nothing; `longest` bounds a resampled window.
     """
     weighed = F.col(window) if gain is None else F.zip_with(window, gain, lambda x, g: x * g)
-    tried = windows.select(*on, *keys, F.explode(F.array(*map(F.lit, stretches))).alias("stretch"), weighed.alias("w"))
+    # Both sides are dealt by the series before anything multiplies; windows, the join and the best of each follow there.
+    tried = dealt(windows.select(*on, *keys, weighed.alias("w")), *on).select(*on, *keys, F.explode(F.array(*map(F.lit, stretches))).alias("stretch"), "w")
     tried = tried.withColumn("w", resampled(F.col("w"), F.col("stretch"))).withColumn("m", F.size("w")).filter(F.col("m").between(2, longest))
     length = F.sqrt(F.aggregate("w", F.lit(0.0), lambda s, x: s + x * x)) + 1e-9
     tried = tried.withColumn("w", F.transform("w", lambda x: x / length))
     whole = Window.partitionBy(*on)
     ahead = whole.orderBy(*order)
-    own = series.select(*on, *dict.fromkeys([*order, at]), F.col(value).cast("double").alias("__x"))
+    own = dealt(series.select(*on, *dict.fromkeys([*order, at]), F.col(value).cast("double").alias("__x")), *on)
     own = own.withColumns({"__n": F.count(F.lit(1)).over(whole), "__i": F.row_number().over(ahead), "__upto": F.sum(F.col("__x") * F.col("__x")).over(ahead.rowsBetween(Window.unboundedPreceding, 0))})
     following = ahead.rowsBetween(0, longest - 1)
     own = own.withColumns({"__next": F.collect_list("__x").over(following), "__ends": F.collect_list("__upto").over(following)})
