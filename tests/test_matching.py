@@ -120,7 +120,7 @@ def test_offset_votes_answer_for_all_pairs_that_share_a_landmark(spark, sf_dir):
     assert {(r["mix"], r["ref"]) for r in got} == want and len(got) == len(want) > 3 * len({m for m, _ in want})
 
 
-@pytest.mark.parametrize("name", ["expanded_segments", "merged_segments", "rank_correlation", "borda_points", "margin_gate", "dense_competitive", "chunked_union"])
+@pytest.mark.parametrize("name", ["expanded_segments", "merged_segments", "rank_correlation", "borda_points", "margin_gate", "dense_competitive", "chunked_union", "window_matches"])
 def test_windows_run_in_as_many_tasks_as_a_shuffle_has(spark, sf_dir, name):
     """Adaptive execution would put these small tables, and large ones up to the bytes it aims at, into few tasks."""
     own = catalog.QUERIES[name](spark, sf_dir)
@@ -149,3 +149,9 @@ def test_closest_first_is_what_sorting_all_pairs_gives():
 def test_a_day_of_many_events_is_paired_without_all_pairs():
     draw = random.Random(9)
     assert len(matching.closest_first([(draw.randrange(86_400_000_000), row % 2, row) for row in range(60_000)])) == 30_000  # 7 GB of distances else
+
+
+def test_components_send_no_table_through_the_driver(spark, sf_dir):
+    own = matching.repeat_classes(spark, sf_dir)
+    own.collect()
+    assert "Broadcast" not in own._jdf.queryExecution().executedPlan().toString()

@@ -36,15 +36,18 @@ def on_cycles(edges: DataFrame, child: str, parent: str) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """node, root (the least node reachable) for every node of an edge: each takes the least root of its neighbours and then its root's own, until nothing changes."""
+    """node, root (the least node reachable) for every node of an edge: each takes the least root of its neighbours and then its root's own, until nothing changes.
+
+    Rounds join by merging: tables just below the limit of a broadcast would go through the driver three times a round.
+    """
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("other"))
     both = written(both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).filter("node != other").distinct())
     roots = written(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")))
     while True:
-        offered = both.join(roots.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("root").alias("least"))
-        nearer = roots.join(offered, "node").select("node", F.least("root", "least").alias("hop"), F.col("root").alias("was"))
+        offered = both.join(roots.withColumnRenamed("node", "other").hint("merge"), "other").groupBy("node").agg(F.min("root").alias("least"))
+        nearer = roots.join(offered.hint("merge"), "node").select("node", F.least("root", "least").alias("hop"), F.col("root").alias("was"))
         jump = roots.select(F.col("node").alias("hop"), F.col("root").alias("far"))
-        after = written(nearer.join(jump, "hop", "left").select("node", F.least("hop", F.coalesce("far", "hop")).alias("root"), "was"))
+        after = written(nearer.join(jump.hint("merge"), "hop", "left").select("node", F.least("hop", F.coalesce("far", "hop")).alias("root"), "was"))
         done = after.filter("root != was").isEmpty()
         roots = after.select("node", "root")
         if done:

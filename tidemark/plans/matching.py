@@ -325,8 +325,8 @@ def repeat_classes(spark: SparkSession, d: str) -> DataFrame:
     keys = F.explode(F.array(F.concat_ws("|", F.lit("n"), "p_name", "p_size"), F.concat_ws("|", F.lit("b"), "p_brand", F.floor("p_retailprice").cast("string"))))
     rows = p.select("p_partkey", keys.alias("key"))
     first = rows.groupBy("key").agg(F.min("p_partkey").alias("first"))
-    roots = graph.components(rows.join(first, "key").filter("p_partkey != first").select("p_partkey", "first"), "p_partkey", "first")
-    return p.select("p_partkey").join(roots, F.col("p_partkey") == F.col("node"), "left").select("p_partkey", F.coalesce("root", "p_partkey").alias("class"))
+    roots = graph.components(rows.join(first.hint("merge"), "key").filter("p_partkey != first").select("p_partkey", "first"), "p_partkey", "first")
+    return p.select("p_partkey").join(roots.hint("merge"), F.col("p_partkey") == F.col("node"), "left").select("p_partkey", F.coalesce("root", "p_partkey").alias("class"))
 
 
 def class_ambiguity(spark: SparkSession, d: str) -> DataFrame:
