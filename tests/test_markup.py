@@ -104,3 +104,20 @@ def test_nothing_of_nothing(spark):
     empty = markup.elements(spark.createDataFrame([], "k int, html string"), "html", ["k"])
     assert markup.texts(empty, empty, ["k"]).count() == 0
     assert markup.records(empty, has_class("row"), {"n": (has_class("n"), None)}, ["k"]).count() == 0
+
+
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_page_records_are_those_of_the_element_table(spark, batch):
+    draw = random.Random(6)
+    piece = lambda: draw.choice(["<div class=row>", "<div class='row n'>", "</div>", "<span class=n>", "</span>", "<i class=on>", "<a href=/x>", "<a>", "</a>", "<b>", "</b>", "   ", "w", "x y"])
+    pages = spark.createDataFrame([(k, "".join(piece() for _ in range(draw.randrange(40)))) for k in range(150)] + [(997, None), (998, ""), (999, "<div class=row>" + "<b>z</b>" * 30)], "k int, html string")
+    fields = {"name": (has_class("n"), None), "on": (has_class("on"), F.lit("1")), "link": (F.col("tag") == "a", attribute("href")), "said": (F.col("tag") == "a", None), "bold": (F.col("tag") == "b", None)}
+    plain = lambda df: sorted(((r["k"], r["open"], r["attributes"]["class"], *(r[f] or "" for f in fields)) for r in df.collect()))
+    want = plain(markup.records(markup.elements(pages, "html", ["k"]), has_class("row"), fields, ["k"]))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        assert plain(markup.page_records(pages, "html", has_class("row"), fields, ["k"])) == want and len(want) > 300
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    own = markup.page_records(pages, "html", has_class("row"), fields, ["k"])
+    assert own._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # elements aren't moved

@@ -16,11 +16,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .streams import dealt
+
 # Fixed values of the HTML standard: elements without content, with raw content, and which open ones a start tag ends (and no farther up than which).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title".split())
@@ -178,6 +181,83 @@ def records(found: DataFrame, row: Column, fields: dict[str, tuple[Column, Colum
     return rows.select(*keys, "open", "attributes").join(filled, [*keys, "open"], "left")
 
 
+def page_records(pages: DataFrame, html: str, row: Column, fields: dict[str, tuple[Column, Column | None]], keys: list[str]) -> DataFrame:
+    """What records() finds in elements(), where nothing else is asked of them: elements are joined in the task that parses their page, and only records leave it.
+
+    Elements of a page come in the order of their ends, so a row takes what opened after it and no row inside it took.
+    """
+    names, spoken = list(fields), {name for name, (_, value) in fields.items() if value is None}
+    kinds, k, page = dict(pages.dtypes), len(keys), 1 << 33
+    blank = re.compile("[ \t\n\x0b\f\r\xa0]+")
+
+    def whole(table: pa.Table, number: np.ndarray) -> pa.RecordBatch:
+        """Records of whole pages; number: which page each element is of."""
+        opened, closed = (number * page + table.column(c).to_numpy() for c in ("open", "close"))
+        is_row = table.column("__row").to_numpy()
+        marks = [np.flatnonzero(table.column(f"__{i}").is_valid().to_numpy()) for i in range(len(names))]
+        marked = np.zeros(len(number), dtype=bool)
+        for at in marks:
+            marked[at] = True
+        of, waiting = np.full(len(number), -1), []
+        for i in np.flatnonzero(is_row | marked).tolist():
+            if is_row[i]:
+                while waiting and opened[waiting[-1]] > opened[i]:
+                    of[waiting.pop()] = i
+            if marked[i]:
+                waiting.append(i)
+        said = np.flatnonzero(table.column("text").is_valid().to_numpy())
+        said = said[np.argsort(opened[said], kind="stable")]
+        starts, words = opened[said], table.column("text").take(pa.array(said)).to_pylist()
+        rows = np.flatnonzero(is_row)
+        columns = [table.column(c).take(pa.array(rows)) for c in (*keys, "open", "attributes")]
+        for name, i, at in zip(names, range(len(names)), marks, strict=True):
+            at = at[of[at] >= 0]
+            at = at[np.argsort(opened[at], kind="stable")]
+            first: dict[int, str | None] = {}
+            if name in spoken:
+                los, his, end = np.searchsorted(starts, opened[at], side="right").tolist(), np.searchsorted(starts, closed[at]).tolist(), -1
+                for m, lo, hi in zip(at.tolist(), los, his, strict=True):
+                    inner, end = opened[m] < end, max(end, closed[m])  # of nested ones the outermost has the words
+                    first.setdefault(int(of[m]), None if inner else blank.sub(" ", " ".join(words[lo:hi])).strip(" ") or None)
+            else:
+                for m, value in zip(of[at].tolist(), table.column(f"__{i}").take(pa.array(at)).to_pylist(), strict=True):
+                    first.setdefault(m, value[1:] if value else None)
+            columns.append(pa.array([first.get(m) for m in rows.tolist()], pa.string()))
+        columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
+        return pa.RecordBatch.from_arrays(columns, [*keys, "open", "attributes", *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            table = pa.Table.from_batches(held).combine_chunks()
+            number = numbered(table)
+            cut = int(np.searchsorted(number, number[-1])) if len(number) else 0  # the last page may go on in the next batch
+            if cut:
+                yield whole(table.slice(0, cut), number[:cut])
+                held = table.slice(cut).to_batches()
+        if held and sum(b.num_rows for b in held):
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield whole(table, numbered(table))
+
+    def numbered(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, dtype=bool)
+        ends = table.column("close").to_numpy()
+        new[1:] = ends[1:] <= ends[:-1]
+        for c in table.columns[:k]:
+            codes = c.combine_chunks().dictionary_encode()
+            codes = (codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes).indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            new[1:] |= codes[1:] != codes[:-1]
+        return np.cumsum(new)
+
+    found = elements(dealt(pages.select(*keys, html), *keys), html, keys)
+    told = [F.when(fits, F.lit("") if value is None else F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit(""))).alias(f"__{i}") for i, (fits, value) in enumerate(fields.values())]
+    slim = found.select(*keys, "open", "close", F.coalesce(row, F.lit(False)).alias("__row"), F.when(F.coalesce(row, F.lit(False)), F.col("attributes")).alias("attributes"), F.when(F.col("tag") == "#text", F.col("text")).alias("text"), *told)
+    slim = slim.filter(F.col("__row") | F.col("text").isNotNull() | F.coalesce(*(F.col(f"__{i}") for i in range(len(names)))).isNotNull())
+    schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", open int, attributes map<string,string>, " + ", ".join(f"{n} string" for n in names)
+    return slim.mapInArrow(run, schema)
+
+
 def items(found: DataFrame, row: Column, item: Column, keys: list[str]) -> DataFrame:
     """keys, of_row, place (from 0), open, attributes, words: the elements in each row that `item` holds for, in order."""
     inner = inside(found.filter(item), found.filter(row), keys).filter("within IS NOT NULL").withColumnRenamed("within", "of_row")

@@ -83,7 +83,6 @@ def track_markup(spark: SparkSession, d: str) -> DataFrame:
 
 def track_rows(spark: SparkSession, d: str) -> DataFrame:
     """Rows of a track list as structs: ids, flags, cue, names and media."""
-    found = written(markup.elements(track_markup(spark, d), "html", ["row_id"]))
     by_id = lambda mark: F.coalesce(attribute("id").rlike(mark), F.lit(False))
     meta = lambda name: ((F.col("tag") == "meta") & F.coalesce(attribute("itemprop") == name, F.lit(False)), attribute("content"))
     fields = {
@@ -98,7 +97,7 @@ def track_rows(spark: SparkSession, d: str) -> DataFrame:
         "spotify": (has_class("fa-spotify"), F.lit("1")),
         "apple": (has_class("fa-apple"), F.lit("1")),
     }
-    rows = markup.records(found, has_class("tlpItem"), fields, ["row_id"])
+    rows = markup.page_records(track_markup(spark, d), "html", has_class("tlpItem"), fields, ["row_id"])
     parts = F.split("shown", " - ", 2)
     title = F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.col("shown")), r"\s*\(.+\)\s*$", "")
     return rows.select(
@@ -157,9 +156,8 @@ def linked_markup(spark: SparkSession, d: str) -> DataFrame:
 def linked_items(spark: SparkSession, d: str) -> DataFrame:
     """Rows with what is linked to them, in order, as a text of user and followers; an item may lack its end."""
     key = ["row_id"]
-    found = written(markup.elements(linked_markup(spark, d), "html", key))
     user = (F.col("tag") == "a") & F.coalesce(attribute("href").startswith("/user/"), F.lit(False))
-    every = markup.records(found, has_class("tlLinkItem"), {"href": (user, attribute("href")), "name": (user, None), "followers": ((F.col("tag") == "span") & has_class("spL"), None)}, key)
+    every = markup.page_records(linked_markup(spark, d), "html", has_class("tlLinkItem"), {"href": (user, attribute("href")), "name": (user, None), "followers": ((F.col("tag") == "span") & has_class("spL"), None)}, key)
     every = every.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("open", F.struct("name", "href", F.col("followers").cast("int").alias("followers")).alias("item")))).alias("items"))
     shown = F.array_join(F.transform("items", lambda x: F.concat_ws(":", x["item"]["name"], x["item"]["href"], x["item"]["followers"].cast("string"))), ",")
     return every.select("row_id", F.size("items").alias("n"), shown.alias("linked"))
