@@ -111,7 +111,7 @@ def incidence_spectrum(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rewired_degrees(spark: SparkSession, d: str) -> DataFrame:
-    """Parts of each supplier before and after rewiring: the same but for the few entries that came out equal."""
+    """Parts of each supplier before and after rewiring: as many."""
     own = _incidence(spark, d)
     after = spectra.rewired(own, "row", "col", 7).groupBy("row").agg(F.count(F.lit(1)).alias("after"))
     n = own.groupBy("row").agg(F.count(F.lit(1)).alias("before")).join(after, "row", "left")
