@@ -21,7 +21,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, Jaccard similarity 0.8 or more."""
+    """One document of each group of near-duplicates: SimHash, then bands of minima for what lies farther apart, find pairs; five-word shingles with a Jaccard similarity of 0.8 or more decide."""
     return near_copies.one_of_each(docs)
 
 

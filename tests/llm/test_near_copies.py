@@ -6,9 +6,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import near_copies
+from tidemark.llm.components import components
 
 
 def shingles(text):
@@ -61,6 +63,21 @@ def test_groups_are_those_of_brute_force(spark, crowd):
     assert got == want and len(set(want.values())) < len(want) - 60
 
 
+def test_simhash_finds_links_by_itself(spark):
+    """Without any band key, texts whose fingerprints are at most three bits apart are still linked where their shingles say so."""
+    rows = [r for r in near_texts() if shingles(r[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    distinct = near_copies._described(docs, "doc_id", "text", 5).withColumnRenamed("doc_id", "least").dropDuplicates(["node"]).cache()
+    bare = distinct.withColumn("keys", F.array().cast("array<long>"))
+    sets = {r["node"]: (r["fp"], shingles(dict(rows)[r["least"]])) for r in distinct.collect()}
+    bits = lambda a, b: ((sets[a][0] ^ sets[b][0]) & (1 << 64) - 1).bit_count()
+    want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if bits(a, b) <= 3 and 5 * len(sets[a][1] & sets[b][1]) >= 4 * len(sets[a][1] | sets[b][1])}
+    met = {(r["a"], r["b"]) for r in near_copies.by_fingerprint(distinct).collect()}
+    assert all(a < b and bits(a, b) <= 3 for a, b in met)
+    root = {r["node"]: r["root"] for r in components(near_copies.links(bare, docs)).collect()}
+    assert len(want) > 20 and all(root[a] == root[b] for a, b in want)
+
+
 def test_the_stage_keeps_one_of_each_group(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     want = least_by_hand([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])

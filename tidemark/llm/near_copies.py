@@ -1,10 +1,14 @@
-"""Near-duplicate groups by shingles of five words: exact Jaccard similarity of 0.8, candidates by bands and SimHash.
+"""Near-duplicate groups by shingles of five words: exact Jaccard similarity of 0.8, candidates by SimHash and by bands.
 
 Two texts are linked if the sets of their shingles have a Jaccard similarity of
 0.8 or more, and a group is what links connect.
 
-Fingerprints of two such texts may lie a dozen bits and more apart, farther
-than parts of 64 bits can deal out. What is compared is therefore dealt by
+SimHash comes first: the search of `simhash` (parts of the fingerprint, pivot
+table, bits) finds the sets whose fingerprints differ in simhash.MAX_BITS bits
+at most, their shingles decide, and what is linked is one group from then on.
+
+Fingerprints of two texts at 0.8 may lie a dozen bits and more apart, farther
+than parts of 64 bits can deal out. What is still unlike is therefore dealt by
 BANDS keys of ROWS minima of the shingle hashes each (a pair at 0.8 meets
 under no key with odds of 3 in a million, at 0.9 below 10^-11). Where rows
 meet, sizes that exclude 0.8, the SimHash pivot table (distances to some
@@ -184,7 +188,7 @@ def near_by_sketch(sets: list[np.ndarray], size: np.ndarray) -> Callable[[int, n
 def _of_key(nodes: np.ndarray, fp: np.ndarray, size: np.ndarray, root: np.ndarray, table: np.ndarray, turn: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of one crowded key: each row outside the largest group with one of that group."""
     roots, n = np.unique(root, return_counts=True)
-    if turn and len(roots) < 2:
+    if len(roots) < 2:
         return
     largest = root == roots[n.argmax()] if turn else np.ones(len(nodes), dtype=bool)
     own = np.flatnonzero(largest)
@@ -192,7 +196,7 @@ def _of_key(nodes: np.ndarray, fp: np.ndarray, size: np.ndarray, root: np.ndarra
     bits = np.unpackbits(fp.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
     most = np.packbits(bits.sum(axis=0) * 2 > len(fp)).view(">u8").astype(np.uint64)[0]
     x = own[np.lexsort((nodes[own], np.bitwise_count(fp[own] ^ most)))[min(turn, len(own) - 1)]]
-    rest = np.flatnonzero(~largest) if turn else np.delete(own, np.flatnonzero(own == x))
+    rest = np.flatnonzero(~largest) if turn else np.flatnonzero(root != root[x])
     near = rest[_may_be_near(x, rest, fp, size, table)]
     yield np.full(len(near), x), near
 
@@ -221,6 +225,20 @@ def _pair_batch(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
 
 
+def by_fingerprint(distinct: DataFrame, max_bits: int = simhash.MAX_BITS) -> DataFrame:
+    """a < b: pairs of nodes (columns node, fp, size) whose fingerprints differ in at most max_bits bits and whose sizes don't exclude 0.8.
+
+    They connect equal fingerprints through the least node of each, and others as simhash.links does.
+    """
+    own = distinct.select("node", "fp", "size").filter("size > 0")
+    first = stash(own.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("first")), "fingerprints")
+    alike = own.join(first, "fp").select(F.struct("node", "size").alias("x"), F.col("first").alias("y"))
+    x, y = (first.select(F.col("fp").alias(end), F.col("first").alias(name)) for end, name in (("a", "x"), ("b", "y")))
+    near = simhash.links(first.select("fp"), max_bits).join(x, "a").join(y, "b").select("x", "y")
+    both = alike.unionByName(near).filter("x.node != y.node AND 5 * x.size >= 4 * y.size AND 5 * y.size >= 4 * x.size")
+    return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def _pairs(rows: DataFrame, crowd: int, turn: int) -> DataFrame:
     """a < b: candidate pairs of nodes of unlike groups; rows: key, node, fp, size and root."""
 
@@ -346,24 +364,33 @@ def _verified(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, words: int
     return both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
 
+def _edges(roots: DataFrame) -> DataFrame:
+    """a, b: each node that isn't its group's least, with that."""
+    return roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
 def links(distinct: DataFrame, docs: DataFrame, words: int = SHINGLE, crowd: int = CROWD) -> DataFrame:
     """a, b: edges that connect the nodes that links of 0.8 connect, and no others; distinct: node, least, fp, size, keys; docs: doc_id and text.
 
-    After each round the links found so far are replaced by edges to the least node of each group.
+    SimHash's candidates come first, then those of the bands. After each round the links found so far are replaced by edges to the least node of each group.
     """
-    rows = distinct.select("node", "fp", "size", F.explode("keys").alias("key"))
+    found = stash(_verified(stash(by_fingerprint(distinct), "pairs"), docs, distinct, words), "links")
+    roots = components(found)
+    known = _edges(roots)
+    placed = distinct.select("node", "fp", "size", "keys").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = placed.select("node", "fp", "size", "root", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     rows = stash(rows.join(shared, "key"), "rows")
     part = F.when(F.col("n") <= PART, F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / PART).cast("long"))))
     rows = rows.withColumn("whole", F.col("key")).withColumn("key", part)
     crowds = rows.filter(F.col("n") > crowd)
-    found = stash(_verified(stash(_pairs(rows.withColumn("root", F.col("node")), crowd, 0), "pairs"), docs, distinct, words), "links")
+    found = stash(known.unionByName(_verified(stash(_pairs(rows, crowd, 0), "pairs"), docs, distinct, words)), "links")
     if crowds.isEmpty():
         return found
     for turn in [*range(1, ROUNDS), None]:
         roots = components(found)
-        known = roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        placed = crowds.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        known = _edges(roots)
+        placed = crowds.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         if turn is None:
             unlike = placed.groupBy("whole").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("whole")
             more = _rare_first(placed.join(unlike, "whole", "left_semi").select("node", "root").distinct(), distinct)
