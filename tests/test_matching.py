@@ -127,6 +127,16 @@ def test_windows_run_in_as_many_tasks_as_a_shuffle_has(spark, sf_dir, name):
     assert own.select(F.spark_partition_id().alias("p")).distinct().count() > 1
 
 
+@pytest.mark.parametrize("name", ["rank_correlation", "borda_points", "margin_gate", "dense_competitive", "merged_segments", "landmark_hashes"])
+def test_large_tables_are_dealt_to_more_tasks(spark, sf_dir, name, monkeypatch):
+    """However few parts a shuffle has, a task's rows and memory don't grow with the table."""
+    from tidemark.operators import streams
+
+    monkeypatch.setattr(streams, "ROWS", 50, raising=False)
+    own = catalog.QUERIES[name](spark, sf_dir)
+    assert own.select(F.spark_partition_id().alias("p")).distinct().count() > streams.tasks_of(own)
+
+
 def test_dense_competitive_leaves_out_lines_without_part_or_supplier(spark, tmp_path):
     rows = [(1, "A", 7, 5.0, "2024-01-01"), (1, "A", 8, 4.0, "2024-01-02"), (1, "A", None, 9.0, "2024-01-01"), (None, "A", 7, 1.0, "2024-01-01")]
     line = spark.createDataFrame(rows, "l_partkey long, l_returnflag string, l_suppkey long, l_extendedprice double, d string")

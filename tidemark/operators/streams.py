@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+ROWS = 250_000
+"""Rows of a table that a task is dealt on average at most, so that its memory doesn't grow with the table."""
+
+
 def tasks_of(df: DataFrame) -> int:
     """How many tasks rows are dealt to that make more work than their bytes tell: as many as a shuffle has, or cores, not fewer."""
     spark = df.sparkSession
@@ -21,6 +25,11 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(tasks_of(df), *keys)
 
 
+def dealt_by_rows(df: DataFrame, *keys: str) -> DataFrame:
+    """As dealt, to more tasks where these would have more than ROWS rows each; for columns of a Parquet table, counting takes the footers of its files only."""
+    return df.repartition(max(tasks_of(df), -(-df.count() // ROWS)), *keys)
+
+
 def runs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[tuple, pa.Table]]:
     """Rows in sorted batches by the values of their first n columns, a run at a time, whatever batches it lies in."""
     name, parts = None, []

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import classes, decoders, mixtures, observers, series
-from ..operators.streams import dealt
+from ..operators.streams import dealt_by_rows
 from ..sources.tables import table, written
 from .evidence import votes
 from .timeline import events
@@ -66,7 +66,7 @@ def _alike(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of events of one type at most five apart in a user's order, by how near their values are."""
     order = series.ordered(ALIKE, ["us", "event_id"])
     before = F.array_compact(F.array(*(F.lag(F.struct("event_id", "value"), i).over(order) for i in range(1, 6))))
-    e = dealt(events(spark, d).select(*ALIKE, "us", "event_id", "value"), *ALIKE).withColumn("before", before).select(*ALIKE, "event_id", "value", F.explode("before").alias("b"))
+    e = dealt_by_rows(events(spark, d).select(*ALIKE, "us", "event_id", "value"), *ALIKE).withColumn("before", before).select(*ALIKE, "event_id", "value", F.explode("before").alias("b"))
     return e.select(*ALIKE, F.col("b.event_id").alias("a"), F.col("event_id").alias("b"), (1 / (1 + F.abs(F.col("value") - F.col("b.value")) / 20)).alias("similarity"))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import times
 from ..operators import evidence, graph, joins, picks, series
-from ..operators.streams import dealt
+from ..operators.streams import dealt, dealt_by_rows
 from ..sources.tables import table, written
 from .evidence import _BORDA, _LM, _V, landmark_hashes, votes
 from .timeline import _E, _SPANS, events, spans
@@ -84,7 +84,7 @@ def two_level_max(spark: SparkSession, d: str) -> DataFrame:
 
 def rank_correlation(spark: SparkSession, d: str) -> DataFrame:
     """Spearman's and Pearson's correlation of quantity and discounted price in the lines of each supplier; equal values share the mean of their ranks."""
-    line = dealt(table(spark, d, "lineitem").select("l_suppkey", F.col("l_quantity").alias("x"), F.col("l_discount").alias("y")), "l_suppkey")
+    line = dealt_by_rows(table(spark, d, "lineitem").select("l_suppkey", F.col("l_quantity").alias("x"), F.col("l_discount").alias("y")), "l_suppkey")
     for c in ("x", "y"):
         w = Window.partitionBy("l_suppkey")
         line = line.withColumn(f"r{c}", F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy("l_suppkey", c)) - 1) / 2)
@@ -109,7 +109,7 @@ def coverage_score(spark: SparkSession, d: str) -> DataFrame:
 
 def dense_competitive(spark: SparkSession, d: str) -> DataFrame:
     """A part's suppliers: those with 0.3 of the most points first, by points a day between their first and last line (a tenth of a day at least), then the rest by points."""
-    line = dealt(table(spark, d, "lineitem").select("l_partkey", "l_returnflag", "l_suppkey", "l_extendedprice", times.micros(F.col("l_shipdate")).alias("at")), "l_partkey")
+    line = dealt_by_rows(table(spark, d, "lineitem").select("l_partkey", "l_returnflag", "l_suppkey", "l_extendedprice", times.micros(F.col("l_shipdate")).alias("at")), "l_partkey")
     line = line.groupBy("l_partkey", "l_returnflag", "l_suppkey").agg(F.max("l_extendedprice").alias("score"), F.min("at").alias("first"), F.max("at").alias("last"))
     days = (F.max("last") - F.min("first")) / 86_400_000_000
     p = evidence.borda(line, "l_partkey", "l_returnflag", "l_suppkey", "score", F.greatest(days, F.lit(0.1)).alias("days"))
@@ -537,7 +537,7 @@ def chunked_union(spark: SparkSession, d: str) -> DataFrame:
 def merged_segments(spark: SparkSession, d: str) -> DataFrame:
     """Loops of lines: a run of lines of an order with the same part as one segment with how often it repeats."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey")
-    line = dealt(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey"), "l_orderkey")
+    line = dealt_by_rows(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey"), "l_orderkey")
     line = line.withColumn("new", F.coalesce((F.col("l_suppkey") != F.lag("l_suppkey").over(w)).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w))
     return line.groupBy("l_orderkey", "run").agg(F.first("l_suppkey").alias("l_suppkey"), F.count(F.lit(1)).alias("times"), F.min("l_linenumber").alias("first"))
 
