@@ -1,5 +1,6 @@
 """Peaks, tokens and the join guard on small frames."""
 
+import time
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -44,3 +45,11 @@ def test_wheel_steps(spark):
     cases = [("8A", "8A", 0), ("8A", "8B", 1), ("12A", "1A", 1), ("1A", "12B", 2), ("3B", "9B", 6), ("x", "1A", None), (None, "1A", None)]
     got = spark.createDataFrame(cases, "a string, b string, want int").select(times.wheel_steps(F.col("a"), F.col("b")).alias("got"), "want").collect()
     assert all(r["got"] == r["want"] for r in got)
+
+
+def test_work_of_tokens_grows_with_a_vectors_length_not_its_square(spark):
+    rows = spark.range(64).select("id", F.transform(F.sequence(F.lit(1), F.lit(8192)), lambda i: (F.col("id") % 2 * 2 - 1) * i.cast("double")).alias("v"))
+    began = time.monotonic()
+    got = {(r["id"] % 2, r["token"]) for r in tokens.quantized(rows, "v", 2).collect()}
+    assert len(got) == 2 and len({t for _, t in got}) == 2
+    assert time.monotonic() - began < 40

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,11 +18,11 @@ def quantized(df: DataFrame, column: str, k: int, seed: int = 0, token: str = "t
     A vector's length must be the same in all rows.
     """
     length = vectors.norm(F.col(column))
-    unit = F.when(length > 0, array_to_vector(F.transform(column, lambda x: x.cast("double") / length)))
-    rows = df.withColumn("__unit", unit)
-    whole = rows.filter(F.col("__unit").isNotNull())
+    rows = df.withColumn("__vector", F.when(length > 0, array_to_vector(F.col(column).cast("array<double>"))))
+    # The normalizer takes each norm once; in a lambda over the elements it would be taken for each of them.
+    whole = Normalizer(inputCol="__vector", outputCol="__unit").transform(rows.filter(F.col("__vector").isNotNull()))
     if whole.isEmpty():
         return df.withColumn(token, F.lit(None).cast("int"))
     model = KMeans(k=k, seed=seed, featuresCol="__unit", predictionCol=token).fit(whole)
-    rest = rows.filter(F.col("__unit").isNull()).withColumn(token, F.lit(None).cast("int"))
-    return model.transform(whole).unionByName(rest).drop("__unit")
+    rest = rows.filter(F.col("__vector").isNull()).withColumn(token, F.lit(None).cast("int"))
+    return model.transform(whole).drop("__unit").unionByName(rest).drop("__vector")
