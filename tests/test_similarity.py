@@ -1,6 +1,7 @@
 """Peaks, tokens and the join guard on small frames."""
 
 import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
