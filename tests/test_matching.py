@@ -137,6 +137,22 @@ def test_large_tables_are_dealt_to_more_tasks(spark, sf_dir, name, monkeypatch):
     assert own.select(F.spark_partition_id().alias("p")).distinct().count() > streams.tasks_of(own)
 
 
+@pytest.mark.parametrize("name", ["borda_points"])
+def test_a_tasks_rows_do_not_grow_with_the_table(spark, sf_dir, tmp_path, monkeypatch, name):
+    """Eight copies of the lines under keys of their own, dealt once for all windows and sums."""
+    from tidemark.operators import streams
+
+    monkeypatch.setattr(streams, "ROWS", 300)
+    keys = ("l_orderkey", "l_partkey", "l_suppkey")
+    copies = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    copies.withColumns({c: F.col(c) + 1_000_000 * F.col("k") for c in keys}).drop("k").write.parquet(f"{tmp_path}/lineitem.parquet")
+    one, eight = (catalog.QUERIES[name](spark, d) for d in (sf_dir, str(tmp_path)))
+    assert eight.count() == 8 * one.count()
+    most = [own.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0] for own in (one, eight)]
+    assert most[1] < 2 * most[0]
+    assert eight._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_dense_competitive_leaves_out_lines_without_part_or_supplier(spark, tmp_path):
     rows = [(1, "A", 7, 5.0, "2024-01-01"), (1, "A", 8, 4.0, "2024-01-02"), (1, "A", None, 9.0, "2024-01-01"), (None, "A", 7, 1.0, "2024-01-01")]
     line = spark.createDataFrame(rows, "l_partkey long, l_returnflag string, l_suppkey long, l_extendedprice double, d string")
