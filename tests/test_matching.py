@@ -137,7 +137,7 @@ def test_large_tables_are_dealt_to_more_tasks(spark, sf_dir, name, monkeypatch):
     assert own.select(F.spark_partition_id().alias("p")).distinct().count() > streams.tasks_of(own)
 
 
-@pytest.mark.parametrize("name", ["borda_points"])
+@pytest.mark.parametrize("name", ["borda_points", "margin_gate"])
 def test_a_tasks_rows_do_not_grow_with_the_table(spark, sf_dir, tmp_path, monkeypatch, name):
     """Eight copies of the lines under keys of their own, dealt once for all windows and sums."""
     from tidemark.operators import streams
