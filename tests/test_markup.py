@@ -121,3 +121,28 @@ def test_page_records_are_those_of_the_element_table(spark, batch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     own = markup.page_records(pages, "html", has_class("row"), fields, ["k"])
     assert own._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # elements aren't moved
+
+
+@pytest.mark.parametrize("known", [0, 4_096])
+def test_records_read_where_a_page_is_parsed_are_those_of_the_element_table(spark, monkeypatch, known):
+    """Odd pages: nested rows and fields, rows that are fields, repeated classes, missing attributes, empty texts, raw content."""
+    monkeypatch.setattr(markup, "_KNOWN", known)
+    draw = random.Random(9)
+    pieces = ["<div class=row>", "<DIV class='row n' id=a1>", "</div>", "<span class='n  n'>", "</span>", "<i class=on>", "<i>", "<a href=/x id=\"b1\">", "<a>", "</a>", "<b id=a&amp;>", "</b>", "   ", "w", "x &amp; y", "&nbsp;", "<script>a<b class=n></script>", "<br class=on id=a2>", "<p class=n>"]
+    pages = spark.createDataFrame([(k, "".join(draw.choices(pieces, k=draw.randrange(40)))) for k in range(300)] + [(997, None), (998, ""), (999, "<div class=row>" + "<b>z</b>" * 30)], "k int, html string")
+    by_id = F.coalesce(attribute("id").rlike("^a"), F.lit(False))
+    columns = {"name": (has_class("n"), None), "on": (has_class("on"), attribute("id")), "link": (F.col("tag") == "a", attribute("href")), "said": (F.col("tag") == "a", None), "bold": ((F.col("tag") == "b") & by_id, None), "any": (by_id, attribute("class")), "both": (has_class("n") & (F.col("tag") == "span"), attribute("class"))}
+    fields = {"name": markup.Field(of_class="n"), "on": markup.Field(of_class="on", value="id"), "link": markup.Field("a", value="href"), "said": markup.Field("a"), "bold": markup.Field("b", like=("id", "^a")), "any": markup.Field(like=("id", "^a"), value="class"), "both": markup.Field("span", "n", value="class")}
+    plain = lambda df: sorted((r["k"], r["open"], sorted(r["attributes"].items()), *(r[f] or "" for f in fields)) for r in df.collect())
+    want = plain(markup.page_records(pages, "html", has_class("row"), columns, ["k"]))
+    assert want == plain(markup.records(markup.elements(pages, "html", ["k"]), has_class("row"), columns, ["k"])) and len(want) > 300
+    assert plain(markup.parsed_records(pages, "html", markup.Field(of_class="row"), fields, ["k"])) == want
+
+
+def test_elements_of_track_rows_are_not_rows_of_a_table(spark, sf_dir):
+    """Sixteen elements a page would go to Spark for their conditions and back to Python; nor is markup shuffled."""
+    from tidemark.plans import pages
+
+    plan = pages.track_rows(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert "<div" in plan[: plan.index("Exchange")] and "<div" not in plan[plan.index("Exchange") :]

@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import html as standard
 import re
-from collections import Counter
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +31,26 @@ RAW = frozenset("script style textarea title".split())
 BLOCKS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})} | {b: ({"p"}, {"table", "button"}) for b in BLOCKS}
 
-_PIECE = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
+_PIECE = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^"'>]++|"[^"]*"|'[^']*')*+)>|[^<]+|<""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>`]+)))?""")
+_CLASS = re.compile(r"[^ \t\n\x0b\f\r]+")
 _ROWS = 50_000
+_KNOWN = 4_096
+"""Start tags that a task remembers, as they are written: most are there again and again."""
 
 
-def parsed(page: str) -> list[tuple[int, int, int, int, str, list[tuple[str, str]], str | None]]:
-    """open, close, depth, parent, tag, attributes, text of each element and text of a page, in the order of their ends."""
-    done, stack, open_now, n, at = [], [], Counter(), 0, 0
+def attributes_of(tag: str, rest: str) -> list[tuple[str, str]]:
+    """The attributes in what follows the name of a start tag, the first of each name."""
+    found: dict[str, str] = {}
+    for key, double, single, bare in _ATTRIBUTE.findall(rest):
+        value = double or single or bare
+        found.setdefault(key.lower(), standard.unescape(value) if "&" in value else value)
+    return list(found.items())
+
+
+def parsed(page: str, kept: Callable[[str, str], Sequence] = attributes_of) -> list[tuple[int, int, int, int, str, Sequence, str | None]]:
+    """open, close, depth, parent, tag, attributes (or what else is kept of a start tag), text of each element and text of a page, in the order of their ends."""
+    done, stack, open_now, n, at = [], [], {}, 0, 0
 
     def end(above: int) -> None:
         nonlocal n
@@ -49,45 +62,49 @@ def parsed(page: str) -> list[tuple[int, int, int, int, str, list[tuple[str, str
 
     def say(words: str, tag: str) -> None:
         nonlocal n
-        if words.strip():
+        if not words.isspace() and words:
             n += 1
             done.append((n, n, len(stack), stack[-1][0] if stack else 0, tag, [], words))
 
     while at < len(page):
-        found = _PIECE.match(page, at)
-        at = found.end()
-        slash, name, rest = found.groups()
-        if name is None:
-            if page[found.start()] != "<" or found.end() - found.start() == 1:
-                say(standard.unescape(found.group()), "#text")
-            continue
-        tag = name.lower()
-        if slash:
-            if open_now[tag]:
-                end(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][1] == tag))
-            continue
-        ends, bounds = ENDS.get(tag, (set(), set()))
-        if any(open_now[t] for t in ends):
-            farthest = len(stack)
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][1] in ends:
-                    farthest = i
-                if stack[i][1] in bounds:
-                    break
-            end(farthest)
-        attributes: dict[str, str] = {}
-        for key, *values in _ATTRIBUTE.findall(rest):
-            attributes.setdefault(key.lower(), standard.unescape("".join(values)))
-        n += 1
-        stack.append((n, tag, list(attributes.items())))
-        open_now[tag] += 1
-        if tag in VOID:
-            end(len(stack) - 1)
-        elif tag in RAW:
-            close = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
-            stop = close.start() if close else len(page)
-            say(page[at:stop] if tag in ("script", "style") else standard.unescape(page[at:stop]), "#script" if tag in ("script", "style") else "#text")
-            at = stop
+        for found in _PIECE.finditer(page, at):
+            slash, name, rest = found.groups()
+            if name is None:
+                words = found.group()
+                if words[0] != "<" or len(words) == 1:
+                    say(standard.unescape(words) if "&" in words else words, "#text")
+                continue
+            tag = name.lower()
+            if slash:
+                if open_now.get(tag):
+                    i = len(stack) - 1
+                    while stack[i][1] != tag:
+                        i -= 1
+                    end(i)
+                continue
+            if tag in ENDS and any(map(open_now.get, ENDS[tag][0])):
+                ends, bounds = ENDS[tag]
+                farthest = len(stack)
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][1] in ends:
+                        farthest = i
+                    if stack[i][1] in bounds:
+                        break
+                end(farthest)
+            n += 1
+            stack.append((n, tag, kept(tag, rest)))
+            open_now[tag] = open_now.get(tag, 0) + 1
+            if tag in VOID:
+                end(len(stack) - 1)
+            elif tag in RAW:
+                at = found.end()
+                close = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
+                stop = close.start() if close else len(page)
+                say(page[at:stop] if tag in ("script", "style") else standard.unescape(page[at:stop]), "#script" if tag in ("script", "style") else "#text")
+                at = stop
+                break
+        else:
+            break
     end(0)
     return done
 
@@ -258,6 +275,94 @@ def page_records(pages: DataFrame, html: str, row: Column, fields: dict[str, tup
     return slim.mapInArrow(run, schema)
 
 
+class Field(NamedTuple):
+    """An element by its tag, a class and a pattern in an attribute, as far as given, and what is read from it: an attribute, or its text."""
+
+    tag: str | None = None
+    of_class: str | None = None
+    like: tuple[str, str] | None = None
+    value: str | None = None
+
+
+def parsed_records(pages: DataFrame, html: str, row: Field, fields: dict[str, Field], keys: list[str]) -> DataFrame:
+    """What page_records() finds, where rows and fields are known by tag, class and attributes: each page is parsed and read in one go, and no element leaves the task.
+
+    Pages are parsed where they lie, so the caller deals them, best before they are made.
+    """
+    kinds, names = dict(pages.dtypes), list(fields)
+    rules = [(i, f.tag, f.of_class, f.like and f.like[0], f.like and re.compile(f.like[1]), f.value) for i, f in [(-1, row), *enumerate(fields.values())]]
+    by_class = {c: [r for r in rules if r[2] == c] for c in {r[2] for r in rules} - {None}}
+    by_none = [r for r in rules if r[2] is None and r[1] is None]
+    by_tag = {t: [*by_none, *(r for r in rules if r[2] is None and r[1] == t)] for t in {r[1] for r in rules} - {None}}
+    spoken, blank = [f.value is None for f in fields.values()], re.compile("[ \t\n\x0b\f\r\xa0]+")
+
+    def fitting(tag: str, own: dict[str, str]) -> list[tuple[int, str | None]]:
+        """Which fields an element fits (-1: it is a row), with their values."""
+        out = [(i, own.get(value)) for i, _, _, name, pattern, value in by_tag.get(tag, by_none) if name is None or (name in own and pattern.search(own[name]))]
+        for c in set(_CLASS.findall(own["class"])) if "class" in own else ():
+            if c in by_class:
+                out += [(i, own.get(value)) for i, t, _, name, pattern, value in by_class[c] if (t is None or t == tag) and (name is None or (name in own and pattern.search(own[name])))]
+        return out
+
+    def read(page: str, kept: Callable[[str, str], Sequence]) -> list[tuple[int, list[tuple[str, str]], list[str | None]]]:
+        """open, attributes and values of each row; a row takes what opened after it and no row inside it took."""
+        rows, waiting, starts, words = [], [], [], []
+        said: list[list[tuple[int, int, int]]] = [[] for _ in names]
+        for first, last, _, _, tag, own, text in parsed(page, kept):
+            if text is not None:
+                if tag == "#text":
+                    starts.append(first)
+                    words.append(text)
+                continue
+            if not own:
+                continue
+            attributes, fits, is_row = own
+            if is_row:
+                values: list[str | None] = [None] * len(names)
+                opened = [0] * len(names)
+                while waiting and waiting[-1][0] > first:
+                    at, end, i, value = waiting.pop()
+                    if spoken[i]:
+                        said[i].append((at, end, len(rows)))
+                    elif not opened[i] or at < opened[i]:
+                        opened[i], values[i] = at, value
+                rows.append((first, attributes, values))
+            for i, value in fits:
+                if i >= 0:
+                    waiting.append((first, last, i, value))
+        for i, marks in enumerate(said):
+            told, reach = set(), 0
+            for at, end, of in sorted(marks):
+                if of not in told and at > reach:  # of nested ones the outermost has the words
+                    rows[of][2][i] = blank.sub(" ", " ".join(words[bisect_right(starts, at) : bisect_left(starts, end)])).strip(" ") or None
+                told.add(of)
+                reach = max(reach, end)
+        return rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[str, str], Sequence] = {}
+
+        def kept(tag: str, rest: str) -> Sequence:
+            """Attributes, fields and whether it is a row of an element that fits; nothing of another."""
+            own = known.get((tag, rest))
+            if own is None:
+                fits = fitting(tag, dict(attributes := attributes_of(tag, rest)))
+                own = (attributes, fits, any(i < 0 for i, _ in fits)) if fits else ()
+                if len(known) < _KNOWN:
+                    known[tag, rest] = own
+            return own
+
+        for batch in batches:
+            found = [(i, *own) for i, page in enumerate(batch.column(len(keys)).to_pylist()) if page is not None for own in read(page, kept)]
+            of, opened, attributes, values = zip(*found, strict=True) if found else ((), (), (), ())
+            columns = [*(batch.column(k).take(pa.array(of, pa.int64())) for k in range(len(keys))), pa.array(opened, pa.int32()), pa.array(attributes, pa.map_(pa.string(), pa.string()))]
+            columns += [pa.array([own[i] for own in values], pa.string()) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, [*keys, "open", "attributes", *names])
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", open int, attributes map<string,string>, " + ", ".join(f"{n} string" for n in names)
+    return pages.select(*keys, html).mapInArrow(run, schema)
+
+
 def items(found: DataFrame, row: Column, item: Column, keys: list[str]) -> DataFrame:
     """keys, of_row, place (from 0), open, attributes, words: the elements in each row that `item` holds for, in order."""
     inner = inside(found.filter(item), found.filter(row), keys).filter("within IS NOT NULL").withColumnRenamed("within", "of_row")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import times
 from ..operators import markup
-from ..operators.markup import attribute, has_class
+from ..operators.markup import Field, attribute, has_class
+from ..operators.streams import dealt
 from ..sources.tables import table, written
 
 KEY = ["page_id"]
@@ -78,26 +79,25 @@ def track_markup(spark: SparkSession, d: str) -> DataFrame:
     media = _joined("<div class='mediaRow' data-trackid=", F.col("o_custkey"), F.when(status == "P", F.lit(" data-remix='1'")).otherwise(F.lit("")), '><i class="fa fa-spotify">', F.when(status == "O", F.lit("</i><i class='fa fa-apple'></i>")).otherwise(F.lit("")), "<!-- </div> --></div>")
     row = _joined('<div class="tlpTog tlpItem', together, "\" id='tlp_", k, "' data-id=", k, " data-isided=\"", (status == "F").cast("string"), '">', play, title, media, "</div>")
     orders = table(spark, d, "orders").join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
-    return orders.select(k.alias("row_id"), row.alias("html"))
+    # Dealt as columns: as markup they are ten times as long.
+    return dealt(orders.select(k, "o_custkey", status, priority, "c_name"), "o_orderkey").select(k.alias("row_id"), row.alias("html"))
 
 
 def track_rows(spark: SparkSession, d: str) -> DataFrame:
     """Rows of a track list as structs: ids, flags, cue, names and media."""
-    by_id = lambda mark: F.coalesce(attribute("id").rlike(mark), F.lit(False))
-    meta = lambda name: ((F.col("tag") == "meta") & F.coalesce(attribute("itemprop") == name, F.lit(False)), attribute("content"))
     fields = {
-        "cue_seconds": ((F.col("tag") == "input") & by_id("_cue_seconds$"), attribute("value")),
-        "number": ((F.col("tag") == "span") & by_id("_tracknumber_value$"), None),
-        "timecode": ((F.col("tag") == "div") & by_id("^cue_"), None),
-        "full_name": meta("name"),
-        "duration": meta("duration"),
-        "shown": ((F.col("tag") == "span") & has_class("trackValue"), None),
-        "track_id": (has_class("mediaRow"), attribute("data-trackid")),
-        "remix": (has_class("mediaRow"), attribute("data-remix")),
-        "spotify": (has_class("fa-spotify"), F.lit("1")),
-        "apple": (has_class("fa-apple"), F.lit("1")),
+        "cue_seconds": Field("input", like=("id", "_cue_seconds$"), value="value"),
+        "number": Field("span", like=("id", "_tracknumber_value$")),
+        "timecode": Field("div", like=("id", "^cue_")),
+        "full_name": Field("meta", like=("itemprop", r"^name\Z"), value="content"),
+        "duration": Field("meta", like=("itemprop", r"^duration\Z"), value="content"),
+        "shown": Field("span", "trackValue"),
+        "track_id": Field(of_class="mediaRow", value="data-trackid"),
+        "remix": Field(of_class="mediaRow", value="data-remix"),
+        "spotify": Field(of_class="fa-spotify", value="class"),
+        "apple": Field(of_class="fa-apple", value="class"),
     }
-    rows = markup.page_records(track_markup(spark, d), "html", has_class("tlpItem"), fields, ["row_id"])
+    rows = markup.parsed_records(track_markup(spark, d), "html", Field(of_class="tlpItem"), fields, ["row_id"])
     parts = F.split("shown", " - ", 2)
     title = F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.col("shown")), r"\s*\(.+\)\s*$", "")
     return rows.select(
